@@ -1,14 +1,16 @@
 """Operators of a training-data pipeline. QUERIES and ORACLES list their registered queries."""
 
-from logloom.llm import mixing, sentencepiece_codec, sharding, token_counts, token_files
+from logloom.llm import fingerprints, mixing, ngram_join, sentencepiece_codec, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
     "op3_token_files": token_files.op3_token_files,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-ORACLES = {"op5_mix_sources": mixing.ORACLE}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op6_ngram_join": ngram_join.ORACLE}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import math
 import os
 import tempfile
 import uuid
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,14 +85,7 @@ def range_bin(key: Column, splitters: list[int]) -> Column:
         bases.append(base)
         base += len(c)
     at = F.floor((key - F.lit(low)) / F.lit(width)).cast("int")
-    lists = F.array(*(F.array(*map(F.lit, c)) if c else F.array().cast("array<bigint>") for c in cells)) if len(cells) <= 8 else None
-    if lists is None:
-        text = "array(" + ",".join("array(" + ",".join(f"{x}L" for x in c) + ")" if c else "CAST(array() AS ARRAY<BIGINT>)" for c in cells) + ")"
-        lists = F.expr(text)
-    starts = F.expr("array(" + ",".join(map(str, bases)) + ")")
+    lists = F.from_json(F.lit(json.dumps(cells)), "array<array<bigint>>")  # constants: folded once
+    starts = F.from_json(F.lit(json.dumps(bases)), "array<int>")
     inside = F.element_at(starts, at + 1) + F.size(F.filter(F.element_at(lists, at + 1), lambda s: s <= key))
     return F.when(key.isNull() | (key < low), 0).when(key > high, len(splitters)).otherwise(inside).cast("int")
-
-
-def any_of(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts)
