@@ -1,14 +1,17 @@
 """Operators of a training-data pipeline. QUERIES and ORACLES list their registered queries."""
 
-from logloom.llm import fingerprints, mixing, ngram_join, sentencepiece_codec, sharding, token_counts, token_files
+from logloom.llm import fingerprints, language_id, licenses, mixing, ngram_join, sentencepiece_codec, sharding, token_counts, token_files, vector_search
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
+    "op2_language_id": language_id.op2_language_id,
     "op3_token_files": token_files.op3_token_files,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_vector_search": vector_search.op8_vector_search,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
