@@ -19,24 +19,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import common
-from logloom.llm.word_cache import CACHE_BYTES, Encoder
+from logloom.llm.word_cache import Encoder
 
 BLOCK, SEGMENT = 256, 1 << 16
 #: Ids a word holds and their width, by selector. Fixed values of the Simple-8b layout; 0 is the escape, 15 a run of zeros.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], np.int64)
 ESCAPE, ZEROS = 0, 15
+#: Words that a worker keeps with their ids, about 170 bytes each; when full, the cache starts again.
+CACHED = 1_500_000
 _encoders: dict[str, tuple[Encoder, dict[bytes, bytes]]] = {}
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs; 0 for 0."""
+    if ids.max() < 2**53:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
     out, rest = np.zeros(len(ids), np.int64), ids.astype(np.uint64)
     for shift in (32, 16, 8, 4, 2, 1):
         big = rest >= np.uint64(1 << shift)
         out[big] += shift
         rest[big] >>= np.uint64(shift)
-    return out + (rest > 0)
+    return (out + (rest > 0)).astype(np.int8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,43 +48,52 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    ids, need, at = ids.astype(np.uint64), widths(ids), np.arange(n)
-    room = np.minimum((at // BLOCK + 1) * BLOCK, n) - at
+    ids, need = ids.astype(np.uint64), widths(ids)
+    room = np.resize(np.arange(BLOCK, 0, -1, dtype=np.int16), n)  # ids up to the block's end
+    room[n - n % BLOCK :] -= (BLOCK - n % BLOCK) % BLOCK
     # how many ids from each place on fit into one word: the largest count whose window is narrow enough
-    count, selector, todo = np.ones(n, np.int64), np.full(n, ESCAPE), np.ones(n, bool)
+    count, selector, todo = np.ones(n, np.int16), np.full(n, ESCAPE, np.int8), np.ones(n, bool)
     lowest, most = int(need.min()), int(need.max())
     for s in (ZEROS, *range(1, 15)):
         c, bits = int(COUNTS[s]), int(BITS[s])
         if bits < lowest:
             continue
-        if bits >= most:
-            fits = todo & (room >= c)
-        else:
-            wide = np.concatenate([[0], np.cumsum(need > bits)])
-            fits = todo & (room >= c) & (wide[np.minimum(at + c, n)] == wide[:n])
-        count[fits], selector[fits] = c, s
-        todo &= ~fits
+        fits = np.flatnonzero(todo & (room >= c) & (need <= bits))
+        if bits < most:
+            if 4 * len(fits) < n:  # few: look at the next ids one after another
+                for j in range(1, c):
+                    if not len(fits):
+                        break
+                    fits = fits[need[fits + j] <= bits]
+            else:
+                wide = np.zeros(n + 1, np.int32)
+                np.cumsum(need > bits, out=wide[1:])
+                fits = fits[wide[fits + c] == wide[fits]]
+        count[fits], selector[fits], todo[fits] = c, s, False
     # all blocks step through their ids side by side
     starts = np.arange(0, n, BLOCK)
-    ends, place, chosen, live = np.minimum(starts + BLOCK, n), starts.copy(), [], np.arange(len(starts))
-    while len(live):
-        here = place[live]
-        chosen.append(here)
-        place[live] = here = here + count[here]
-        live = live[here < ends[live]]
-    first = np.sort(np.concatenate(chosen))  # blocks follow one another, so this is the order of the words
+    here, ends, head = starts, np.minimum(starts + BLOCK, n), np.zeros(n, bool)
+    while len(here):
+        head[here] = True
+        here = here + count[here]
+        on = here < ends
+        here, ends = here[on], ends[on]
+    first = np.flatnonzero(head)
     sel = selector[first]
     size = np.where(sel == ESCAPE, 2, 1)
     to = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     words[to] = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel):
-        own = sel == s
+        own = np.flatnonzero(sel == s)
+        at, into = first[own], to[own]
         if s == ESCAPE:
-            words[to[own] + 1] = ids[first[own]]
+            words[into + 1] = ids[at]
         elif s != ZEROS:
+            word = words[into]
             for j in range(int(COUNTS[s])):
-                words[to[own]] |= ids[first[own] + j] << np.uint64(BITS[s] * j)
+                word |= ids[at + j] << np.uint64(BITS[s] * j)
+            words[into] = word
     return words, to[np.searchsorted(first, starts)].astype(np.uint32)
 
 
@@ -125,16 +138,15 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
         _encoders[path] = e, {}
     encoder, cache = _encoders[path]
     words = [(t.lower() if b"<|" not in t else t).split() for t in texts]
-    if len(cache) * 190 > CACHE_BYTES:
+    if len(cache) > CACHED:
         cache.clear()
     fresh = sorted(set().union(*words).difference(cache))
-    for i in range(0, len(fresh), 4096):
-        some = fresh[i : i + 4096]
+    for i in range(0, len(fresh), 16_384):
+        some = fresh[i : i + 16_384]
         ids, counts = encoder.ids([w.decode() for w in some])
         packed, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
         cache.update(zip(some, (packed[a:b] for a, b in zip([0, *ends], ends)), strict=True))
-    get = cache.__getitem__
-    return [b"".join(map(get, w)) for w in words]
+    return [b"".join(map(cache.__getitem__, own)) for own in words]
 
 
 SEGMENT_SCHEMA = "shard int, segment bigint, n_ids bigint, n_docs bigint, doc_counts binary, offsets binary, words binary, doc_ids array<{}>"
