@@ -494,7 +494,7 @@ def line_ids(spark, d):
 @query("""SELECT 'j' || (page_id % 4) AS source, CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'logfmt' WHEN 2 THEN 'csv' ELSE 'regex' END AS format FROM pages WHERE page_id < 4""")
 def detect_formats(spark, d):
     p = load(spark, d, "pages").withColumn("k", F.col("page_id") % 4)
-    raw = F.when(F.col("k") == 0, F.to_json(F.struct("page_id", "url"))).when(F.col("k") == 1, F.format_string("id=%d url=%s", "page_id", F.concat(F.lit('"'), F.col("url"), F.lit('"')))).when(F.col("k") == 2, F.format_string("%d,%s", "page_id", "url")).otherwise(F.format_string("2024-04-28T04:02:03.123Z stdout F page %d", "page_id"))
+    raw = F.when(F.col("k") == 0, F.to_json(F.struct("page_id", "url"))).when(F.col("k") == 1, F.format_string("id=%d url=%s", "page_id", F.concat(F.lit('"'), F.col("url"), F.lit('"')))).when(F.col("k") == 2, F.format_string("%d,%s", F.col("page_id"), F.substring_index("url", "?", 1))).otherwise(F.format_string("2024-04-28T04:02:03.123Z stdout F page %d", "page_id"))
     return detect.detect_formats(p.select(F.concat(F.lit("j"), F.col("k").cast("string")).alias("source"), F.floor(F.col("page_id") / 4).alias("line_id"), raw.alias("raw"))).select("source", "format")
 
 
