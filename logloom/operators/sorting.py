@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions import levels
+from logloom.functions.scratch import written
 from logloom.functions.text import display
 
 ENUM_BYTES = 64
@@ -57,13 +58,11 @@ def last_lines(df: DataFrame, n: int, by: str | None = None, row_id: str = "row_
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Adds each row's place (from 0) in a total order, without a window over all rows.
 
-    Rows are range-partitioned and sorted; places inside a partition are shifted by the counts of the partitions before.
-    The order's first key decides the ranges, so give an order that ends in the row's id. The sorted rows are written to
-    a checkpoint, as both passes must see the same partitions.
+    Rows are range-partitioned and sorted; places inside a partition are shifted by the counts of the partitions before. The
+    order's first key decides the ranges, so give an order that ends in the row's id. The sorted rows are written to the
+    shared folder with their partition and place, so that both passes see the same.
     """
-    spark = df.sparkSession
-    sorted_ = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sorted_ = sorted_.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else sorted_.persist()
+    sorted_ = written(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "positions")
     counts = sorted_.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.scratch import scratch
 from logloom.operators import annotate, filters, schema
 from logloom.plans import catalogue
 from logloom.plans.catalogue import MAPPING, RULES, query
@@ -17,7 +18,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collected(spark: SparkSession, source: DataFrame, merge, mode: str = "append", timers: bool = False) -> DataFrame:
-    sink = stream.Merged(spark, stream.scratch(spark, "merged"), merge)
+    sink = stream.Merged(spark, scratch(spark, "merged"), merge)
     stream.drain(source, sink, mode, timers)
     return sink.table()
 

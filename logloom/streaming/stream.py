@@ -6,9 +6,6 @@ in applyInPandasWithState (a record whose next lines have not come yet).
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,19 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions import levels
+from logloom.functions.scratch import scratch
 from logloom.operators import histogram, schema
 
 RETAIN, RETAIN_RANGE, ERRORS_SHOWN, PENDING_MS = 10_000, (1_000, 1_000_000), 1_000, 500
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a local one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = os.environ.setdefault("LOGLOOM_SHARED", tempfile.mkdtemp(prefix="logloom-", dir="/tmp"))
-    return f"{top}/{what}-{uuid.uuid4().hex}"
-
-
 def tail_files(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
     """source, raw of new files in a folder. A file that grows must be shipped in pieces, as Spark reads each file once."""
     return spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "\r+$", "").alias("raw"))
