@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions import levels
-from logloom.functions.scratch import scratch
+from logloom.functions.scratch import remove, scratch
 from logloom.operators import histogram, schema
 
 RETAIN, RETAIN_RANGE, ERRORS_SHOWN, PENDING_MS = 10_000, (1_000, 1_000_000), 1_000, 500
@@ -40,15 +40,22 @@ def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
 class Merged:
     """A table that every batch is merged into: each batch writes a new version, and the table is the last one.
 
-    A batch that is run again after a failure replaces its own version, so each batch counts once."""
+    The version before is kept: a batch that is run again after a failure starts from it and replaces its own version, so
+    each batch counts once. Older versions are deleted."""
 
     def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-        self.spark, self.path, self.merge, self.last = spark, path, merge, None
+        self.spark, self.path, self.merge = spark, path, merge
+        self.last: int | None = None
+        self.before: int | None = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        now = None if self.last is None or self.last == number else self.spark.read.parquet(f"{self.path}/v{self.last}")
+        base = self.before if self.last == number else self.last
+        now = None if base is None else self.spark.read.parquet(f"{self.path}/v{base}")
         self.merge(now, batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.last = number
+        if self.last != number:
+            if self.before is not None:
+                remove(self.spark, f"{self.path}/v{self.before}")
+            self.before, self.last = self.last, number
 
     def table(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.last}")
