@@ -4,17 +4,19 @@ A document's set are the hashes of its distinct shingles. Sets are banded by siz
 into ranges (segments): two linked sets differ in at most H tokens, so with segments of weight 1 (must agree) and
 2 (may differ by one token, found through one-deletion neighbourhoods) that add up to more than H, one segment
 agrees within its weight. The allocation of weights and the slack come from a cost model over the exact number of
-sets in the band. The slack lets a set leave out up to that many segments that tell nothing: empty ones, and those
-whose signature is shared by more than HEAVY sets.
-
-Equal sets are one class from the start. Classes that share a signature meet in a candidate group, found by connected
-components over star edges, so no bucket is expanded into pairs. Each group is then verified exactly on the whole sets,
-in blocks of BLOCK classes: every pair of a group is counted in one of its block pairs, inside a task, and only
-links come out.
+sets in the band. The slack lets a set leave out up to that many segments that tell nothing: empty ones, and crowded ones, whose
+signature more than HEAVY sets share. By the same count two linked sets agree in segments of weight slack + 1, less those
+left out: pairs that meet in fewer buckets are no candidates.
+
+Equal sets are one class from the start. Pairs are formed in buckets of at most HEAVY sets; sets with more crowded
+segments than the slack allows meet in their crowded buckets over star edges. Candidates form groups (connected
+components); each group is verified exactly on the whole sets, in blocks of BLOCK classes: every pair of a group is
+counted in one of its block pairs, inside a task, and only links come out.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -28,16 +30,16 @@ from logloom.llm.components import components
 
 WORDS, PERCENT = 4, 85
 #: Growth of the size bands; sets that share a signature before it counts as heavy; classes in a verification block.
-BAND, HEAVY, BLOCK = 1.4, 64, 400
+BAND, HEAVY, BLOCK = 1.4, 16, 800
 #: Ids that are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
 
-def bands(largest: int) -> np.ndarray:
+def bands(largest: int, growth: float = BAND) -> np.ndarray:
     """First size of each band."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+        out.append(max(out[-1] + 1, int(out[-1] * growth)))
     return np.array(out)
 
 
@@ -48,15 +50,15 @@ class Allocation:
         self.most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)  # H: tokens that linked sets may differ in
         best = None
         for share in (0.0, 0.25, 0.5, 0.75, 1.0):
-            for slack in range(64 + self.most // 8):
+            for slack in range(64 + self.most // 4):
                 units = self.most + 1 + slack
                 doubles = int(units * share) // 2
                 singles = units - 2 * doubles
                 load = low / units
                 empty = math.exp(-load)
                 mean = singles * empty
-                if mean > slack or mean + 5 * math.sqrt(mean * (1 - empty)) > slack + 0.5:
-                    continue  # too many sets would have more empty segments than the slack
+                if mean + 5 * math.sqrt(mean * (1 - empty)) + self.most // 6 > slack + 0.5:
+                    continue  # slack for nearly all sets' empty segments, and for some that a common passage fills
                 rows = singles + doubles * (1 + 2 * load)
                 # chance meetings: both sets have a token in common that is alone in its segment
                 meetings = sets * 0.05 / low * (singles * (load * empty) ** 2 + doubles * (2 * load * empty**2) ** 2)
@@ -86,7 +88,7 @@ def class_keys(h: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(h: np.ndarray, band: int, plan: Allocation) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a sorted set in a band, and their kind: 2 * (slack left + 1) + (1 for a deletion); doubles have 0."""
+    """Keys of a sorted set in a band, and their kind: 4 * (slack left + 1) + (2 for a double) + (1 for a deletion)."""
     values = shingles.mix(h + np.uint64(0x632BE59BD9B4E019))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(values, out=sums[1:])
@@ -100,15 +102,16 @@ def signatures(h: np.ndarray, band: int, plan: Allocation) -> tuple[np.ndarray,
     take = np.ones(len(size), bool)
     if left >= 0:
         take[n2:] = size[n2:] > 0
-    kind = np.full(len(size), 2 * (max(left, -1) + 1) + 2)
-    kind[:n2] = 0
+    base = 4 * (max(left, -1) + 1)
+    kind = np.full(len(size), base)
+    kind[:n2] += 2
     keys, kind = keys[take], kind[take]
     if n2:
         end = int(edges[n2])
         owner = np.repeat(np.arange(n2), size[:n2])
         whole = (sums[edges[1:]] - sums[edges[:-1]])[:n2][owner]
         keys = np.concatenate([keys, shingles.mix((whole - values[:end]) ^ salt[owner])])
-        kind = np.concatenate([kind, np.ones(end, np.int64)])
+        kind = np.concatenate([kind, np.full(end, base + 3)])
     return keys, kind
 
 
@@ -235,40 +238,62 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         .where("sets > 1 AND hub IS NOT NULL")
     )
     shared = common.materialise(shared, "meetings")
-    slack_left = F.shiftright(F.col("kind").bitwiseAND(0xFFFF), 1) - 2  # of a single; doubles have -2
-    is_heavy = (F.col("sets") > heavy) & (slack_left >= -1)
-    light = shared.where(~is_heavy & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    crowded = shared.where(is_heavy)
-    over = crowded.groupBy("rep", F.shiftright("kind", 16).alias("band")).agg(F.count(F.lit(1)).alias("n_heavy"), F.first(slack_left).alias("left")).where("n_heavy > left").select(F.col("rep").alias("r"), F.col("band").alias("bd"))
-    held = crowded.join(over, (F.col("rep") == F.col("r")) & (F.shiftright("kind", 16) == F.col("bd"))).select("key", "rep")
+    band, left = F.shiftright("kind", 16), F.shiftright(F.col("kind").bitwiseAND(0xFFFF), 2) - 1
+    double = F.col("kind").bitwiseAND(2) == 2
+    crowded = F.col("sets") > heavy
+    # crowded segments of each set: left out (they only lower what it needs) if the slack allows, else all kept
+    crowds = shared.where(crowded & ~double).groupBy("rep", band.alias("band")).agg(F.count(F.lit(1)).alias("n_crowded"), F.first(left).alias("left"))
+    crowds = common.materialise(crowds.select(F.col("rep").alias("r"), F.col("band").alias("bd"), "n_crowded", (F.col("n_crowded") > F.col("left")).alias("dense")), "crowds")
+    same = (F.col("rep") == F.col("r")) & (band == F.col("bd"))
+    n_crowded = F.coalesce("n_crowded", F.lit(0))
+    # two linked sets agree in segments of weight slack + 1 in all: so many that are neither empty nor crowded
+    need = F.when(n_crowded <= left, left + 1 - n_crowded).otherwise(0)
+    few = shared.where(~crowded).join(crowds, same, "left").select("key", "rep", band.alias("band"), deletion.alias("deletion"), F.when(double, 2).otherwise(1).alias("weight"), need.alias("need"))
+    others = F.collect_list(F.struct("rep", "deletion", "need")).over(Window.partitionBy("key"))  # at most `heavy` of them
+    met = few.withColumn("others", F.filter(others, lambda o: (o["rep"] < F.col("rep")) & ~(o["deletion"] & F.col("deletion")))).select("rep", "band", "weight", "need", F.explode("others").alias("o"))
+    pairs = met.groupBy("rep", F.col("o.rep").alias("other"), "band").agg(F.sum("weight").alias("weight"), F.max(F.greatest("need", "o.need")).alias("need")).where("weight >= need")
+    light = pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
+    # a dense set leaves out its most shared segments, as many as the slack allows: as all sets go by the same order, the
+    # least shared of the segments that two linked sets agree in is left out by neither
+    most_shared = Window.partitionBy("rep", "bd").orderBy(F.desc("sets"), "key")
+    dense_rows = shared.where(crowded & ~double).withColumn("left", left).join(crowds.where("dense"), same).withColumn("place", F.row_number().over(most_shared))
+    held = dense_rows.where("place > left").select("key", "rep").unionByName(shared.where(crowded & double).select("key", "rep"))
     hubs = held.groupBy("key").agg(F.min("rep").alias("hub"))
     dense = held.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     groups = components(light.unionByName(dense).distinct())
+    common.release(shared, crowds)
 
     # exact verification of each group, in block pairs
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("root", "g")
-    members = (
-        groups.join(sizes, F.col("root") == F.col("g"))
-        .join(reps.select("rep", "copies"), F.col("node") == F.col("rep"))
-        .select("node", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "copies")
-    )
-    members = common.materialise(members, "members")
+    # groups of more than `block` classes are cut by set size first: only sizes within the threshold of each other meet
+    class_lows = bands(largest, 1.12)
+    class_highs = [int(x) - 1 for x in class_lows[1:]] + [2**62]
+    size_class = common.range_bin(F.col("n"), [int(x) for x in class_lows[1:]])
+    sized = groups.join(reps.select("rep", "copies", "n"), F.col("node") == F.col("rep")).select("node", "root", "copies", size_class.alias("size_class"))
+    counts = sized.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("k"))
+    plan = counts.groupBy("root").agg(F.sum("k").alias("members"), F.collect_list(F.struct("size_class", F.ceil(F.col("k") / block).cast("int").alias("blocks"))).alias("plan"))
+    plan = plan.select(F.col("root").alias("g"), (F.col("members") > block).alias("split"), F.when(F.col("members") > block, F.col("plan")).otherwise(F.array(F.struct(F.lit(0).alias("size_class"), F.lit(1).alias("blocks")))).alias("plan"))
+    members = common.materialise(sized.join(plan, F.col("root") == F.col("g")).drop("g"), "members")
     n_members = members.count()
-    sets = _join_ids(first_rows, members, n_members, "inner").select("node", "root", "blocks", "copies", "text")
+    sets = _join_ids(first_rows, members, n_members, "inner").select("node", "root", "split", "copies", "size_class", "plan", "text")
 
     def with_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(4)), words)]
+            found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(6)), words)]
             for i in range(0, len(found), 512):
                 part = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found[i : i + 512], pa.binary())], ["node", "root", "blocks", "copies", "tokens"])
-
-    own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(found[i : i + 512], pa.binary())], ["node", "root", "split", "copies", "size_class", "plan", "tokens"])
+
+    own_class = F.when(F.col("split"), F.col("size_class")).otherwise(0)
+    own_blocks = F.filter("plan", lambda p: p["size_class"] == own_class)[0]["blocks"]
+    lows_at, highs_at = (F.from_json(F.lit(json.dumps([int(x) for x in v])), "array<bigint>") for v in (class_lows, class_highs))
+    near = lambda p: 100 * F.element_at(highs_at, F.least(p["size_class"], own_class) + 1) >= percent * F.element_at(lows_at, F.greatest(p["size_class"], own_class) + 1)
+    block_id = lambda c, h: c.cast("long") * (1 << 32) + h
+    others = F.flatten(F.transform(F.filter("plan", near), lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda h: block_id(p["size_class"], h))))
     spread = (
-        sets.mapInArrow(with_sets, "node bigint, root bigint, blocks int, copies bigint, tokens binary")
-        .withColumn("own", own_block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "tokens", "blocks")
+        sets.mapInArrow(with_sets, "node bigint, root bigint, split boolean, copies bigint, size_class int, plan array<struct<size_class:int,blocks:int>>, tokens binary")
+        .withColumn("own", block_id(own_class, F.pmod(F.xxhash64("node"), own_blocks)))
+        .withColumn("other", F.explode(others))
+        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "tokens", "split")
     )
     dealt = spread.repartition(common.partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
@@ -291,7 +316,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         for batch in rows:
             found: list[tuple] = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = r[0], r[1], r[2], r[7] > 1
+                key = r[0], r[1], r[2], r[7]
                 if key != at:
                     if len(group) > 1:
                         found += links(group, at[1], at[2], at[3])
