@@ -274,14 +274,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     plan = plan.select(F.col("root").alias("g"), (F.col("members") > block).alias("split"), F.when(F.col("members") > block, F.col("plan")).otherwise(F.array(F.struct(F.lit(0).alias("size_class"), F.lit(1).alias("blocks")))).alias("plan"))
     members = common.materialise(sized.join(plan, F.col("root") == F.col("g")).drop("g"), "members")
     n_members = members.count()
-    sets = _join_ids(first_rows, members, n_members, "inner").select("node", "root", "split", "copies", "size_class", "plan", "text")
+    sets = _join_ids(first_rows, members.select("node"), n_members, "left_semi").select("doc_id", "text")
 
     def with_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(6)), words)]
+            found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(1)), words)]
             for i in range(0, len(found), 512):
-                part = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(found[i : i + 512], pa.binary())], ["node", "root", "split", "copies", "size_class", "plan", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(found[i : i + 512], pa.binary())], ["doc_id", "tokens"])
 
     own_class = F.when(F.col("split"), F.col("size_class")).otherwise(0)
     own_blocks = F.filter("plan", lambda p: p["size_class"] == own_class)[0]["blocks"]
@@ -290,7 +289,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     block_id = lambda c, h: c.cast("long") * (1 << 32) + h
     others = F.flatten(F.transform(F.filter("plan", near), lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda h: block_id(p["size_class"], h))))
     spread = (
-        sets.mapInArrow(with_sets, "node bigint, root bigint, split boolean, copies bigint, size_class int, plan array<struct<size_class:int,blocks:int>>, tokens binary")
+        sets.mapInArrow(with_sets, "doc_id bigint, tokens binary")
+        .join(members, F.col("doc_id") == F.col("node"))
         .withColumn("own", block_id(own_class, F.pmod(F.xxhash64("node"), own_blocks)))
         .withColumn("other", F.explode(others))
         .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "tokens", "split")
