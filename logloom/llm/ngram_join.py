@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import common, shingles
@@ -31,7 +31,7 @@ from logloom.llm.components import components
 WORDS, PERCENT = 4, 85
 #: Growth of the size bands; sets that share a signature before it counts as heavy; classes in a verification block.
 BAND, HEAVY, BLOCK = 1.4, 16, 800
-#: Ids that are broadcast at most; beyond, the join shuffles.
+#: Row hashes that are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
 
@@ -115,9 +115,14 @@ def signatures(h: np.ndarray, band: int, plan: Allocation) -> tuple[np.ndarray,
     return keys, kind
 
 
-def _join_ids(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
-    """docs joined with a table of n ids (column node): broadcast up to BROADCAST_IDS, else shuffled."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("node"), how)
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """64 bits that stand for a row: rows of equal id and text have the same."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, n: int, how: str) -> DataFrame:
+    """docs (column row) joined with a table of n row hashes (column node): broadcast up to BROADCAST_IDS, else shuffled."""
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_IDS else rows, F.col("row") == F.col("node"), how)
 
 
 def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -167,16 +172,20 @@ def roots(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, heavy: int = HEAVY, with_rows: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (rows linked with it).
 
     Two documents link if their Jaccard similarity is at least percent / 100; documents without words link with
-    nothing. Rows of equal id count as one document in the graph; null ids are members of their class but never its
-    name (component_id is null if nothing else is in it). An empty table gives an empty one.
+    nothing. Each row's text is compared, whatever its id. Rows of equal id count as one document in the graph, so an
+    id that comes with several texts connects their components; null ids connect nothing, link as others do, and never
+    name a component (component_id is null if nothing else is in it). An empty table gives an empty one.
+
+    with_rows adds row (row_hash of the row), h1 and h2 (the class of its text) and group: the component by texts
+    alone, which ids do not connect; null without words.
     """
     spark = docs.sparkSession
     common.ready(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", row_hash(F.col("doc_id"), F.col("text")))
 
     def summary(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -186,17 +195,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                 n.append(len(h))
                 h1.append(a)
                 h2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "row", "n", "h1", "h2"])
 
-    ids = common.materialise(docs.mapInArrow(summary, "doc_id bigint, n bigint, h1 bigint, h2 bigint"), "sets")
-    classes = common.materialise(ids.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "classes")
-    reps = classes.where("rep IS NOT NULL")
+    ids = common.materialise(docs.mapInArrow(summary, "doc_id bigint, row bigint, n bigint, h1 bigint, h2 bigint"), "sets")
+    # a class is known by the least hash of its rows (rep) and named by its least id
+    classes = common.materialise(ids.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "classes")
 
     # sets by size band, for the allocation
-    largest = reps.agg(F.max("n")).first()[0] or 1
+    largest = classes.agg(F.max("n")).first()[0] or 1
     lows = bands(largest)
     band_of = common.range_bin(F.col("n"), [int(x) for x in lows[1:]])
-    in_band = {r["b"]: r["k"] for r in reps.groupBy(band_of.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    in_band = {r["b"]: r["k"] for r in classes.groupBy(band_of.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
     plans = [Allocation(int(lows[b]), int(lows[b + 1]) - 1, in_band.get(b, 0) + in_band.get(b + 1, 0), percent) for b in range(len(lows) - 1)]
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +216,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
         for batch in rows:
             keys, own, kinds, size = [], [], [], 0
-            for doc, h in zip(batch.column(0).to_pylist(), shingles.distinct(shingles.encoded(batch.column(1)), words), strict=True):
-                if not len(h) or doc is None:
+            for row, h in zip(batch.column(0).to_pylist(), shingles.distinct(shingles.encoded(batch.column(1)), words), strict=True):
+                if not len(h):
                     continue
                 least = -(-percent * len(h) // 100)
                 band = int(np.searchsorted(lows, len(h), "right")) - 1
@@ -216,7 +225,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                     if plans[band].most > 0:
                         k, kind = signatures(h, band, plans[band])
                         keys.append(k)
-                        own.append(doc)
+                        own.append(row)
                         kinds.append(kind + (band << 16))
                         size += len(k)
                     band -= 1
@@ -226,9 +235,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             if keys:
                 yield out()
 
-    copies = ids.where("n > 0").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("node")).distinct()
-    n_all, n_reps = ids.count(), reps.count()
-    first_rows = _join_ids(docs, copies, n_all - n_reps, "left_anti")
+    # one row of each class is searched; rows of equal id and text have one hash and are made one
+    several = ids.join(classes.where("copies > 1").select("h1", "h2", "rep"), ["h1", "h2"])
+    several = common.materialise(several.groupBy("row", "rep").agg(F.count(F.lit(1)).alias("rows")).where("row <> rep OR rows > 1"), "copies")
+    repeated = several.where("row = rep").select(F.col("row").alias("node"))
+    n_several, n_repeated = several.count(), repeated.count()
+    first_rows = join_rows(docs, several.select(F.col("row").alias("node")), n_several, "left_anti").select("row", "text")
+    if n_repeated:
+        first_rows = first_rows.unionByName(join_rows(docs, repeated, n_repeated, "left_semi").groupBy("row").agg(F.first("text").alias("text")))
     meetings = first_rows.mapInArrow(emit, "key bigint, rep bigint, kind int")
     by_key = Window.partitionBy("key")
     deletion = F.col("kind").bitwiseAND(1) == 1
@@ -268,19 +282,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     class_lows = bands(largest, 1.12)
     class_highs = [int(x) - 1 for x in class_lows[1:]] + [2**62]
     size_class = common.range_bin(F.col("n"), [int(x) for x in class_lows[1:]])
-    sized = groups.join(reps.select("rep", "copies", "n"), F.col("node") == F.col("rep")).select("node", "root", "copies", size_class.alias("size_class"))
+    sized = groups.join(classes.select("rep", "copies", "n"), F.col("node") == F.col("rep")).select("node", "root", "copies", size_class.alias("size_class"))
     counts = sized.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("k"))
     plan = counts.groupBy("root").agg(F.sum("k").alias("members"), F.collect_list(F.struct("size_class", F.ceil(F.col("k") / block).cast("int").alias("blocks"))).alias("plan"))
     plan = plan.select(F.col("root").alias("g"), (F.col("members") > block).alias("split"), F.when(F.col("members") > block, F.col("plan")).otherwise(F.array(F.struct(F.lit(0).alias("size_class"), F.lit(1).alias("blocks")))).alias("plan"))
     members = common.materialise(sized.join(plan, F.col("root") == F.col("g")).drop("g"), "members")
     n_members = members.count()
-    sets = _join_ids(first_rows, members.select("node"), n_members, "left_semi").select("doc_id", "text")
+    sets = join_rows(first_rows, members.select("node"), n_members, "left_semi")
 
     def with_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(1)), words)]
             for i in range(0, len(found), 512):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(found[i : i + 512], pa.binary())], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(found[i : i + 512], pa.binary())], ["row", "tokens"])
 
     own_class = F.when(F.col("split"), F.col("size_class")).otherwise(0)
     own_blocks = F.filter("plan", lambda p: p["size_class"] == own_class)[0]["blocks"]
@@ -289,8 +303,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     block_id = lambda c, h: c.cast("long") * (1 << 32) + h
     others = F.flatten(F.transform(F.filter("plan", near), lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda h: block_id(p["size_class"], h))))
     spread = (
-        sets.mapInArrow(with_sets, "doc_id bigint, tokens binary")
-        .join(members, F.col("doc_id") == F.col("node"))
+        sets.mapInArrow(with_sets, "row bigint, tokens binary")
+        .join(members, F.col("row") == F.col("node"))
         .withColumn("own", block_id(own_class, F.pmod(F.xxhash64("node"), own_blocks)))
         .withColumn("other", F.explode(others))
         .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "tokens", "split")
@@ -330,12 +344,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     apart = components(links.where("split").select("a", "b"))
     final = links.where("NOT split").select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(apart)
     degree = links.groupBy("a").agg(F.sum("links").alias("links"))
+    final = common.materialise(final, "roots")
+    # ids that come with several texts connect their classes
+    texts_of = ids.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("h1", "h2") for f in (F.min, F.max)))
+    many = common.materialise(texts_of.where("min_h1 <> max_h1 OR min_h2 <> max_h2").select("doc_id"), "many-texts")
+    united = final
+    if many.count():
+        own_classes = common.materialise(ids.where("n > 0").join(many, "doc_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct(), "many-classes")
+        united = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(own_classes.join(own_classes.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")))
+    united = united.select(F.col("node").alias("u"), F.col("root").alias("whole"))
+    names = classes.join(united, F.col("rep") == F.col("u")).groupBy("whole").agg(F.min("least").alias("name"))
     named = (
         classes.join(final, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("a"), "left")
-        .select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .join(united.join(names, "whole"), F.col("rep") == F.col("u"), "left")
+        .select("h1", "h2", F.when(F.col("whole").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("group"))
     )
-    linked = ids.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    rows = ("row", "h1", "h2", "group") if with_rows else ()
+    linked = ids.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *rows)
+    alone = ids.where("n = 0").withColumn("group", F.lit(None).cast("long")).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), *rows)
     return linked.unionByName(alone)
 
 

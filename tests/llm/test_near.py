@@ -82,6 +82,28 @@ def test_jaccard_of_many_near_copies(spark, heavy, block):
     assert result(ngram_join.jaccard_components(df, words=5, percent=80, heavy=heavy, block=block)) == brute(range(len(texts)), texts, 5, 80)
 
 
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Every row's text is compared; equal ids connect, null ids do not."""
+    rng = random.Random(8)
+    x, y, z, v, u = ([f"{c}{rng.randrange(500)}" for _ in range(60)] for c in "xyzvu")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    x_, y_, z_, v_, u_ = (" ".join(w) for w in (x, y, z, v, u))
+    rows = [(5, x_), (5, y_), (3, y_), (9, near(x))]  # class Y has the least id 3, class X is searched all the same
+    rows += [(None, z_), (None, near(z)), (30, z_ + " more")]  # null ids near each other and near another
+    rows += [(None, v_), (None, near(v))]  # a component without a name
+    rows += [(40, u_), (40, u_), (40, u_), (41, near(u)), (50, "alone in its words"), (50, "another lonely set of words"), (None, None), (60, "")]
+    sets = sets_of([t for _, t in rows])
+    linked = [[i != j and bool(s and t) and 100 * len(s & t) >= 85 * len(s | t) for j, t in enumerate(sets)] for i, s in enumerate(sets)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if j == i or linked[i][j] or (rows[i][0] is not None and rows[i][0] == rows[j][0])) for i in range(len(rows))]
+    names = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    wanted = sorted((str(d), len(sets[i]), str(names[root[i]]), sum(linked[i])) for i, (d, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in ngram_join.jaccard_components(df).collect())
+    assert got == wanted
+
+
 def test_pigeonhole_finds_all_pairs():
     """Two sets within the bound share signatures of the weight that is asked for, whatever the allocation."""
     rng = np.random.default_rng(2)
