@@ -17,12 +17,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with word 5-gram Jaccard similarity of 0.8 or more (linked directly or through others) the one with the
-    least id stays. Documents without words stay."""
-    found = ngram_join.jaccard_components(docs, words=5, percent=80)
-    gone = common.materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
-    ids = F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone
-    return docs.join(ids, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """Of each group of texts with word 5-gram Jaccard similarity of 0.8 or more (linked directly or through others) one row stays: the
+    one with the least id (null is above all), of these the one with the least hash. Repeated and null ids follow the same rule: of repeated
+    rows one stays, and an id that comes with several texts keeps those that are not copies. Documents without words stay."""
+    found = ngram_join.jaccard_components(docs, words=5, percent=80, with_rows=True).where("group IS NOT NULL")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = found.join(best.select(F.col("group").alias("g"), "best"), F.col("group") == F.col("g")).groupBy("row", "best").agg(F.count(F.lit(1)).alias("n"))
+    gone = common.materialise(rows.where("row <> best OR n > 1").select(F.col("row").alias("node"), (F.col("row") == F.col("best")).alias("repeated")), "duplicates")
+    docs = docs.select(*COLUMNS).withColumn("row", ngram_join.row_hash(F.col("doc_id"), F.col("text")))
+    repeated = gone.where("repeated").select("node")
+    n_gone, n_repeated = gone.count(), repeated.count()
+    kept = ngram_join.join_rows(docs, gone.select("node"), n_gone, "left_anti").select(*COLUMNS)
+    if n_repeated:  # rows of equal id and text: one of them
+        once = ngram_join.join_rows(docs, repeated, n_repeated, "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+        kept = kept.unionByName(once.select("r.*"))
+    return kept
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

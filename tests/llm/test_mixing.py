@@ -87,6 +87,22 @@ def test_pipeline_stages(spark, docs, empty, texts, monkeypatch):
             assert tuple(out.columns) == corpus_pipeline.COLUMNS
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    def words(c, last="end"):
+        return " ".join([*(f"{c}{i}" for i in range(50)), last])
+
+    rows = [(7, words("a")), (7, words("a")), (7, words("a"))]  # repeated rows: one stays
+    rows += [(8, words("b")), (None, words("b")), (None, words("c")), (None, words("c", "other"))]  # null ids are compared
+    rows += [(5, words("d")), (5, words("e")), (3, words("e")), (9, words("d", "other"))]  # id 5's first text is no copy
+    rows += [(1, ""), (1, ""), (None, " ")]  # no words
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    one_of = [(i, t) for i, t in got if t in (words("c"), words("c", "other"))]
+    assert len(one_of) == 1 and one_of[0][0] is None
+    rest = Counter(got) - Counter(one_of)
+    assert rest == Counter([(7, words("a")), (8, words("b")), (5, words("d")), (3, words("e")), (1, ""), (1, ""), (None, " ")])
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
