@@ -128,8 +128,8 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
     """Ids of every UTF-8 text as little-endian 32-bit integers.
 
     Words between ASCII white space encode alone and are cached: this tokenizer drops white space, and neither its
-    normalizer nor its merges reach over it. Case is folded first, as the normalizer would, but where a text may
-    hold a special string.
+    normalizer nor its merges reach over it. Case is folded first in ASCII texts, as the normalizer would, but where a
+    text may hold a special string; other texts keep it, as the normalizer composes marks with capitals before.
     """
     if path not in _encoders:
         e = Encoder(path)
@@ -137,7 +137,7 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
             raise ValueError("this tokenizer keeps case or white space: its texts can't be cut into words")
         _encoders[path] = e, {}
     encoder, cache = _encoders[path]
-    words = [(t.lower() if b"<|" not in t else t).split() for t in texts]
+    words = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
     if len(cache) > CACHED:
         cache.clear()
     fresh = sorted(set().union(*words).difference(cache))

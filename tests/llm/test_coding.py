@@ -51,6 +51,15 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert got[1]["ids_crc32"] == got[2]["ids_crc32"] != got[3]["ids_crc32"]
 
 
+def test_capitals_before_combining_marks():
+    """Marks that compose with the small letter only: the normalizer composes first, then folds case."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a", "The T\u0308 AND", "t\u0308 j\u030c", "PLAIN words"]
+    got = token_files.encode_texts(path, [t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_other_tokenizers_are_refused(docs, tmp_path):
     with pytest.raises(ValueError):
         token_files.encode_texts(public_tokenizers.path("byte_bpe_50k.json"), [b"a"])
