@@ -15,8 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions import levels
-from logloom.functions.scratch import remove, scratch
+from logloom.functions.scratch import exists, remove, scratch
 from logloom.operators import histogram, schema
+from logloom.sources.detect import PROBED
 
 RETAIN, RETAIN_RANGE, ERRORS_SHOWN, PENDING_MS = 10_000, (1_000, 1_000_000), 1_000, 500
 
@@ -147,14 +148,35 @@ def merge_order(ts: str, row_id: str, by: str) -> Callable[[DataFrame | None, Da
     return merge
 
 
-def detect_then_parse(parse: dict[str, Callable[[DataFrame], DataFrame]], detect: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A sink for lines (source, line_id, raw) whose formats are told by each source's first batch and then kept."""
-    chosen: dict[str, str] = {}
+def detect_then_parse(parse: dict[str, Callable[[DataFrame], DataFrame]], detect: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for lines (source, line_id, raw) whose formats are told by each source's first lines that are not blank, wherever
+    their numbers start, and then kept; JSON where nothing is told. A CSV source keeps its first line as header over all batches.
+    path: a shared folder that keeps both over restarts."""
+    known: dict[str, tuple[str, int | None, str | None]] = {}
+    columns = "source string, format string, line_id bigint, header string"
 
     def run(batch: DataFrame, number: int) -> None:
-        new = batch.where(~F.col("source").isin(list(chosen))) if chosen else batch
-        chosen.update({r["source"]: r["format"] for r in detect(new).collect()})  # one row a source
-        parts = [parse[f](batch.where(F.col("source").isin([s for s, g in chosen.items() if g == f]))) for f in sorted(set(chosen.values()))]
+        spark = batch.sparkSession
+        if path and not known and exists(spark, path):
+            known.update({r["source"]: (r["format"], r["line_id"], r["header"]) for r in spark.read.schema(columns).parquet(path).collect()})  # one row a source
+        new = batch.where(~F.col("source").isin(list(known))) if known else batch
+        place = F.row_number().over(Window.partitionBy("source").orderBy("line_id"))
+        first = new.where(F.length(F.trim("raw")) > 0).select("source", "raw", F.col("line_id").alias("_id"), place.cast("long").alias("line_id")).where(F.col("line_id") <= PROBED).withColumn("line_id", F.col("line_id") - 1)
+        told = {r["source"]: r["format"] for r in detect(first.drop("_id")).collect()}  # one row a source
+        rows = []
+        for r in first.where("line_id = 0").collect():  # one row a source
+            f = told.get(r["source"], "json")
+            rows.append((r["source"], f if f in parse else "json", *((r["_id"], r["raw"]) if f == "csv" else (None, None))))
+        if rows and path:
+            spark.createDataFrame(rows, columns).write.mode("append").parquet(path)
+        known.update({r[0]: r[1:] for r in rows})
+        parts = []
+        for f in sorted({k[0] for k in known.values()}):
+            own = batch.where(F.col("source").isin([s for s, k in known.items() if k[0] == f]))
+            if f == "csv":  # the header goes before all lines of the batch; where it is one of them it is not repeated
+                heads = spark.createDataFrame([(s, *k[1:]) for s, k in known.items() if k[0] == f], "source string, line_id bigint, raw string")
+                own = own.join(heads, ["source", "line_id", "raw"], "left_anti").unionByName(heads.withColumn("line_id", F.lit(-(2**63)).cast("long")), allowMissingColumns=True)
+            parts.append(parse[f](own))
         out = None
         for p in parts:
             out = p if out is None else out.unionByName(p, allowMissingColumns=True)

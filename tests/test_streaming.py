@@ -67,6 +67,24 @@ def test_detection_on_a_stream(spark, folder):
     assert sum(seen) == 300
 
 
+def test_csv_over_batches_and_late_offsets(spark, tmp_path):
+    """A header holds for later batches, after a restart too, and numbers may start anywhere."""
+    seen = []
+
+    def sink():
+        return stream.detect_then_parse({"json": formats.parse_jsonl, "csv": formats.parse_csv}, detect.detect_formats, lambda df, n: seen.extend((r["source"], dict(r["fields"])) for r in df.collect()), str(tmp_path / "known"))
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "source string, line_id long, raw string")
+
+    one = sink()
+    one(batch(("c", 1000, "a,b"), ("c", 1001, "1,2"), ("j", 500, '{"n": 1}')), 0)
+    one(batch(("c", 1002, "3,4"), ("c", 1003, "5,6"), ("j", 501, '{"n": 2}')), 1)
+    sink()(batch(("c", 1004, "7,8")), 2)
+    cells = [("c", {"a": a, "b": b}) for a, b in ("12", "34", "56", "78")]
+    assert sorted(seen, key=str) == sorted([*cells, ("j", {"n": "1"}), ("j", {"n": "2"})], key=str)
+
+
 def test_pending_record(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("h1\n c1\nh2\n c2\n")
