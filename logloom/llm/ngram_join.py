@@ -31,6 +31,10 @@ from logloom.llm.components import components
 WORDS, PERCENT = 4, 85
 #: Growth of the size bands; sets that share a signature before it counts as heavy; classes in a verification block.
 BAND, HEAVY, BLOCK = 1.4, 16, 800
+#: Segments of a fine allocation for each that must agree; sets of the sample that tells hot keys, and how many of them make a key hot.
+FINE, SAMPLE, HOT = 6, 8_192, 48
+#: KIND, a long: bits of a signature. Flags; slack left + 1; the band; the segment (of doubles only).
+DELETION, DOUBLE, MARK, LEFT, BAND_AT, SEGMENT = 1, 2, 4, 8, 32, 40
 #: Row hashes that are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -44,9 +48,14 @@ def bands(largest: int, growth: float = BAND) -> np.ndarray:
 
 
 class Allocation:
-    """Segments of one band: singles of weight 1, doubles of weight 2, and the slack."""
+    """Segments of one band: singles of weight 1, doubles of weight 2, and the slack.
 
-    def __init__(self, low: int, high: int, sets: int, percent: int = PERCENT):
+    The cost of a set is its signature rows and the pairs it makes by chance: one for each other set that shares a token
+    which is alone in its segment in both. A bucket makes pairs up to HEAVY sets only, which bounds the chance of a segment.
+    A fine allocation has FINE singles for each one that must agree; only sets crowded in the first go by it.
+    """
+
+    def __init__(self, low: int, high: int, sets: int, percent: int = PERCENT, fine: bool = False):
         self.most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)  # H: tokens that linked sets may differ in
         best = None
         for share in (0.0, 0.25, 0.5, 0.75, 1.0):
@@ -57,17 +66,19 @@ class Allocation:
                 load = low / units
                 empty = math.exp(-load)
                 mean = singles * empty
-                if mean + 5 * math.sqrt(mean * (1 - empty)) + self.most // 6 > slack + 0.5:
+                if mean + 5 * math.sqrt(mean * (1 - empty)) + self.most // 10 > slack + 0.5:
                     continue  # slack for nearly all sets' empty segments, and for some that a common passage fills
                 rows = singles + doubles * (1 + 2 * load)
-                # chance meetings: both sets have a token in common that is alone in its segment
-                meetings = sets * 0.05 / low * (singles * (load * empty) ** 2 + doubles * (2 * load * empty**2) ** 2)
+                partners = min(sets * load * empty / low, HEAVY)
+                meetings = 0.05 * partners * (singles * load * empty + doubles * 4 * load * empty**3)
                 cost = rows + meetings
                 if best is None or cost < best[0]:
                     best = cost, units, doubles, slack
                 break
         if best is None:
             best = 0, self.most + 1 + (self.most + 1) % 2, (self.most + 2) // 2, 0
+        if fine:
+            best = 0, FINE * (self.most + 1), 0, (FINE - 1) * (self.most + 1)
         _, self.units, self.doubles, self.slack = best
         edges = [(i * 2**64) // self.units for i in range(1, self.units)]
         self.cuts = np.array([e for i, e in enumerate(edges, 1) if i >= 2 * self.doubles or i % 2 == 0], np.uint64)
@@ -87,34 +98,65 @@ def class_keys(h: np.ndarray) -> tuple[int, int]:
         return int(_signed(_sum_hash(h, 0x5DEECE66D).sum(dtype=np.uint64)[None])[0]), int(_signed(_sum_hash(h, 0x2545F4914F6CDD1D).sum(dtype=np.uint64)[None])[0])
 
 
-def signatures(h: np.ndarray, band: int, plan: Allocation) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a sorted set in a band, and their kind: 4 * (slack left + 1) + (2 for a double) + (1 for a deletion)."""
+def signatures(h: np.ndarray, band: int, plan: Allocation, fine: bool = False, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set in a band, and their kind, see KIND.
+
+    Empty singles have no key, nor are hot keys told: both are taken off the slack, a double with a hot key by its
+    weight. A set that has less slack than that is marked by one more row; in a fine allocation it tells its empty singles too.
+    """
     values = shingles.mix(h + np.uint64(0x632BE59BD9B4E019))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(values, out=sums[1:])
     edges = np.concatenate([[0], np.searchsorted(h, plan.cuts), [len(h)]])
     size = np.diff(edges)
-    salt = shingles.mix(np.arange(len(size), dtype=np.uint64) + np.uint64((band + 1) << 32))
+    salt = shingles.mix(np.arange(len(size), dtype=np.uint64) + np.uint64((band + 1 + 64 * fine) << 32))
     keys = shingles.mix((sums[edges[1:]] - sums[edges[:-1]]) ^ salt)
     n2 = plan.doubles
-    empty = int((size[n2:] == 0).sum())
-    left = plan.slack - empty
+    left = plan.slack - int((size[n2:] == 0).sum())
     take = np.ones(len(size), bool)
-    if left >= 0:
+    if left >= 0 or not fine:
         take[n2:] = size[n2:] > 0
-    base = 4 * (max(left, -1) + 1)
-    kind = np.full(len(size), base)
-    kind[:n2] += 2
-    keys, kind = keys[take], kind[take]
+    segment = np.zeros(len(size), np.int64)
+    segment[:n2] = np.arange(n2)
+    kind = np.zeros(len(size), np.int64)
+    kind[:n2] += DOUBLE
+    keys, kind, segment = keys[take], kind[take], segment[take]
     if n2:
         end = int(edges[n2])
         owner = np.repeat(np.arange(n2), size[:n2])
         whole = (sums[edges[1:]] - sums[edges[:-1]])[:n2][owner]
         keys = np.concatenate([keys, shingles.mix((whole - values[:end]) ^ salt[owner])])
-        kind = np.concatenate([kind, np.full(end, base + 3)])
+        kind = np.concatenate([kind, np.full(end, DOUBLE + DELETION)])
+        segment = np.concatenate([segment, owner])
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        is_hot = hot[at] == keys
+        left -= int((is_hot & (kind == 0)).sum()) + 2 * len(np.unique(segment[is_hot & (kind > 0)]))
+        keys, kind, segment = keys[~is_hot], kind[~is_hot], segment[~is_hot]
+    kind = kind + (segment << SEGMENT) + (band << BAND_AT) + (max(left, -1) + 1) * LEFT
+    if left < 0:
+        mark = shingles.mix(keys[:1] ^ h[:1]) if len(keys) else h[:1]
+        keys, kind = np.append(keys, mark), np.append(kind, MARK + (band << BAND_AT))
     return keys, kind
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their low bits, at least one bit a hash and a power of two of them."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of hashes in one of two sets only, from their bitmaps: a hash in both changes no bit of their sum."""
+    if len(x) < len(y):
+        x, y = y, x
+    more, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        more = (more >> bits) ^ (more & ((1 << bits) - 1))
+    return (more ^ int.from_bytes(y, "little")).bit_count()
+
+
 def row_hash(doc_id: Column, text: Column) -> Column:
     """64 bits that stand for a row: rows of equal id and text have the same."""
     return F.xxhash64(doc_id.cast("long"), text)
@@ -206,34 +248,40 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     lows = bands(largest)
     band_of = common.range_bin(F.col("n"), [int(x) for x in lows[1:]])
     in_band = {r["b"]: r["k"] for r in classes.groupBy(band_of.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    plans = [Allocation(int(lows[b]), int(lows[b + 1]) - 1, in_band.get(b, 0) + in_band.get(b + 1, 0), percent) for b in range(len(lows) - 1)]
-
-    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            lengths = [len(x) for x in keys]
-            arrays = [_signed(np.concatenate(keys)), np.repeat(np.array(own, np.int64), lengths), np.concatenate(kinds).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "rep", "kind"])
-
-        for batch in rows:
-            keys, own, kinds, size = [], [], [], 0
-            for row, h in zip(batch.column(0).to_pylist(), shingles.distinct(shingles.encoded(batch.column(1)), words), strict=True):
-                if not len(h):
-                    continue
-                least = -(-percent * len(h) // 100)
-                band = int(np.searchsorted(lows, len(h), "right")) - 1
-                while band >= 0 and lows[band + 1] - 1 >= least:
-                    if plans[band].most > 0:
-                        k, kind = signatures(h, band, plans[band])
-                        keys.append(k)
-                        own.append(row)
-                        kinds.append(kind + (band << 16))
-                        size += len(k)
-                    band -= 1
-                if size > 100_000:
+    in_reach = [in_band.get(b, 0) + in_band.get(b + 1, 0) for b in range(len(lows) - 1)]
+
+    def emit(fine: bool, hot: np.ndarray | None = None):
+        """Signature rows of texts (row, text)."""
+        plans = [Allocation(int(lows[b]), int(lows[b + 1]) - 1, k, percent, fine) for b, k in enumerate(in_reach)]
+
+        def told(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> pa.RecordBatch:
+                lengths = [len(x) for x in keys]
+                arrays = [_signed(np.concatenate(keys)), np.repeat(np.array(own, np.int64), lengths), np.concatenate(kinds)]
+                return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "rep", "kind"])
+
+            for batch in rows:
+                keys, own, kinds, size = [], [], [], 0
+                for row, h in zip(batch.column(0).to_pylist(), shingles.distinct(shingles.encoded(batch.column(1)), words), strict=True):
+                    if not len(h):
+                        continue
+                    least = -(-percent * len(h) // 100)
+                    band = int(np.searchsorted(lows, len(h), "right")) - 1
+                    while band >= 0 and lows[band + 1] - 1 >= least:
+                        if plans[band].most > 0:
+                            k, kind = signatures(h, band, plans[band], fine, hot)
+                            keys.append(k)
+                            own.append(row)
+                            kinds.append(kind)
+                            size += len(k)
+                        band -= 1
+                    if size > 100_000:
+                        yield out()
+                        keys, own, kinds, size = [], [], [], 0
+                if keys:
                     yield out()
-                    keys, own, kinds, size = [], [], [], 0
-            if keys:
-                yield out()
+
+        return told
 
     # one row of each class is searched; rows of equal id and text have one hash and are made one
     several = ids.join(classes.where("copies > 1").select("h1", "h2", "rep"), ["h1", "h2"])
@@ -243,39 +291,75 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first_rows = join_rows(docs, several.select(F.col("row").alias("node")), n_several, "left_anti").select("row", "text")
     if n_repeated:
         first_rows = first_rows.unionByName(join_rows(docs, repeated, n_repeated, "left_semi").groupBy("row").agg(F.first("text").alias("text")))
-    meetings = first_rows.mapInArrow(emit, "key bigint, rep bigint, kind int")
+    signature = "key bigint, rep bigint, kind bigint"
+    flag = lambda bit: F.col("kind").bitwiseAND(bit) == bit
+    band, left = F.shiftright("kind", BAND_AT).bitwiseAND(0xFF), F.shiftright(F.col("kind").bitwiseAND((1 << BAND_AT) - 1), 3) - 1
+    double, deletion, marked = flag(DOUBLE), flag(DELETION), flag(MARK)
+    crowded = F.col("sets") > heavy
+
+    def met(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs that meet in buckets of at most `heavy` sets (a, b); and sets (r, bd) that leave out more than their slack allows."""
+        # a set's crowded segments only lower what it needs, as far as its slack reaches; by the slack, a double has its weight
+        weight = F.count(F.when(~double, 1)) + 2 * F.size(F.collect_set(F.when(double, F.shiftright("kind", SEGMENT))))
+        crowds = shared.where(crowded | marked).groupBy("rep", band.alias("band")).agg(weight.alias("n_crowded"), F.max(left).alias("left"), F.max(marked).alias("marked"))
+        crowds = common.materialise(crowds.select(F.col("rep").alias("r"), F.col("band").alias("bd"), "n_crowded", (F.col("marked") | (F.col("n_crowded") > F.col("left"))).alias("dense")), "crowds")
+        n_crowded = F.coalesce("n_crowded", F.lit(0))
+        # two linked sets agree in segments of weight slack + 1 in all: so many that are neither empty, hot nor crowded
+        need = F.when(n_crowded <= left, left + 1 - n_crowded).otherwise(0)
+        few = shared.where(~crowded & ~marked).join(crowds, (F.col("rep") == F.col("r")) & (band == F.col("bd")), "left")
+        few = few.select("key", "rep", band.alias("band"), deletion.alias("deletion"), F.when(double, 2).otherwise(1).alias("weight"), need.alias("need"))
+        others = F.collect_list(F.struct("rep", "deletion", "need")).over(Window.partitionBy("key"))  # at most `heavy` of them
+        each = few.withColumn("others", F.filter(others, lambda o: (o["rep"] < F.col("rep")) & ~(o["deletion"] & F.col("deletion")))).select("rep", "band", "weight", "need", F.explode("others").alias("o"))
+        pairs = each.groupBy("rep", F.col("o.rep").alias("other"), "band").agg(F.sum("weight").alias("weight"), F.max(F.greatest("need", "o.need")).alias("need")).where("weight >= need")
+        return pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")), crowds.where("dense").select("r", "bd")
+
+    # keys that many sets of a hash sample have are hot: they are left out as crowded without being counted
+    n_classes = classes.count()
+    drawn = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n_classes, 1)) * (1 << 30))
+    hot = first_rows.where(drawn).mapInArrow(emit(False), signature).where(~marked).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).collect()
+    hot = np.sort(np.array([r["key"] for r in hot], np.int64).view(np.uint64))
     by_key = Window.partitionBy("key")
-    deletion = F.col("kind").bitwiseAND(1) == 1
-    shared = (
-        meetings.withColumn("sets", F.count(F.lit(1)).over(by_key))
-        .withColumn("hub", F.min(F.when(~deletion, F.col("rep"))).over(by_key))
-        .where("sets > 1 AND hub IS NOT NULL")
-    )
+    told = first_rows.mapInArrow(emit(False, hot), signature)
+    shared = told.withColumn("sets", F.count(F.lit(1)).over(by_key)).withColumn("whole", F.max(~deletion).over(by_key)).where((F.col("sets") > 1) & F.col("whole") | marked).drop("whole")
     shared = common.materialise(shared, "meetings")
-    band, left = F.shiftright("kind", 16), F.shiftright(F.col("kind").bitwiseAND(0xFFFF), 2) - 1
-    double = F.col("kind").bitwiseAND(2) == 2
-    crowded = F.col("sets") > heavy
-    # crowded segments of each set: left out (they only lower what it needs) if the slack allows, else all kept
-    crowds = shared.where(crowded & ~double).groupBy("rep", band.alias("band")).agg(F.count(F.lit(1)).alias("n_crowded"), F.first(left).alias("left"))
-    crowds = common.materialise(crowds.select(F.col("rep").alias("r"), F.col("band").alias("bd"), "n_crowded", (F.col("n_crowded") > F.col("left")).alias("dense")), "crowds")
-    same = (F.col("rep") == F.col("r")) & (band == F.col("bd"))
-    n_crowded = F.coalesce("n_crowded", F.lit(0))
-    # two linked sets agree in segments of weight slack + 1 in all: so many that are neither empty nor crowded
-    need = F.when(n_crowded <= left, left + 1 - n_crowded).otherwise(0)
-    few = shared.where(~crowded).join(crowds, same, "left").select("key", "rep", band.alias("band"), deletion.alias("deletion"), F.when(double, 2).otherwise(1).alias("weight"), need.alias("need"))
-    others = F.collect_list(F.struct("rep", "deletion", "need")).over(Window.partitionBy("key"))  # at most `heavy` of them
-    met = few.withColumn("others", F.filter(others, lambda o: (o["rep"] < F.col("rep")) & ~(o["deletion"] & F.col("deletion")))).select("rep", "band", "weight", "need", F.explode("others").alias("o"))
-    pairs = met.groupBy("rep", F.col("o.rep").alias("other"), "band").agg(F.sum("weight").alias("weight"), F.max(F.greatest("need", "o.need")).alias("need")).where("weight >= need")
-    light = pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
-    # a dense set leaves out its most shared segments, as many as the slack allows: as all sets go by the same order, the
-    # least shared of the segments that two linked sets agree in is left out by neither
+    light, dense = met(shared)
+    light = common.materialise(light.distinct(), "pairs")
+
+    # sets whose crowded segments are too many meet again by a fine allocation, which may leave out more of them
+    dense = common.materialise(dense.select("r").distinct(), "dense")
+    again = join_rows(first_rows, dense.select(F.col("r").alias("node")), dense.count(), "left_semi").mapInArrow(emit(True), signature)
+    fine_rows = common.materialise(again, "fine")
+    counts = fine_rows.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").withColumnRenamed("key", "k")
+    again = common.materialise(fine_rows.join(counts, F.col("key") == F.col("k"), "left").where(F.col("sets").isNotNull() | marked).drop("k"), "meetings")
+    more, dense = met(again)
+    light = light.unionByName(more).distinct()
+    # a set that is dense still leaves out its most shared segments, as many as the slack allows: as all sets go by the same
+    # order, the least shared of the segments that two linked sets agree in is left out by neither. There they meet by star edges
     most_shared = Window.partitionBy("rep", "bd").orderBy(F.desc("sets"), "key")
-    dense_rows = shared.where(crowded & ~double).withColumn("left", left).join(crowds.where("dense"), same).withColumn("place", F.row_number().over(most_shared))
-    held = dense_rows.where("place > left").select("key", "rep").unionByName(shared.where(crowded & double).select("key", "rep"))
+    held = again.where(crowded & ~marked).withColumn("left", left).join(dense, (F.col("rep") == F.col("r")) & (band == F.col("bd"))).withColumn("place", F.row_number().over(most_shared)).where("place > left").select("key", "rep")
     hubs = held.groupBy("key").agg(F.min("rep").alias("hub"))
-    dense = held.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    groups = components(light.unionByName(dense).distinct())
-    common.release(shared, crowds)
+    stars = held.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+
+    # pairs that differ in too many bits differ in too many shingles
+    def with_bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [(len(h), bitmap(h)) for h in shingles.distinct(shingles.encoded(batch.column(1)), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["row", "n", "bits"])
+
+    def alike(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            columns = [c.to_pylist() for c in batch.columns]
+            keep = [(100 + percent) * differ(x, y) <= (100 - percent) * (n + m) for n, x, m, y in zip(*columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    light = common.materialise(light, "pairs")
+    ends = light.select(F.col("a").alias("node")).unionByName(light.select(F.col("b").alias("node"))).distinct()
+    ends = common.materialise(ends, "ends")
+    bits = common.materialise(join_rows(first_rows, ends, ends.count(), "left_semi").mapInArrow(with_bits, "row bigint, n bigint, bits binary"), "bits")
+    pairs = light.join(bits.toDF("ra", "n", "x"), F.col("a") == F.col("ra")).join(bits.toDF("rb", "m", "y"), F.col("b") == F.col("rb"))
+    pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "n", "x", "m", "y").mapInArrow(alike, "a bigint, b bigint")
+    groups = components(pairs.unionByName(stars))
+    common.release(shared, fine_rows, again, light, bits, ends)
 
     # exact verification of each group, in block pairs
     # groups of more than `block` classes are cut by set size first: only sizes within the threshold of each other meet

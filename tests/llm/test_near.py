@@ -82,6 +82,36 @@ def test_jaccard_of_many_near_copies(spark, heavy, block):
     assert result(ngram_join.jaccard_components(df, words=5, percent=80, heavy=heavy, block=block)) == brute(range(len(texts)), texts, 5, 80)
 
 
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    """Keys that the sample calls hot: near copies of one text are most of the rows, and others share passages of them."""
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    hot = [rng.choice(vocabulary) for _ in range(90)]
+    texts = []
+    for _ in range(110):
+        w = list(hot)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(90)] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    for n in (10, 25, 60, 100):
+        for _ in range(12):
+            own = [rng.choice(vocabulary) for _ in range(n)]
+            texts += [" ".join(own + hot[:60]), " ".join([*own[:-1], "end", *hot[:60]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for heavy in (4, 16):
+        assert result(ngram_join.jaccard_components(df, words=5, percent=80, heavy=heavy)) == brute(range(len(texts)), texts, 5, 80)
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, int(rng.integers(0, 300)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, int(rng.integers(1, 200)), dtype=np.uint64)])) for _ in range(2))
+        assert ngram_join.differ(ngram_join.bitmap(x), ngram_join.bitmap(y)) <= len(np.setxor1d(x, y))
+        assert ngram_join.differ(ngram_join.bitmap(x), ngram_join.bitmap(x)) == 0
+
+
 def test_jaccard_of_repeated_and_null_ids(spark):
     """Every row's text is compared; equal ids connect, null ids do not."""
     rng = random.Random(8)
@@ -107,14 +137,15 @@ def test_jaccard_of_repeated_and_null_ids(spark):
 def test_pigeonhole_finds_all_pairs():
     """Two sets within the bound share signatures of the weight that is asked for, whatever the allocation."""
     rng = np.random.default_rng(2)
-    for low, high, sets in ((6, 8, 10), (20, 27, 1000), (100, 139, 10**5), (100, 139, 10**12), (1000, 1399, 10**4)):
-        plan = ngram_join.Allocation(low, high, sets)
+    cases = ((6, 8, 10), (20, 27, 1000), (100, 139, 10**5), (100, 139, 10**12), (1000, 1399, 10**4))
+    for low, high, sets, fine in ((*c, f) for c in cases for f in (False, True)):
+        plan = ngram_join.Allocation(low, high, sets, fine=fine)
         for _ in range(30):
             n = int(rng.integers(low, high + 1))
             a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
             drop = int(plan.most * 0.5 * rng.random())
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
-            (ka, ta), (kb, tb) = (ngram_join.signatures(np.unique(x), 3, plan) for x in (a, b))
+            (ka, ta), (kb, tb) = (ngram_join.signatures(np.unique(x), 3, plan, fine) for x in (a, b))
             found = {k for k, t in zip(ka.tolist(), ta.tolist(), strict=True)} & {k for k, t in zip(kb.tolist(), tb.tolist(), strict=True)}
             assert found
 
