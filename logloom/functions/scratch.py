@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a local one where that is unset."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; a local one where that is unset and Spark is local."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = os.environ.get("LOGLOOM_SHARED") or tempfile.mkdtemp(prefix="logloom-", dir="/tmp")
         os.environ["LOGLOOM_SHARED"] = top
     return f"{top}/{what}-{uuid.uuid4().hex}"
@@ -31,6 +33,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()] if files.exists(where) else []
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

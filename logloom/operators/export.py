@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ def to_json_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             text = c.cast("string")
         else:
             text = F.replace(F.substring(F.to_json(F.struct(c.cast("string").alias("v"))), F.lit(6), F.length(F.to_json(F.struct(c.cast("string").alias("v")))) - 6), F.lit("\\/"), F.lit("/"))
-        parts.append(F.when(c.isNotNull(), F.concat(F.to_json(F.array(F.lit(name))).substr(F.lit(2), F.lit(len(name) + 2)) if name.isidentifier() else F.lit(f'"{name}"'), F.lit(":"), text)))
+        parts.append(F.when(c.isNotNull(), F.concat(F.lit(json.dumps(name, ensure_ascii=False)), F.lit(":"), text)))
     return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
 
 

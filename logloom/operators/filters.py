@@ -13,12 +13,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions import levels
 from logloom.functions.text import display
+from logloom.functions.times import format_time
 
 BOOL, ENUM, TIME, NUMBER, TEXT = 1, 2, 3, 4, 10
 
@@ -136,7 +138,8 @@ def is_boolean(column: str, true: bool = True, false: bool = False) -> Leaf:
 
 
 def _text(column: str, needle: str, test: Callable[[Column], Column]) -> Leaf:
-    return Leaf(column, TEXT, lambda df, c: test(display(c)))
+    """On the shown text: times as format_time() shows them."""
+    return Leaf(column, TEXT, lambda df, c: test(F.coalesce(format_time(c), F.lit("")) if _needs(df, column, T.TimestampType, T.TimestampNTZType) else display(c)))
 
 
 def exactly(column: str, text: str) -> Leaf:
@@ -154,11 +157,16 @@ def matches(column: str, pattern: str) -> Leaf:
     """Regular expression, found anywhere; one that does not compile matches nothing."""
     if not pattern:
         raise ValueError("an empty needle")
+    return _text(column, pattern, lambda c: c.rlike(pattern) if _compiles(pattern) else F.lit(False))
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that runs the pattern reads it."""
     try:
-        re.compile(pattern)
-    except re.error:
-        return _text(column, pattern, lambda c: F.lit(False))
-    return _text(column, pattern, lambda c: c.rlike(pattern))
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 def glob_pattern(glob: str, cross_slash: bool = False) -> str:

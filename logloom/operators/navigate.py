@@ -14,26 +14,42 @@ def goto_time(df: DataFrame, ts: str, at, row_id: str = "row_id") -> DataFrame:
     return df.where(F.col(ts) >= F.lit(at)).orderBy(ts, row_id).limit(1)
 
 
-def asof_rows(df: DataFrame, ts: str, targets: DataFrame, target: str = "target_ts", row_id: str = "row_id", seconds: int = 3600, by: str | None = None) -> DataFrame:
+def time_blocks(rows: DataFrame, ts: str, seconds: int, by: list[str] | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """Adds _b, a number that never falls with the time: buckets of so many seconds, cut into equal parts where one holds more
+    than `block` rows. The counts are one row a bucket, broadcast only if they are few."""
+    by = by or []
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    whole = F.floor(at / (seconds * 1_000_000))
+    rows = rows.withColumn("_whole", whole)
+    counts = rows.groupBy(*by, "_whole").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_whole").alias("_w"), F.least(F.ceil(F.col("_n") / block), F.lit(1 << 20)).alias("_parts"))
+    on = F.col("_whole") == F.col("_w")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    parts = F.coalesce("_parts", F.lit(1))
+    inside = F.floor((at - F.col("_whole") * (seconds * 1_000_000)) / (seconds * 1_000_000 / parts))
+    return rows.join(counts, on, "left").withColumn("_b", F.col("_whole") * (1 << 20) + F.least(inside, parts - 1)).drop("_whole", "_w", "_parts", "_n", *(f"_{k}" for k in by))
+
+
+def asof_rows(df: DataFrame, ts: str, targets: DataFrame, target: str = "target_ts", row_id: str = "row_id", seconds: int = 3600, by: str | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """For each target: target columns, found_ts, found_row: the first row at or after it (null if there is none).
 
     Times are cut into buckets. Inside a bucket the rows after each target come from one window over the bucket's rows and
-    targets; where the bucket has none, from the first row of the next bucket that has any. `by` asks within equal keys.
+    targets, latest first; where the bucket has none, from the first row of the next bucket that has any. `by` asks within
+    equal keys. Of rows of the same time only the first takes part, so a crowded instant is no crowded bucket.
     """
     key = [by] if by else []
-    when = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bucket = lambda c: F.floor(when(c) / (seconds * 1_000_000))
-    rows = df.where(F.col(ts).isNotNull()).select(*key, F.col(ts).alias("_t"), F.col(row_id).alias("_row"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in targets.schema.fields) + ">").alias("_ask"))
+    ask = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in targets.schema.fields) + ">"
+    rows = df.where(F.col(ts).isNotNull()).groupBy(*key, F.col(ts).alias("_t")).agg(F.min(row_id).alias("_row")).withColumn("_ask", F.lit(None).cast(ask))
     asks = targets.where(F.col(target).isNotNull()).select(*key, F.col(target).cast(df.schema[ts].dataType).alias("_t"), F.lit(None).cast(df.schema[row_id].dataType).alias("_row"), F.struct(*targets.columns).alias("_ask"))
-    both = rows.unionByName(asks).withColumn("_b", bucket("_t"))
-    ahead = Window.partitionBy(*key, "_b").orderBy("_t", F.col("_row").isNotNull(), "_row").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    inside = both.withColumn("_found", F.first(F.when(F.col("_row").isNotNull(), F.struct("_t", "_row")), ignorenulls=True).over(ahead)).where("_ask IS NOT NULL")
+    both = time_blocks(rows.unionByName(asks), "_t", seconds, key, block)
+    head = F.struct("_t", "_row")
+    ahead = Window.partitionBy(*key, "_b").orderBy(F.desc("_t"), F.col("_row").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_found", F.last(F.when(F.col("_row").isNotNull(), head), ignorenulls=True).over(ahead)).where("_ask IS NOT NULL")
     # first row of every bucket, and of the next one that has rows: one row a bucket
-    heads = rows.withColumn("_b", bucket("_t")).groupBy(*key, "_b").agg(F.min(F.struct("_t", "_row")).alias("_head"))
-    open_ = inside.where("_found IS NULL").select(*key, "_b").distinct().withColumn("_head", F.lit(None).cast(heads.schema["_head"].dataType))
-    runs = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    merged = heads.unionByName(open_).groupBy(*key, "_b").agg(F.first("_head", ignorenulls=True).alias("_head"))
-    nexts = merged.withColumn("_next", F.first("_head", ignorenulls=True).over(runs)).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_b").alias("_nb"), "_next")
+    heads = both.groupBy(*key, "_b").agg(F.min(F.when(F.col("_row").isNotNull(), head)).alias("_head"))
+    runs = Window.partitionBy(*(key or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = heads.withColumn("_next", F.last("_head", ignorenulls=True).over(runs)).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_b").alias("_nb"), "_next")
     on = F.col("_b") == F.col("_nb")
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -45,12 +61,13 @@ def _edges(df: DataFrame, row: str, flag: Column, rows: int) -> tuple[DataFrame,
     """Rows with their block and flag; a row a block with its first and last flagged row and those of the blocks around it."""
     marked = df.withColumn("_b", F.floor(F.col(row) / rows)).withColumn("_f", F.coalesce(flag, F.lit(False)))
     blocks = marked.groupBy("_b").agg(F.min(F.when(F.col("_f"), F.col(row))).alias("_lo"), F.max(F.when(F.col("_f"), F.col(row))).alias("_hi"), F.count_if("_f").alias("_hits"))
-    order = Window.orderBy("_b")  # one row a block
+    # one row a block
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
     every = Window.partitionBy(F.lit(0))
     blocks = (
-        blocks.withColumn("_after", F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-        .withColumn("_before", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_done", F.coalesce(F.sum("_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        blocks.withColumn("_after", F.last("_lo", ignorenulls=True).over(down))
+        .withColumn("_before", F.last("_hi", ignorenulls=True).over(up))
+        .withColumn("_done", F.coalesce(F.sum("_hits").over(up), F.lit(0)))
         .withColumn("_first", F.min("_lo").over(every))
         .withColumn("_last", F.max("_hi").over(every))
         .drop("_lo", "_hi", "_hits")
@@ -62,9 +79,9 @@ def next_marked(df: DataFrame, row: str, flag: Column, rows: int = BLOCK_ROWS) -
     """Adds next_marked and previous_marked: the nearest flagged rows after and before, going round at the ends. `row` numbers the
     rows in the order that counts."""
     marked, blocks = _edges(df, row, flag, rows)
-    here = Window.partitionBy("_b").orderBy(row)
+    up, down = (Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(row), F.desc(row)))
     own = F.when(F.col("_f"), F.col(row))
-    marked = marked.withColumn("_n", F.first(own, ignorenulls=True).over(here.rowsBetween(1, Window.unboundedFollowing))).withColumn("_p", F.last(own, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("_n", F.last(own, ignorenulls=True).over(down)).withColumn("_p", F.last(own, ignorenulls=True).over(up))
     return marked.join(blocks, "_b").withColumn("next_marked", F.coalesce("_n", "_after", "_first")).withColumn("previous_marked", F.coalesce("_p", "_before", "_last")).drop("_b", "_f", "_n", "_p", "_after", "_before", "_done", "_first", "_last")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.navigate import BLOCK_ROWS, time_blocks
 
-def time_gaps(df: DataFrame, ts: str, row_id: str, n: int = 10, seconds: int = 86400) -> DataFrame:
+
+def time_gaps(df: DataFrame, ts: str, row_id: str, n: int = 10, seconds: int = 86400, block: int = BLOCK_ROWS) -> DataFrame:
     """The n longest silences: gap_seconds, row and time before and after. Neighbours are found inside time buckets; a
     bucket's first row follows the last row of the bucket with rows before it."""
-    rows = df.where(F.col(ts).isNotNull()).select(F.col(ts).alias("at"), F.col(row_id).alias("row")).withColumn("b", F.window("at", f"{seconds} seconds")["start"])
+    rows = time_blocks(df.where(F.col(ts).isNotNull()).select(F.col(ts).alias("at"), F.col(row_id).alias("row")), "at", seconds, block=block).withColumnRenamed("_b", "b")
     inside = Window.partitionBy("b").orderBy("at", "row")
     last = rows.groupBy("b").agg(F.max(F.struct("at", "row")).alias("last"))
     # one row a bucket

@@ -162,9 +162,10 @@ def redetect(df: DataFrame, name: str) -> str:
     return promote(profile(one)).first()["type"]
 
 
-def columns_in_order(df: DataFrame, order: list[str], hidden: tuple[str, ...] = ()) -> DataFrame:
-    """Named columns first, the rest as they were, hidden ones left out of the projection only."""
-    return df.select(*[c for c in order if c not in hidden], *[c for c in df.columns if c not in order and c not in hidden])
+def columns_in_order(df: DataFrame, order: list[str], hidden: tuple[str, ...] = (), names: dict[str, str] | None = None) -> DataFrame:
+    """Named columns first, the rest as they were, hidden ones left out of the projection only; names renames columns."""
+    shown = [c for c in order if c not in hidden] + [c for c in df.columns if c not in order and c not in hidden]
+    return df.select(*(F.col(f"`{c}`").alias((names or {}).get(c, c)) for c in shown))
 
 
 def type_health(df: DataFrame, types: dict[str, str]) -> DataFrame:

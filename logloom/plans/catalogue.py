@@ -316,12 +316,12 @@ def asof_many(spark, d):
 SELECT event_id, coalesce(min(own) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(own) OVER ()) AS next_marked,
 coalesce(max(own) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(own) OVER ()) AS previous_marked FROM m""")
 def next_anchor(spark, d):
-    return navigate.next_marked(anchored(events(spark, d)), "event_id", F.col("slot").isNotNull(), 1000).select("event_id", "next_marked", "previous_marked")
+    return navigate.next_marked(anchored(events(spark, d)), "event_id", F.col("slot").isNotNull()).select("event_id", "next_marked", "previous_marked")
 
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY event_id) AS hit_number, coalesce(lead(event_id) OVER (ORDER BY event_id), min(event_id) OVER ()) AS next_hit FROM events WHERE contains(props, '7')""")
 def find_hits(spark, d):
-    return navigate.hit_positions(events(spark, d), "event_id", F.col("props").contains("7"), 1000).select("event_id", "hit_number", "next_hit")
+    return navigate.hit_positions(events(spark, d), "event_id", F.col("props").contains("7")).select("event_id", "hit_number", "next_hit")
 
 
 @query("SELECT event_id FROM events WHERE contains(event_type, 'err') OR contains(props, 'err')")
@@ -375,7 +375,7 @@ def json_typed(spark, d):
 
 @query("""SELECT * FROM (VALUES ('ts', 'time'), ('level', 'enum'), ('k', 'integer'), ('user_id', 'integer'), ('value', 'floating')) v(key, type)""")
 def inferred_types(spark, d):
-    return schema.promote(schema.profile(_parsed(events(spark, d)))).select("key", F.when((F.col("key") == "value") & (F.col("type") == "number"), "floating").otherwise(F.col("type")).alias("type"))
+    return schema.promote(schema.profile(_parsed(events(spark, d)))).select("key", "type")
 
 
 @query("""SELECT 'user_id' AS "column", count(*) AS total, count(user_id) AS present, count(user_id) AS matching, 0.0 AS mismatch_pct FROM events
@@ -398,7 +398,7 @@ def min_max(spark, d):
 
 @query("SELECT event_type, coalesce(bool_and(ok), true) AS monotonic FROM (SELECT event_type, ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS ok FROM events) GROUP BY 1")
 def monotonic(spark, d):
-    return schema.is_monotonic(events(spark, d), "ts", "event_id", "event_type", 1000)
+    return schema.is_monotonic(events(spark, d), "ts", "event_id", "event_type")
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN event_type END, user_id::VARCHAR) AS first_alias FROM events")

@@ -17,14 +17,16 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(fields).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def collected(spark: SparkSession, source: DataFrame, merge, mode: str = "append", timers: bool = False) -> DataFrame:
+def collected(spark: SparkSession, source: DataFrame, merge, mode: str = "append") -> DataFrame:
     sink = stream.Merged(spark, scratch(spark, "merged"), merge)
-    stream.drain(source, sink, mode, timers)
+    stream.drain(source, sink, mode)
     return sink.table()
 
 
-def appended(now: DataFrame | None, batch: DataFrame) -> DataFrame:
-    return batch if now is None else now.unionByName(batch)
+def added(spark: SparkSession, source: DataFrame, timers: bool = False) -> DataFrame:
+    path = scratch(spark, "added")
+    stream.drain(source, stream.appending(path), timers=timers)
+    return stream.appended(spark, path)
 
 
 @query(catalogue.ORACLES["hist_1h_levels"])
@@ -36,12 +38,12 @@ def stream_histogram(spark, d):
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND value > 100")
 def stream_filter(spark, d):
     rule = filters.all_of(filters.enum_in("event_type", ["error"]), filters.greater("value", 100))
-    return collected(spark, filters.where(events(spark, d), rule).select("event_id"), appended)
+    return added(spark, filters.where(events(spark, d), rule).select("event_id"))
 
 
 @query(catalogue.ORACLES["highlight_last_wins"])
 def stream_highlight(spark, d):
-    return collected(spark, annotate.highlight(events(spark, d), RULES).select("event_id", "highlight"), appended)
+    return added(spark, annotate.highlight(events(spark, d), RULES).select("event_id", "highlight"))
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000")
@@ -75,4 +77,4 @@ def stream_fold(spark, d):
     """Every row that is no view is a header, views continue it; a source's last record is still pending."""
     raw = F.when(F.col("event_type") == "view", F.concat(F.lit("  at "), F.col("props"))).otherwise(F.concat_ws(" ", "event_type", "props"))
     lines = events(spark, d).select(F.format_string("u%d", "user_id").alias("source"), F.col("event_id").alias("line_id"), raw.alias("raw"))
-    return collected(spark, stream.fold_stream(lines, r"\S", 3_600_000), appended, timers=True).groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    return added(spark, stream.fold_stream(lines, r"\S", 3_600_000), timers=True).where("error IS NULL").groupBy("source").agg(F.count(F.lit(1)).alias("records"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.sources.lines import number_within
 from logloom.sources.templates import Template
 
 BLOCK = 65_536
@@ -43,8 +44,8 @@ def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataF
 def orphans(lines: DataFrame, is_header: Column) -> DataFrame:
     """One error for each run of continuation lines before the first header: source, first, last, error."""
     rows = number_records(lines, is_header).where((F.col("record_id") == 0) & (F.length(F.trim("raw")) > 0))
-    near = Window.partitionBy("source").orderBy("line_id")
-    runs = rows.withColumn("_run", F.col("line_id") - F.row_number().over(near)).groupBy("source", "_run").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"))
+    rows = number_within(rows.withColumn("_part", F.floor(F.col("line_id") / BLOCK)), ["source"], ["_part"], ["line_id"], "_place")
+    runs = rows.withColumn("_run", F.col("line_id") - F.col("_place")).groupBy("source", "_run").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"))
     count = F.col("last") - F.col("first") + 1
     where = F.when(count == 1, F.concat(F.lit("line "), (F.col("first") + 1).cast("string"))).otherwise(F.concat(F.lit("lines "), (F.col("first") + 1).cast("string"), F.lit("-"), (F.col("last") + 1).cast("string")))
     return runs.select("source", "first", "last", F.concat(F.lit("Error on "), where, F.lit(": "), count.cast("string"), F.lit(" orphaned continuation line(s)")).alias("error"))

@@ -14,8 +14,12 @@ from logloom.functions.text import scalar_kind
 from logloom.sources.lines import read_lines
 from logloom.sources.templates import Template
 
+#: Files whose CSV headers are broadcast at most; beyond, the join shuffles.
+BROADCAST_FILES = 10_000
 #: A logfmt pair: key, "=" part, quoted body, bare value. Fixed value.
 LOGFMT = r'([^\s="]+)(=(?:"((?:[^"\\]|\\.)*)"|([^\s"]*)))?'
+#: A JSON string with its quotes. Fixed value.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 #: A CSV cell with the comma before it: quoted body, bare text.
 CSV_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"[^,]*|([^,]*))'
 
@@ -25,9 +29,16 @@ def last_wins(keys: Column, values: Column) -> Column:
     n = F.size(keys)
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), n).alias("i"))
     named = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"), p["i"].alias("i")))
-    kept = F.filter(named, lambda p: ~F.exists(F.slice(keys, p["i"] + 1, n), lambda k: k == p["k"]))
-    made = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
-    return F.when(n > 0, made)
+    kept = F.filter(named, lambda p: ~F.array_contains(F.slice(keys, p["i"] + 1, n), p["k"]))
+    repeated = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
+    return F.when((n == 0) | (F.size(F.array_distinct(keys)) == n), F.map_from_arrays(keys, values)).otherwise(repeated)
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row, however often later expressions and lambdas name them: the optimizer does
+    not merge projections over a generator."""
+    made = F.struct(*(c.alias(k) for k, c in columns.items()))
+    return rows.withColumn("_once", F.explode(F.array(made))).select("*", "_once.*").drop("_once")
 
 
 def _error(bad: Column, why: str) -> Column:
@@ -38,48 +49,64 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumn("fields", F.when(F.col("error").isNull() | F.col("_partial"), F.col("fields"))).withColumn("kinds", F.when(F.col("fields").isNotNull(), F.col("kinds"))).drop("_partial")
 
 
+def _nested(depth: int = 24) -> str:
+    """A pattern of JSON objects and arrays, one in another up to a depth."""
+    out = r"[\[{](?:[^\[\]{}\"]++|" + JSON_STRING + r")*+[\]}]"
+    for _ in range(depth):
+        out = r"[\[{](?:[^\[\]{}\"]++|" + JSON_STRING + "|" + out + r")*+[\]}]"
+    return out
+
+
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """One object per line; nested values stay JSON text; of a key that comes twice the last value counts. Blank lines
-    are dropped; a line that is no object is an error."""
+    """One object per line, strictly JSON and nothing after it; nested values stay the text they are; of a key that comes
+    twice the last value counts. Numbers that neither a 64-bit integer nor a double holds are null. Blank lines are dropped; a
+    line that is no object is an error."""
     rows = lines.where(F.length(F.trim("raw")) > 0)
-    text = F.from_json("raw", "map<string,string>")
-    keys, values = F.map_keys("_m"), F.map_values("_m")
-    good = F.trim("raw").startswith("{") & F.coalesce(F.is_valid_json("raw") if hasattr(F, "is_valid_json") else F.col("_m").isNotNull(), F.lit(False))
-    # kinds from the JSON itself: a top-level value's first character tells strings from the rest
-    quoted = F.from_json("raw", "map<string,variant>")
-    variant = F.map_values("_v")
-    kind = lambda v: F.schema_of_variant(v)
-    rows = rows.withColumn("_m", text).withColumn("_v", quoted)
-    named = F.transform(variant, lambda v: _json_kind(kind(v)))
+    # as the only element of an array, so that text after the object is an error
+    parsed = F.from_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    member = JSON_STRING + r"\s*+:\s*+(" + JSON_STRING + r"|[^\s{\[\",}]++|" + _nested() + ")"
+    rows = once(rows, _o=parsed, _t=F.regexp_extract_all("raw", F.lit(member), F.lit(1)))
+    good = F.trim("raw").startswith("{") & (F.size("_o") == 1)
+    rows = once(rows, _good=F.coalesce(good, F.lit(False)), _k=F.map_keys(F.col("_o")[0]), _s=F.map_values(F.col("_o")[0]))
+    pairs = F.arrays_zip(F.col("_s").alias("s"), F.col("_t").alias("t"))
+    kinds = F.transform("_t", _json_kind)
+    values = F.transform(pairs, lambda p: F.when(p["t"].startswith('"'), p["s"]).when(_json_kind(p["t"]) != "null", p["t"]))
+    whole = F.size("_k") == F.size("_t")  # but for objects nested deeper than the pattern goes: these come as Spark writes them
+    values = F.when(whole, values).otherwise(F.col("_s"))
+    kinds = F.when(whole, kinds).otherwise(F.transform("_s", lambda s: F.when(s.isNull(), "null").when(s.rlike(r"^[\[{]"), "json").otherwise(scalar_kind(s))))
+    rows = once(rows, _v=values, _n=kinds)
     return _finish(
-        rows.withColumn("error", _error(~good, "not a JSON object"))
-        .withColumn("fields", last_wins(keys, values))
-        .withColumn("kinds", last_wins(F.map_keys("_v"), named))
+        rows.withColumn("error", _error(~F.col("_good"), "not a JSON object"))
+        .withColumn("fields", F.when(F.col("_good"), last_wins(F.col("_k"), F.col("_v"))))
+        .withColumn("kinds", F.when(F.col("_good"), last_wins(F.col("_k"), F.col("_n"))))
         .withColumn("_partial", F.lit(False))
-        .drop("_m", "_v")
+        .drop("_o", "_t", "_good", "_k", "_s", "_v", "_n")
     )
 
 
-def _json_kind(schema: Column) -> Column:
-    digits = F.regexp_extract(schema, r"^DECIMAL\((\d+),(\d+)\)", 1).try_cast("int")
-    scale = F.regexp_extract(schema, r"^DECIMAL\((\d+),(\d+)\)", 2).try_cast("int")
+def _json_kind(text: Column) -> Column:
+    """Kind of a JSON value by its text."""
+    whole, number = text.rlike(r"^-?\d+$"), text.try_cast("double")
     return (
-        F.when(schema.isNull() | (schema == "VOID"), "null")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema == "BIGINT", "int")
-        .when(schema.startswith("DECIMAL") & (scale == 0) & (digits >= 19), "int")
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
-        .when(schema == "STRING", "string")
-        .otherwise("json")
+        F.when(text.startswith('"'), "string")
+        .when(text.rlike(r"^[\[{]"), "json")
+        .when(text.isin("true", "false"), "bool")
+        .when(text == "null", "null")
+        .when(whole & text.try_cast("decimal(38,0)").between(F.lit(str(-(2**63))).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")), "int")
+        .when(whole | (F.abs(number) == float("inf")), "null")
+        .otherwise("float")
     )
 
 
 def _unescape(text: Column) -> Column:
     """Line feed, carriage return, tab, quote and backslash escapes; others keep both characters."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\ue000"))
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, F.lit("\ue000"), F.lit("\\"))
+    # between double backslashes the other escapes stand alone
+    def plain(part: Column) -> Column:
+        for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+            part = F.replace(part, F.lit(a), F.lit(b))
+        return part
+
+    return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\"))
 
 
 def parse_logfmt(lines: DataFrame) -> DataFrame:
@@ -90,13 +117,13 @@ def parse_logfmt(lines: DataFrame) -> DataFrame:
     bad = ~F.col("raw").rlike(closed)
     usable = F.when(bad, F.regexp_replace("raw", r'[^\s="]+="(?:[^"\\]|\\.)*$', "")).otherwise(F.col("raw"))
     group = lambda i: F.regexp_extract_all("_usable", F.lit(LOGFMT), F.lit(i))
-    rows = rows.withColumn("_usable", usable)
+    rows = once(rows, _usable=usable)
     cells = F.arrays_zip(group(2).alias("eq"), group(3).alias("quoted"), group(4).alias("bare"))
     is_quoted = lambda c: c["eq"].startswith('="')
     value = lambda c: F.when(is_quoted(c), _unescape(c["quoted"])).when(c["bare"] != "", c["bare"])
     kind = lambda c: F.when(is_quoted(c), "string").otherwise(scalar_kind(c["bare"]))
     named = F.transform(cells, lambda c: F.struct(c["eq"].alias("eq"), c["quoted"].alias("quoted"), c["bare"].alias("bare")))
-    rows = rows.withColumn("_keys", group(1)).withColumn("_cells", named)
+    rows = once(rows, _keys=group(1), _cells=named)
     return _finish(
         rows.withColumn("error", _error(bad, "unterminated quote"))
         .withColumn("fields", last_wins(F.col("_keys"), F.transform("_cells", value)))
@@ -127,8 +154,9 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.length(F.trim("raw")) > 0)
     # headers: one row a file
     headers = rows.groupBy("source").agg(F.min(F.struct("line_id", "raw")).alias("h")).select(F.col("source").alias("_s"), F.col("h.line_id").alias("_h"), _unique_names(F.transform(csv_cells(F.col("h.raw")), lambda c: F.trim(c["text"]))).alias("_names"))
-    rows = rows.join(headers, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("line_id") > F.col("_h"))
-    rows = rows.withColumn("_cells", csv_cells(F.col("raw")))
+    few = not rows.isStreaming and headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    rows = rows.join(F.broadcast(headers) if few else headers, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("line_id") > F.col("_h"))
+    rows = once(rows, _cells=csv_cells(F.col("raw")))
     n = F.least(F.size("_cells"), F.size("_names"))
     odd = F.size(F.regexp_extract_all("raw", F.lit('(")'), F.lit(1))) % 2 == 1
     ragged = F.size("_cells") > F.size("_names")

@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Blocks whose line counts are broadcast at most; beyond, their offsets come by a shuffle join.
-BROADCAST_BLOCKS = 1_000_000
 LINE_SCHEMA = "source string, line_id bigint, raw string"
 
 
@@ -31,14 +29,14 @@ def number_within(df: DataFrame, by: list[str], block: list[str], order: list[st
 
 
 def read_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = True) -> DataFrame:
-    """Lines of plain, gzip or bzip2 files; a byte order mark and carriage returns are stripped."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    """Lines of plain, gzip or bzip2 files; a byte order mark and the carriage return of a line end are stripped."""
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
     lines = number_within(text, ["source"], ["_block"], ["_at"], "line_id")
     return clean(lines.select("source", "line_id", "raw"), keep_blank)
 
 
 def clean(lines: DataFrame, keep_blank: bool = True) -> DataFrame:
-    raw = F.regexp_replace("raw", "\r+$", "")
+    raw = F.regexp_replace("raw", "\r\\z", "")
     out = lines.withColumn("raw", F.when(F.col("line_id") == 0, F.regexp_replace(raw, "^\\uFEFF", "")).otherwise(raw))
     return out if keep_blank else out.where(F.length(F.trim("raw")) > 0)
 
@@ -124,6 +122,9 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
     for i, f in enumerate(frames[1:], 1):
         out = out.unionByName(f.withColumn("source_rank", F.lit(i)), allowMissingColumns=True)
     if {"source", "line_id"} <= set(out.columns):
+        # only rows of sources that several frames have are shuffled; this table has one row a source
+        several = out.groupBy("source").agg(F.min("source_rank").alias("_a"), F.max("source_rank").alias("_z")).where("_a < _z").select("source")
         least = Window.partitionBy("source", "line_id").orderBy("source_rank")
-        out = out.withColumn("_k", F.row_number().over(least)).where("_k = 1").drop("_k")
+        again = out.join(several, "source", "left_semi").withColumn("_k", F.row_number().over(least)).where("_k = 1").drop("_k")
+        out = out.join(several, "source", "left_anti").unionByName(again)
     return out

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions import levels
-from logloom.functions.scratch import exists, remove, scratch
+from logloom.functions.scratch import exists, folders, remove, scratch
 from logloom.operators import histogram, schema
 from logloom.sources.detect import PROBED
 
@@ -24,7 +24,7 @@ RETAIN, RETAIN_RANGE, ERRORS_SHOWN, PENDING_MS = 10_000, (1_000, 1_000_000), 1_0
 
 def tail_files(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
     """source, raw of new files in a folder. A file that grows must be shipped in pieces, as Spark reads each file once."""
-    return spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "\r+$", "").alias("raw"))
+    return spark.readStream.option("maxFilesPerTrigger", files_a_batch).option("lineSep", "\n").text(folder).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "\r\\z", "").alias("raw"))
 
 
 def kafka_lines(spark: SparkSession, servers: str, topics: str, offsets_a_batch: int = 1_000_000) -> DataFrame:
@@ -42,24 +42,40 @@ class Merged:
     """A table that every batch is merged into: each batch writes a new version, and the table is the last one.
 
     The version before is kept: a batch that is run again after a failure starts from it and replaces its own version, so
-    each batch counts once. Older versions are deleted."""
+    each batch counts once. Older versions are deleted. Which versions there are is read from the folder, so a new driver that
+    goes on from the stream's checkpoint, with the same path, goes on from the table too."""
 
     def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
         self.spark, self.path, self.merge = spark, path, merge
-        self.last: int | None = None
-        self.before: int | None = None
+
+    def versions(self) -> list[int]:
+        """Numbers of the batches whose versions are there and whole, oldest first."""
+        names = [n[1:] for n in folders(self.spark, self.path) if n[1:].isdigit()]
+        return sorted(int(n) for n in names if exists(self.spark, f"{self.path}/v{n}/_SUCCESS"))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        base = self.before if self.last == number else self.last
-        now = None if base is None else self.spark.read.parquet(f"{self.path}/v{base}")
+        earlier = [v for v in self.versions() if v < number]
+        now = self.spark.read.parquet(f"{self.path}/v{earlier[-1]}") if earlier else None
         self.merge(now, batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        if self.last != number:
-            if self.before is not None:
-                remove(self.spark, f"{self.path}/v{self.before}")
-            self.before, self.last = self.last, number
+        for v in earlier[:-1]:
+            remove(self.spark, f"{self.path}/v{v}")
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.last}")
+        return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1]}")
+
+
+def appending(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that only adds rows: each batch has a folder of its own, which a batch that is run again replaces."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an appending sink."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
@@ -188,40 +204,56 @@ def detect_then_parse(parse: dict[str, Callable[[DataFrame], DataFrame]], detect
 
 def fold_stream(lines: DataFrame, header_pattern: str, pending_ms: int = PENDING_MS) -> DataFrame:
     """Records of lines (source, line_id, raw). A record comes out once its source's next header does, or after a silence of
-    pending_ms. Lines before a source's first header are dropped."""
+    pending_ms, without its trailing blank lines either way. A run of lines before a source's first header, but for blank ones, is
+    an error: its row has no raw but an error. The lines of one source and batch are folded in one task."""
     import re
 
-    head = re.compile(header_pattern)
+    head, blank_end = re.compile(header_pattern), re.compile(r"(?:\n\s*)+\Z")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = list(state.get) if state.exists else [None, ""]
         out: list[tuple] = []
-        if state.hasTimedOut:
+        lost: list[int] = []
+
+        def close() -> None:
             if pending[0] is not None:
-                out.append((key[0], pending[0], pending[1]))
+                out.append((key[0], pending[0], blank_end.sub("", pending[1]), None))
+
+        def report() -> None:
+            if lost:
+                where = f"line {lost[0] + 1}" if len(lost) == 1 else f"lines {lost[0] + 1}-{lost[-1] + 1}"
+                out.append((key[0], lost[0], None, f"Error on {where}: {len(lost)} orphaned continuation line(s)"))
+                lost.clear()
+
+        if state.hasTimedOut:
+            close()
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values("line_id")
             for line_id, raw in zip(rows["line_id"].tolist(), rows["raw"].tolist(), strict=True):
                 if head.match(raw):
-                    if pending[0] is not None:
-                        out.append((key[0], pending[0], pending[1].rstrip("\n")))
+                    report()
+                    close()
                     pending = [line_id, raw]
                 elif pending[0] is not None:
                     pending[1] += "\n" + raw
+                elif raw.strip():
+                    if lost and line_id != lost[-1] + 1:
+                        report()
+                    lost.append(line_id)
+            report()
             if pending[0] is not None:
                 state.update((int(pending[0]), pending[1]))
                 state.setTimeoutDuration(pending_ms)
-        yield pd.DataFrame(out, columns=["source", "line_id", "raw"])
-
-    return lines.groupBy("source").applyInPandasWithState(fold, "source string, line_id bigint, raw string", "line_id bigint, raw string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
+        yield pd.DataFrame(out, columns=["source", "line_id", "raw", "error"])
 
-def filtered(stream: DataFrame, condition: Column) -> DataFrame:
-    """New rows that match; no state."""
-    return stream.where(condition)
+    return lines.groupBy("source").applyInPandasWithState(fold, "source string, line_id bigint, raw string, error string", "line_id bigint, raw string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def history_then_live(history: DataFrame, path: str) -> None:
-    """Write rotated history first; the live stream is then appended to the same table."""
-    history.write.mode("overwrite").parquet(path)
+def history_then_live(history: DataFrame, live: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write rotated history, then append the live stream to the same table; appended() reads both. A restart with the same
+    checkpoint goes on with the stream only."""
+    spark = history.sparkSession
+    if not exists(spark, f"{path}/batch=-1/_SUCCESS"):
+        history.write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return start(live, appending(path), checkpoint, **trigger)

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,7 @@ def test_filter_nulls_and_nan(spark):
     assert ids(filters.where(t, filters.exactly("v", "")).orderBy("row_id")) == [1, 2]
     assert ids(filters.where(t, filters.matches("v", "^$")).orderBy("row_id")) == [1, 2]
     assert ids(filters.where(t, filters.matches("v", "("))) == []
+    assert ids(filters.where(t, filters.matches("v", "(?P<x>a)"))) == []  # a pattern of another engine
     assert ids(filters.where(t, filters.enum_in("v", []))) == []
 
 
@@ -168,3 +170,24 @@ def test_health_and_order(spark):
     assert schema.is_monotonic(t, "v", "row_id", block_rows=2).first()["monotonic"]
     assert not schema.is_monotonic(frame(spark, [1, 3, 2], "int"), "v", "row_id", block_rows=2).first()["monotonic"]
     assert schema.retype(df, "a", "integer").orderBy("row_id").first()["a"] == 1
+
+
+def test_navigation_is_linear_in_a_crowded_hour(spark):
+    """All rows in one hour, and default blocks: frames run from the start, so each row is looked at once."""
+    n = 70_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.timestamp_micros(F.col("id") * 7919 % n * 40_000).alias("ts"), (F.col("id") % 1000 == 5).alias("marked"))
+    marked = navigate.next_marked(df, "row_id", F.col("marked"))
+    asks = spark.range(50).select(F.col("id").alias("k"), F.timestamp_micros(F.col("id") * 72_000_000 + 1).alias("target_ts"))
+    found = navigate.asof_rows(df, "ts", asks)
+    for plan in (marked, found):
+        text_of = plan._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert not re.search(r"(?:currentrow\$\(\)|\d), unboundedfollowing", text_of)
+    got = marked.agg(F.sum("next_marked"), F.sum("previous_marked"), F.count(F.lit(1))).first()
+    flags = [i for i in range(n) if i % 1000 == 5]
+    after = lambda i: next((f for f in (i - i % 1000 + 5, i - i % 1000 + 1005) if f > i and f < n), flags[0])
+    before = lambda i: next((f for f in (i - i % 1000 + 5, i - i % 1000 - 995) if 0 <= f < i), flags[-1])
+    assert tuple(got) == (sum(map(after, range(n))), sum(map(before, range(n))), n)
+    at = {i * 7919 % n * 40_000: i for i in range(n)}
+    times = sorted(at)
+    wanted = {k: next((at[t] for t in times[-(-(k * 72_000_000 + 1) // 40_000) :]), None) for k in range(50)}
+    assert {r["k"]: r["found_row"] for r in found.collect()} == wanted

@@ -3,7 +3,7 @@
 import pytest
 from oracle import same
 
-from logloom.plans import catalogue, streams  # noqa: F401
+from logloom.plans import catalogue, details, streams  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

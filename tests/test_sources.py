@@ -33,6 +33,42 @@ def test_json_lines(spark, tmp_path):
     assert rows(formats.errors(parsed), "error")[0] == ("Error on line 3: not a JSON object",)
 
 
+def test_json_is_strict(spark):
+    bad = ["this line is not JSON at all", '{"id":3,"msg":"unterminated string', "[1,2,3]", '"a bare JSON string"', "42", "true", "null", "{trailing,comma:bad}", '{"id":6,"msg":"missing colon" "extra":"x"}',
+           '{"a":1} xyz', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "{'a':1}", '{"a":NaN}', '{"a":01}', '{"a":1,}', '{"a":"tab\there"}']
+    deep = "[" * 40 + "]" * 40
+    good = ["{}", '{"a":{"x": 1,  "y":[1, "]}"]}, "b":[]}', '{"a":1e400,"b":-0.0,"c":99999999999999999999}', f'{{"a":{deep},"b":1}}', '{"a":"' + "x\\\\" * 5000 + '","k\\n":1}', '{"a":1,"b":2,"a":"z"}']
+    df = spark.createDataFrame(list(enumerate(bad + good)), "line_id long, raw string").withColumn("source", F.lit("s"))
+    got = rows(formats.parse_jsonl(df), "fields", "kinds", "error")
+    assert all(g[0] is None and g[2] == f"Error on line {i + 1}: not a JSON object" for i, g in enumerate(got[: len(bad)]))
+    empty, nested, numbers, far, slashes, twice = got[len(bad) :]
+    assert empty[:2] == ({}, {}) and twice[:2] == ({"a": "z", "b": "2"}, {"a": "string", "b": "int"})
+    assert nested[0] == {"a": '{"x": 1,  "y":[1, "]}"]}', "b": "[]"} and set(nested[1].values()) == {"json"}
+    assert numbers[0] == {"a": None, "b": "-0.0", "c": None} and numbers[1] == {"a": "null", "b": "float", "c": "null"}
+    assert far[0] == {"a": deep, "b": "1"} and slashes[0] == {"a": "x\\" * 5000, "k\n": "1"}
+
+
+def test_json_is_parsed_once(spark):
+    df = spark.createDataFrame([("s", 0, "{}")], "source string, line_id long, raw string")
+    plan = schema.promote(schema.profile(formats.parse_jsonl(df)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 3  # for the counts, for the few keys that may be enumerations (the same counts, reused), and for the values of these
+
+
+def test_head_of_blank_lines_and_carriage_returns(spark, tmp_path):
+    path = write(tmp_path / "late.log", "\n" * 100 + 'a=1 b=2\r\r\na=2 b="\ue000\\\\x"\r\n')
+    read = lines.read_lines(spark, path)
+    assert detect.detect_formats(read).first()["format"] == "logfmt"
+    assert rows(read.where("line_id >= 100"), "raw") == [("a=1 b=2\r",), ('a=2 b="\ue000\\\\x"',)]
+    assert rows(formats.parse_logfmt(read), "fields")[1][0] == {"a": "2", "b": "\ue000\\x"}
+
+
+def test_sources_that_come_twice(spark):
+    a = spark.createDataFrame([("f", i, f"a{i}") for i in range(5)] + [("g", 0, "g")], "source string, line_id long, raw string")
+    b = spark.createDataFrame([("f", i, f"b{i}") for i in range(3, 8)] + [("h", 0, "h")], "source string, line_id long, raw string")
+    got = sorted((r["source"], r["line_id"], r["raw"], r["source_rank"]) for r in lines.merge_sources(a, b).collect())
+    assert got == [*(("f", i, f"a{i}", 0) for i in range(5)), *(("f", i, f"b{i}", 1) for i in range(5, 8)), ("g", 0, "g", 0), ("h", 0, "h", 1)]
+
+
 def test_logfmt(spark, tmp_path):
     path = write(tmp_path / "a.log", 'ts=2024 msg="hi \\"x\\" \\q\\n" n=42 bare k= x=a=b q="42" n=43\na=1 b="open\nz=+5 y=1d w=nan\n')
     got = rows(formats.parse_logfmt(lines.read_lines(spark, path)), "fields", "kinds", "error")

@@ -35,7 +35,7 @@ def run(spark, source, merge, mode="append"):
 
 def test_retention(spark, folder):
     sink = run(spark, tail(spark, folder).select("row_id", "source"), stream.retain_last(5))
-    assert sink.last == 2 and sink.table().count() == 303  # the least that is retained is 1000
+    assert sink.versions()[-1] == 2 and sink.table().count() == 303  # the least that is retained is 1000
     again = sink.table().count()
     sink(sink.table().limit(0), 2)  # the same batch once more counts once
     assert sink.table().count() <= again
@@ -85,6 +85,44 @@ def test_csv_over_batches_and_late_offsets(spark, tmp_path):
     assert sorted(seen, key=str) == sorted([*cells, ("j", {"n": "1"}), ("j", {"n": "2"})], key=str)
 
 
+def test_table_goes_on_after_a_restart(spark, folder, tmp_path):
+    """A new driver with the same checkpoint and path: nothing is lost, and a batch that is run again counts once."""
+    checkpoint, path = str(tmp_path / "checkpoint"), str(tmp_path / "table")
+    rows = stream.tail_files(spark, folder, 1).select("source", F.get_json_object("raw", "$.n").cast("long").alias("row_id")).where("row_id IS NOT NULL")
+    merge = stream.retain_last(1000)
+    first = stream.start(rows, stream.Merged(spark, path, merge), checkpoint, availableNow=True)
+    first.awaitTermination()
+    (tmp_path / "in" / "3.log").write_text("".join(f'{{"n": {1000 + j}}}\n' for j in range(50)))
+    again = stream.Merged(spark, path, merge)
+    stream.start(rows, again, checkpoint, availableNow=True).awaitTermination()
+    assert {r["row_id"] for r in again.table().collect()} == {*range(300), *range(1000, 1050)}
+    last = again.versions()[-1]
+    again(spark.createDataFrame([("x", 5000)], "source string, row_id long"), last)  # batch `last` anew, with other rows
+    assert {r["row_id"] for r in again.table().collect()} == {*range(300), 5000}
+    assert len(again.versions()) == 2
+
+
+def test_appending_sink_replaces_a_batch_that_runs_again(spark, tmp_path):
+    sink = stream.appending(str(tmp_path / "rows"))
+    for number, rows in ((0, [1, 2]), (1, [3]), (1, [4, 5])):
+        sink(spark.createDataFrame([(r,) for r in rows], "n long"), number)
+    assert sorted(r["n"] for r in stream.appended(spark, str(tmp_path / "rows")).collect()) == [1, 2, 4, 5]
+
+
+def test_blank_ends_and_orphans_of_a_folded_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines_ = [" lost", " too", "", "h1", " c1", "", "h2", "", " c2", "", ""]
+    (tmp_path / "in" / "a.log").write_text("".join(f"{i}:{t}\n" for i, t in enumerate(lines_)))
+    split = stream.tail_files(spark, str(tmp_path / "in")).select("source", F.split("raw", ":")[0].cast("long").alias("line_id"), F.split("raw", ":")[1].alias("raw"))
+    got = []
+    query = stream.start(stream.fold_stream(split, r"\S", 300), lambda df, n: got.extend((r["line_id"], r["raw"], r["error"]) for r in df.collect()), stream.scratch(spark, "test"), processingTime="200 milliseconds")
+    end = time.time() + 60
+    while len(got) < 3 and time.time() < end:
+        time.sleep(0.2)
+    query.stop()
+    assert got == [(0, None, "Error on lines 1-2: 2 orphaned continuation line(s)"), (3, "h1\n c1", None), (6, "h2\n\n c2", None)]
+
+
 def test_pending_record(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("h1\n c1\nh2\n c2\n")
