@@ -5,7 +5,8 @@ rotations side by side). Inner product becomes angle by one more coordinate that
 longest. Codes are cut into substrings, each an index: a code within the Hamming radius of a query agrees with it in
 some substring up to radius / substrings bits (pigeonhole), so probing all buckets that near, substring by substring,
 retrieves every code within the radius. Retrieved codes are held against the radius and then ranked by the original
-vectors in double precision. Queries and index meet block by block; each block pair keeps its best k a query.
+vectors in double precision. Queries are broadcast in waves of a fixed size; index rows are not shuffled, each task builds the
+buckets of its rows and keeps its best k a query. What is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ SAMPLE, SAMPLE_QUERIES = 16_384, 256
 ROTATIONS, SUBSTRING = 4, 8
 #: Share of the sample's true neighbours that the radius takes in.
 WITHIN = 0.99
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Index rows of a task at least; queries that are broadcast at once; share of the rows in a query's buckets from which all codes are compared.
+INDEX_BLOCK, WAVE, SCANNED = 8_192, 32_768, 0.5
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -67,40 +70,80 @@ class Codes:
         return np.packbits(np.concatenate([x, np.zeros((len(x), 1))], axis=1) @ self.rotations >= 0, axis=1)
 
 
-def search_block(codes: Codes, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score): the best k of a block for each query; at least k rows are ranked, however far."""
-    own, asked = codes.of(x), codes.of_queries(queries)
-    substrings = own.shape[1]
-    step = codes.radius // substrings
-    out_q, out_i, out_s = [], [], []
-    columns = np.ascontiguousarray(own.T)
-    for i in range(0, len(queries), 64):
-        some = asked[i : i + 64]
-        retrieved = np.zeros((len(some), len(own)), bool)
-        for j in range(substrings):
-            # the buckets of substring j within `step` of each query's, and the rows in them
-            retrieved |= (_NEAR[some[:, j]] <= step)[:, columns[j]]
-            if retrieved.all():
-                break
-        far = np.full(retrieved.shape, codes.bits + 1, np.int16)
-        for r in range(len(some)):
-            rows = np.flatnonzero(retrieved[r])
-            far[r, rows] = np.bitwise_count(own[rows] ^ some[r]).sum(axis=1, dtype=np.int16)
-        for r in range(len(some)):
-            q = query_ids[i + r]
-            far_r = np.where(ids == q, codes.bits + 2, far[r])
-            rows = np.flatnonzero(far_r <= codes.radius)
-            if len(rows) < k:  # too few so near: the nearest codes, retrieved or not
-                every = np.bitwise_count(own ^ some[r]).sum(axis=1, dtype=np.int64)
-                every[ids == q] = codes.bits + 2
-                rows = np.argsort(every, kind="stable")[:k]
-                rows = rows[every[rows] <= codes.bits]
-            score = (x[rows] * queries[i + r]).sum(axis=1)
-            best = np.lexsort((ids[rows], -score))[:k]
-            out_q.append(np.full(len(best), q))
-            out_i.append(ids[rows][best])
-            out_s.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+class Block:
+    """Rows of the index: their codes, and for each substring the rows in the order of its value, with offsets: the buckets."""
+
+    def __init__(self, codes: Codes, ids: np.ndarray, x: np.ndarray):
+        self.codes, self.ids, self.x, self.own = codes, ids, x, codes.of(x)
+        columns = np.ascontiguousarray(self.own.T)
+        self.rows = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.held = np.stack([np.bincount(c, minlength=256) for c in columns])
+        self.offsets = np.concatenate([np.zeros((len(columns), 1), np.int64), np.cumsum(self.held, axis=1)], axis=1)
+        # by pigeonhole a code within the radius agrees with the query's up to `step` bits in one of the substrings
+        self.near = _NEAR <= codes.radius // len(columns)
+        self.signs: np.ndarray | None = None
+
+    def retrieved(self, asked: np.ndarray) -> np.ndarray:
+        """For each code: how many rows its buckets hold, a row counted once a substring."""
+        return (self.held @ self.near.T.astype(np.int64))[np.arange(asked.shape[1]), asked].sum(axis=1)
+
+    def probe(self, code: np.ndarray) -> np.ndarray:
+        """The rows in the buckets within `step` bits of a code, substring by substring."""
+        parts = []
+        for j, value in enumerate(code):
+            for bucket in np.flatnonzero(self.near[value] & (self.held[j] > 0)):
+                parts.append(self.rows[j, self.offsets[j, bucket] : self.offsets[j, bucket + 1]])
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
+
+    def away(self, asked: np.ndarray) -> np.ndarray:
+        """Hamming distances of all rows from each of some codes."""
+        if self.signs is None:
+            self.signs = (2.0 * np.unpackbits(self.own, axis=1) - 1).astype(np.float32)
+        return np.rint((self.codes.bits - (2.0 * np.unpackbits(asked, axis=1) - 1).astype(np.float32) @ self.signs.T) / 2).astype(np.int16)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, scanned: float = SCANNED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score): the best k for each query; at least k rows are ranked, however far.
+
+        Where a query's buckets hold more than a share `scanned` of the rows, all codes are held against the radius instead of
+        those in the buckets: the same rows come out, and few would have been left out."""
+        asked = self.codes.of_queries(queries)
+        all_rows = self.retrieved(asked) > scanned * len(self.ids)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(~all_rows):
+            rows = self.probe(asked[i])
+            far = np.bitwise_count(self.own[rows] ^ asked[i]).sum(axis=1, dtype=np.int64)
+            self._rank(out, query_ids[i], queries[i], rows[far <= self.codes.radius], asked[i], k)
+        some = np.flatnonzero(all_rows)
+        for i in range(0, len(some), 128):
+            part = some[i : i + 128]
+            within = self.away(asked[part]) <= self.codes.radius
+            for r, q in enumerate(part):
+                self._rank(out, query_ids[q], queries[q], np.flatnonzero(within[r]), asked[q], k)
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _rank(self, out: list, query_id: int, query: np.ndarray, rows: np.ndarray, code: np.ndarray, k: int) -> None:
+        rows = rows[self.ids[rows] != query_id]
+        if len(rows) < k:  # too few so near: the nearest codes, retrieved or not
+            every = np.bitwise_count(self.own ^ code).sum(axis=1, dtype=np.int64)
+            every[self.ids == query_id] = self.codes.bits + 1
+            rows = np.argsort(every, kind="stable")[:k]
+            rows = rows[every[rows] <= self.codes.bits]
+        score = (self.x[rows] * query).sum(axis=1)
+        best = np.lexsort((self.ids[rows], -score))[:k]
+        out.append((np.full(len(best), query_id), self.ids[rows][best], score[best]))
+
+
+def best_of(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query."""
+    query, ids, score = found
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    keep = place < k
+    return query[keep], ids[keep], score[keep]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -113,7 +156,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, index_block: int = INDEX_BLOCK, wave: int = WAVE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (inner product): the k nearest found of each row whose id is divisible by
     `every`, among all other rows; ties go to the smaller id. Rows that usable() leaves out take no part. Repeated
     ids: a query never finds rows of its own id, and a repeated query id is asked once (one of its vectors). Other
@@ -131,46 +174,48 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     if len(learnt) < 2:
         learnt = np.array([r["v"] for r in rows.limit(2).select("v").collect()], float)
     codes = Codes(learnt, float(longest), k)
-    p = common.partitions(spark)
-    index_blocks = max(-(-n // index_block), min(p, -(-n // 512)))
-    query_blocks = max(1, -(-n // (every * query_block)))
-    place = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
-    asks = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("j", place(2, query_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
-    held = rows.withColumn("i", place(1, index_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    cell = (F.col("i") * query_blocks + F.col("j")).cast("int")
-    both = asks.select(cell.alias("cell"), F.lit(True).alias("ask"), "vec_id", "v").unionByName(held.select(cell.alias("cell"), F.lit(False).alias("ask"), "vec_id", "v"))
-    tasks = min(index_blocks * query_blocks, max(p, 1) * 8)
-    dealt = both.repartitionById(tasks, F.col("cell") % tasks).sortWithinPartitions("cell", "ask", "vec_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            ask = t.column("ask").to_numpy()
-            ids = t.column("vec_id").to_numpy()
-            x = t.column("v").combine_chunks()
-            x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            if ask.all() or not ask.any():
-                q, i, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-            else:
-                q, i, s = search_block(codes, ids[~ask], x[~ask], ids[ask], x[ask], k)
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and held[0].column(0)[0].as_py() != cells[a]:
-                    yield one(held)
-                    held = []
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield one(held)
-
-    found = dealt.mapInArrow(run, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # queries go in waves of at most `wave`, each broadcast; index rows stay where they are read, a task for at least `index_block` of them
+    asks = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    waves = max(1, -(-asks.count() // wave))
+    held = rows.select("vec_id", "v").coalesce(max(1, n // index_block))
+
+    def against(asked: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, queries = asked.value
+            parts: list[pa.RecordBatch] = []
+            best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+            def one() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                t = pa.Table.from_batches(parts)
+                x = t.column("v").combine_chunks()
+                x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                found = Block(codes, t.column("vec_id").to_numpy(), x).search(query_ids, queries, k)
+                return best_of(tuple(np.concatenate(c) for c in zip(best, found)), k)
+
+            for batch in batches:
+                if batch.num_rows:
+                    parts.append(batch)
+                if sum(p.num_rows for p in parts) >= 2 * index_block:
+                    best, parts = one(), []
+            if parts:
+                best = one()
+            for i in range(0, len(best[0]), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65_536]) for c in best], ["query_id", "vec_id", "score"])
+
+        return run
+
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answer = None
+    for w in range(waves):
+        own = asks.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(waves)) == w).select("vec_id", "v").toArrow()  # about `wave` rows
+        if not own.num_rows:
+            continue
+        x = np.array(own.column("v").combine_chunks().flatten(), float).reshape(own.num_rows, -1)
+        found = held.mapInArrow(against(spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), x))), schema)
+        found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found if waves == 1 else common.materialise(found, "nearest")
+        answer = found if answer is None else answer.unionByName(found)
+    return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double") if answer is None else answer
 
 
 def op8_vector_search(spark, sf_dir):
