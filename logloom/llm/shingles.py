@@ -114,6 +114,12 @@ def distinct(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(words, k))
 
 
+def column_sets(column, k: int, rows: int = 512) -> Iterator[np.ndarray]:
+    """distinct() of an Arrow string column, so many rows at a time."""
+    for i in range(0, len(column), rows):
+        yield from distinct(encoded(column.slice(i, rows)), k)
+
+
 def encoded(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -2,13 +2,14 @@
 
 Texts are cut into pre-tokens: white space and the word after it. A byte-level vocabulary's own pre-tokenizer never
 joins a word with the white space after it, so the token count of a text is the sum over its pre-tokens, special
-strings included. Counts are looked up in two tiers: a broadcast table of the FREQUENT most frequent pre-tokens of
-the corpus, then a cache per worker, whose misses the tokenizers library encodes, many a call.
+strings included. Counts are looked up in two tiers: a broadcast table of frequent pre-tokens, as sorted hashes with their
+lengths, which numpy searches for all pre-tokens of many texts at once; then a cache per worker, whose misses the tokenizers
+library encodes, many a call. Which pre-tokens are frequent is told by a bounded sample of the texts: only which tier answers
+depends on it, never a count.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,35 +19,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import common
+from logloom.llm.shingles import SLICE, encoded, mix
 from logloom.llm.word_cache import CACHE_BYTES, Encoder
 
-#: Entries of the broadcast table (about 30 bytes each), and what each task proposes for it.
-FREQUENT, PROPOSED = 50_000, 10_000
-#: White space as the vocabulary's pre-tokenizer sees it (the Unicode property). Fixed values.
-SPACE = "\t-\r \x85\xa0  -     　"
-pre_tokens = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-_misses: dict[str, tuple[Encoder, dict[str, int]]] = {}
-
-
-def frequent(docs: DataFrame, text_col: str = "text", table: int = FREQUENT, proposed: int = PROPOSED) -> list[str]:
-    """The most frequent pre-tokens. Each task counts all its rows and proposes its most frequent ones; the counts
-    are then added up. Only which tier answers depends on it, never a token count."""
+#: Entries of the broadcast table (18 bytes each); texts it is learnt from, and the most bytes of one of them that are.
+FREQUENT, SAMPLE, SAMPLE_BYTES = 50_000, 4_096, 1 << 16
+#: White space as the vocabulary's pre-tokenizer sees it (the Unicode property), in UTF-8: single bytes, and lead bytes with what follows. Fixed values.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), 0x20]] = True
+_LONG_BLANKS = {0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE2: [*(bytes([0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"], 0xE3: [b"\x80\x80"]}
+_rng = np.random.default_rng(20250117)
+_VALUES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_BASES = [int(x) | 5 for x in _rng.integers(2**40, 2**62, 2)]
+_misses: dict[str, list] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP = [_powers(b, 2 * SLICE) for b in _BASES]
+_DOWN = [_powers(pow(b, -1, 2**64), 2 * SLICE) for b in _BASES]
+
+
+def blanks(buf: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _BLANK[buf]
+    for lead, rests in _LONG_BLANKS.items():
+        at = np.flatnonzero(buf == lead)
+        for rest in rests if len(at) else ():
+            hit = at[at + len(rest) < len(buf)]
+            for i, b in enumerate(rest, 1):
+                hit = hit[buf[hit + i] == b]
+            for i in range(len(rest) + 1):
+                out[hit + i] = True
+    return out
+
+
+def cut(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the pre-tokens of buf (one also at each cut), and two hashes of each."""
+    blank = blanks(buf)
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[0] = True
+    begins[cuts[cuts < len(buf)]] = True
+    starts = np.flatnonzero(begins)
+    n, hashes = len(buf), []
+    for values, base, up, down in zip(_VALUES, _BASES, _UP, _DOWN):
+        if n > len(up):
+            up, down = _powers(base, n), _powers(pow(base, -1, 2**64), n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[buf] * up[:n], out=sums[1:])
+        hashes.append(mix((sums[np.append(starts[1:], n)] - sums[starts]) * down[starts]))
+    return starts, hashes[0], hashes[1]
+
+
+def slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of about SLICE bytes: bytes, ends of the parts in them, and the text that each part is of. Texts longer than that
+    are cut where white space follows a word."""
+    parts, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            end = len(t)
+            if end - at > SLICE:
+                buf = np.frombuffer(t, np.uint8, offset=at)
+                k = SLICE
+                while True:
+                    now = buf[:k]
+                    near = np.flatnonzero(_BLANK[now[1:]] & ~_BLANK[now[:-1]] & (now[:-1] < 0x80))
+                    if len(near) or k >= len(buf):
+                        break
+                    k *= 2  # a word longer than a slice
+                end = at + int(near[-1]) + 1 if len(near) else len(t)
+            if size and size + end - at > SLICE:
+                yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(owners)
+                parts, owners, size = [], [], 0
+            parts.append(t[at:end])
+            owners.append(i)
+            size += end - at
+            at = end
+    if parts:
+        yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(owners)
+
+
+class Table:
+    """Frequent pre-tokens as sorted hashes, a second hash against chance agreement, and numbers of tokens."""
+
+    def __init__(self, pieces: list[bytes], lengths: np.ndarray):
+        made = [cut(np.frombuffer(p, np.uint8), np.empty(0, np.int64)) for p in pieces]
+        if any(len(m[0]) != 1 for m in made):
+            raise ValueError("an entry is more than one pre-token")
+        first, second = (np.array([m[j][0] for m in made], np.uint64) for j in (1, 2))
+        order = np.argsort(first, kind="stable")
+        self.first, self.second, self.lengths = first[order], second[order], np.asarray(lengths, np.uint16)[order]
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Tokens of each, -1 where the table has none."""
+        if not len(self.first):
+            return np.full(len(first), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), self.lengths[at].astype(np.int64), -1)
+
+
+def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: int = FREQUENT, sample: int = SAMPLE) -> list[bytes]:
+    """The most frequent pre-tokens of about `sample` texts, drawn by hash: of each at most the first SAMPLE_BYTES. Each task counts its
+    own; what reaches the driver is bounded by the sample, whatever the corpus."""
+    n = docs.count()
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         for batch in rows:
             for t in batch.column(0).to_pylist():
-                seen.update(pre_tokens(t) if t else ())
-            if len(seen) > 60 * proposed:
-                seen = Counter(dict(seen.most_common(30 * proposed)))
-        best = seen.most_common(proposed)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.string()), pa.array([v for _, v in best], pa.int64())], ["piece", "n"])
+                if t:
+                    buf = np.frombuffer(t, np.uint8)
+                    starts = cut(buf, np.empty(0, np.int64))[0].tolist()
+                    seen.update(t[a:b] for a, b in zip(starts[:-1], starts[1:]))  # the last may have been cut
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
-    best = docs.select(text_col).mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)
-    return [r["piece"] for r in best.collect()]  # a bounded report: `table` rows
+    text = F.substring(F.col(text_col).cast("binary"), 1, SAMPLE_BYTES)
+    seen: Counter[bytes] = Counter()
+    for r in docs.where(draw & F.col(text_col).isNotNull()).select(text.alias("t")).mapInArrow(run, "piece binary, n bigint").toLocalIterator():
+        seen[bytes(r["piece"])] += r["n"]
+    best = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:table]
+    return [k for k, _ in best]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", table: int = FREQUENT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", table: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row; null texts are empty. Repeated
     rows and null ids come as they are; other columns are left out. Special strings inside texts count as the
     library's default has them. Raises ValueError if the tokenizer is not byte-level without a normalizer."""
@@ -55,36 +157,50 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     encoder = Encoder(path)
     if encoder.library.normalizer is not None or "ByteLevel" not in str(encoder.library.pre_tokenizer):
         raise ValueError("only byte-level tokenizers without a normalizer count by pre-tokens")
-    top = frequent(docs, text_col, table)
-    lengths = encoder.ids(top)[1].tolist() if top else []
-    first_tier = spark.sparkContext.broadcast(dict(zip(top, lengths, strict=True)))
+    top = frequent(docs, id_col, text_col, table, sample)
+    lengths = encoder.ids([p.decode() for p in top])[1] if top else np.empty(0, np.int64)
+    top, lengths = [p for p, n in zip(top, lengths) if n < 1 << 16], lengths[lengths < 1 << 16]
+    first_tier = spark.sparkContext.broadcast(Table(top, lengths))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _misses:
-            _misses[path] = Encoder(path), {}
-        encoder, cache = _misses[path]
-        known = first_tier.value
+            _misses[path] = [Encoder(path), {}, 0]
+        worker, known = _misses[path], first_tier.value
         for batch in rows:
-            texts, totals, sizes = batch.column(1).to_pylist(), [], []
-            for i in range(0, len(texts), 256):
-                cuts = [pre_tokens(t) if t else [] for t in texts[i : i + 256]]
-                if 180 * len(cache) > CACHE_BYTES:
-                    cache.clear()
-                fresh = sorted({p for c in cuts for p in c if p not in known}.difference(cache))
-                for j in range(0, len(fresh), 4096):
-                    some = fresh[j : j + 4096]
-                    cache.update(zip(some, encoder.ids(some)[1].tolist(), strict=True))
-                for c in cuts:
-                    found = list(map(known.get, c))
-                    totals.append(sum(filter(None, found)) + sum(cache[p] for p, n in zip(c, found) if n is None))
-                sizes += [len(t.encode()) if t else 0 for t in texts[i : i + 256]]
-            n = np.array(totals, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            texts = encoded(batch.column(1))
+            totals = np.zeros(len(texts), np.int64)
+            for buf, ends, owners in slices(texts):
+                starts, first, second = cut(buf, ends)
+                n = known.find(first, second)
+                missed = np.flatnonzero(n < 0)
+                if len(missed):
+                    n[missed] = _missing(worker, buf, starts, first, missed)
+                totals += np.bincount(owners[np.searchsorted(ends, starts, "right")], weights=n, minlength=len(texts)).astype(np.int64)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(totals), pa.array(totals > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
+def _missing(worker: list, buf: np.ndarray, starts: np.ndarray, first: np.ndarray, missed: np.ndarray) -> np.ndarray:
+    """Tokens of pre-tokens that the table lacks: from the worker's cache (pieces to tokens, its bytes counted), else by the library."""
+    encoder, cache, _ = worker
+    _, one, which = np.unique(first[missed], return_index=True, return_inverse=True)
+    at = missed[one]
+    data, to = buf.tobytes(), np.append(starts, len(buf))
+    pieces = [data[a:b] for a, b in zip(to[at].tolist(), to[at + 1].tolist())]
+    fresh = [p for p in pieces if p not in cache]
+    if worker[2] > CACHE_BYTES:
+        cache.clear()
+        worker[2], fresh = 0, pieces
+    for i in range(0, len(fresh), 4096):
+        some = fresh[i : i + 4096]
+        cache.update(zip(some, encoder.ids([p.decode() for p in some])[1].tolist(), strict=True))
+        worker[2] += sum(map(len, some)) + 120 * len(some)
+    return np.array([cache[p] for p in pieces], np.int64)[which]
+
+
 def op7_token_counts(spark, sf_dir):
     import public_tokenizers
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -78,6 +79,39 @@ def test_token_counts(docs, empty, texts, table):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u180eab.é日"), st.characters(exclude_categories=("Cs",))), max_size=60), max_size=5))
+def test_pre_tokens_are_cut_at_white_space(texts):
+    raw = [t.encode() for t in texts]
+    for slice_bytes in (16, 1 << 19):
+        old, token_counts.SLICE = token_counts.SLICE, slice_bytes
+        try:
+            found = [[] for _ in texts]
+            for buf, ends, owners in token_counts.slices(raw):
+                starts, first, second = token_counts.cut(buf, ends)
+                for a, b, o in zip(starts.tolist(), [*starts[1:].tolist(), len(buf)], owners[np.searchsorted(ends, starts, "right")].tolist(), strict=True):
+                    found[o].append(buf[a:b].tobytes().decode())
+        finally:
+            token_counts.SLICE = old
+        assert found == [regex.findall(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+", t) for t in texts]
+
+
+def test_table_of_pre_tokens():
+    pieces = [f" w{i}".encode() for i in range(2000)] + ["\u2003é".encode(), b"\n\n"]
+    table = token_counts.Table(pieces, np.arange(len(pieces)) % 7)
+    for i, p in enumerate(pieces):
+        _, first, second = token_counts.cut(np.frombuffer(p, np.uint8), np.empty(0, np.int64))
+        assert table.find(first, second).tolist() == [i % 7] and table.find(first, second + np.uint64(1)).tolist() == [-1]
+    assert table.find(*token_counts.cut(np.frombuffer(b" other", np.uint8), np.empty(0, np.int64))[1:]).tolist() == [-1]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c")] * 3 + [(None, "x y")] * 2 + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for got in (token_counts.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json")), sentencepiece_codec.encode_decode(df, public_tokenizers.path("piece_bpe_32k.model"))):
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(d) for d, _ in rows)
+
+
 def test_sentencepiece(docs, empty, texts):
     import sentencepiece
 
