@@ -18,8 +18,8 @@ def iso_timestamp(text: Column) -> Column:
 
     The whole text must be so; else null."""
     shape = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?Z?$"
-    plain = F.regexp_replace(F.regexp_replace(text, ",", "."), "Z$", "")
-    leap = text.rlike(r"^.{17}60")
+    plain = F.translate(text, ",Z", ".")
+    leap = F.substring(text, 18, 2) == "60"
     at = F.try_to_timestamp(F.when(leap, F.concat(F.substring(plain, 1, 17), F.lit("59"), F.substring(plain, 20, 8))).otherwise(plain))
     return F.when(text.rlike(shape), F.when(leap, at + F.expr("INTERVAL 1 SECOND")).otherwise(at))
 

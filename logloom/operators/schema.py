@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions import levels, times
-from logloom.functions.text import as_boolean, scalar_kind
+from logloom.functions.text import as_boolean, once, scalar_kind
 
 #: Names of time and level columns, lower case. Fixed values.
 TIME_KEYS = ("timestamp", "time", "ts", "@timestamp", "datetime", "created_at")
@@ -138,14 +138,17 @@ def typed(text: Column, f: Field, reference: datetime.date | None = None) -> Col
 def apply_schema(parsed: DataFrame, schema: LogSchema, keep: tuple[str, ...] = ("source", "line_id"), reference: datetime.date | None = None) -> DataFrame:
     """Typed columns; a level gets <name>_rank beside it, a time its text as <name>_raw."""
     columns: list[Column] = [F.col(k) for k in keep]
-    for f in schema.fields:
-        text = value_of(f)
+    texts = {f"_text_{i}": value_of(f) for i, f in enumerate(schema.fields)}
+    rows = parsed.where("fields IS NOT NULL")
+    if texts:
+        rows = once(rows, **texts)
+    for f, text in zip(schema.fields, map(F.col, texts), strict=True):
         columns.append(typed(text, f, reference).alias(f.name))
         if f.type == "level":
             columns.append(levels.level_rank(text, f.level_mapping).alias(f"{f.name}_rank"))
         elif f.type == "time":
             columns.append(text.alias(f"{f.name}_raw"))
-    return parsed.where("fields IS NOT NULL").select(*columns)
+    return rows.select(*columns)
 
 
 def retype(df: DataFrame, name: str, to: str, formats: tuple[str, ...] = times.DEFAULT_FORMATS) -> DataFrame:

@@ -224,7 +224,7 @@ def time_gaps_in_parts(spark, d):
 # streams of several batches
 
 
-def _in_parts(spark, d, parts: int = 4) -> DataFrame:
+def _in_parts(spark, d, parts: int = 3) -> DataFrame:
     """The events as a stream of several files, oldest first."""
     path = scratch(spark, "parts")
     ev = events(spark, d)

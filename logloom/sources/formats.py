@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.text import scalar_kind
+from logloom.functions.text import once, scalar_kind
 from logloom.sources.lines import read_lines
 from logloom.sources.templates import Template
 
@@ -34,13 +34,6 @@ def last_wins(keys: Column, values: Column) -> Column:
     return F.when((n == 0) | (F.size(F.array_distinct(keys)) == n), F.map_from_arrays(keys, values)).otherwise(repeated)
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that are computed once a row, however often later expressions and lambdas name them: the optimizer does
-    not merge projections over a generator."""
-    made = F.struct(*(c.alias(k) for k, c in columns.items()))
-    return rows.withColumn("_once", F.explode(F.array(made))).select("*", "_once.*").drop("_once")
-
-
 def _error(bad: Column, why: str) -> Column:
     return F.when(bad, F.concat(F.lit("Error on line "), (F.col("line_id") + 1).cast("string"), F.lit(f": {why}")))
 
@@ -70,7 +63,7 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
     rows = once(rows, _good=F.coalesce(good, F.lit(False)), _k=F.map_keys(F.col("_o")[0]), _s=F.map_values(F.col("_o")[0]))
     pairs = F.arrays_zip(F.col("_s").alias("s"), F.col("_t").alias("t"))
     kinds = F.transform("_t", _json_kind)
-    values = F.transform(pairs, lambda p: F.when(p["t"].startswith('"'), p["s"]).when(_json_kind(p["t"]) != "null", p["t"]))
+    values = F.transform(pairs, lambda p: F.when(p["t"].startswith('"'), p["s"]).when(~_json_null(p["t"]), p["t"]))
     whole = F.size("_k") == F.size("_t")  # but for objects nested deeper than the pattern goes: these come as Spark writes them
     values = F.when(whole, values).otherwise(F.col("_s"))
     kinds = F.when(whole, kinds).otherwise(F.transform("_s", lambda s: F.when(s.isNull(), "null").when(s.rlike(r"^[\[{]"), "json").otherwise(scalar_kind(s))))
@@ -84,16 +77,25 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
     )
 
 
+def _json_null(text: Column) -> Column:
+    """Whether the text of a JSON value is null or a number out of range."""
+    # only long numbers and those with an exponent can be
+    long = (F.length(text) > 18) | F.lower(text).contains("e")
+    whole, number = text.rlike(r"^-?\d+$"), text.try_cast("double")
+    least, most = (F.lit(str(x)).cast("decimal(38,0)") for x in (-(2**63), 2**64 - 1))
+    far = F.when(whole, ~F.coalesce(text.try_cast("decimal(38,0)").between(least, most), F.lit(False))).otherwise(F.abs(number) == float("inf"))
+    return F.when(text == "null", True).when(text.substr(1, 1).isin("[", "{", "t", "f"), False).when(long, far).otherwise(False)
+
+
 def _json_kind(text: Column) -> Column:
     """Kind of a JSON value by its text."""
-    whole, number = text.rlike(r"^-?\d+$"), text.try_cast("double")
+    first = text.substr(1, 1)
     return (
-        F.when(text.startswith('"'), "string")
-        .when(text.rlike(r"^[\[{]"), "json")
-        .when(text.isin("true", "false"), "bool")
-        .when(text == "null", "null")
-        .when(whole & text.try_cast("decimal(38,0)").between(F.lit(str(-(2**63))).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")), "int")
-        .when(whole | (F.abs(number) == float("inf")), "null")
+        F.when(first == '"', "string")
+        .when(first.isin("[", "{"), "json")
+        .when(first.isin("t", "f"), "bool")
+        .when(_json_null(text), "null")
+        .when(text.rlike(r"^-?\d+$"), "int")
         .otherwise("float")
     )
 

@@ -23,7 +23,7 @@ RETAIN, RETAIN_RANGE, ERRORS_SHOWN, PENDING_MS = 10_000, (1_000, 1_000_000), 1_0
 
 
 def tail_files(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
-    """source, raw of new files in a folder. A file that grows must be shipped in pieces, as Spark reads each file once."""
+    """source, raw of new files in a folder. Spark reads each file once; sources.growing follows files that grow."""
     return spark.readStream.option("maxFilesPerTrigger", files_a_batch).option("lineSep", "\n").text(folder).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "\r\\z", "").alias("raw"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import schema
-from logloom.sources import detect, formats
+from logloom.sources import detect, formats, growing
 from logloom.streaming import stream
 
 
@@ -102,6 +102,26 @@ def test_table_goes_on_after_a_restart(spark, folder, tmp_path):
     assert len(again.versions()) == 2
 
 
+def test_growing_files(spark, tmp_path):
+    """Lines come once, when they are finished, over restarts; small splits cut inside lines; a file that is cut starts anew."""
+    path, got = tmp_path / "a.log", []
+
+    def go():
+        lines_ = growing.follow(spark, str(tmp_path / "*.log"), split=5)
+        stream.start(lines_, lambda df, n: got.append(sorted(tuple(r)[1:] for r in df.collect())), str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+
+    path.write_text("\ufeffone\ntwo and more\nthr")
+    go()
+    with path.open("ab") as f:
+        f.write(b"ee\nfour\r\n\n")
+    (tmp_path / "b.log").write_text("x\n")
+    go()
+    go()
+    path.write_text("new\n")
+    go()
+    assert got == [[(0, "one"), (7, "two and more")], [(0, "x"), (20, "three"), (26, "four"), (32, "")], [(0, "new")]]
+
+
 def test_appending_sink_replaces_a_batch_that_runs_again(spark, tmp_path):
     sink = stream.appending(str(tmp_path / "rows"))
     for number, rows in ((0, [1, 2]), (1, [3]), (1, [4, 5])):
