@@ -86,10 +86,11 @@ def first_rows(df: DataFrame, ts: str, row_id: str, seconds: int, anchored: str
 
 def rail(df: DataFrame, order: list[Column], slices: int, level: str, mapping: dict[str, str] | None = None, match: Column | None = None, slot: str | None = None) -> DataFrame:
     """The sorted rows in `slices` equal parts: slice, level counts, matches and anchor_bits."""
-    placed = positions(df, order)
+    told = {"_rank": levels.level_rank(F.col(level), mapping), "_match": F.lit(False) if match is None else match, "_slot": F.col(slot).cast("int") if slot else F.lit(None).cast("int")}
+    placed = positions(df.withColumns(told), order, keep=list(told))
     m = placed.count()
-    bits = F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col(slot).cast("int"))), F.lit(0)) if slot else F.lit(0)
-    return placed.groupBy(F.floor(F.col("position") * slices / max(m, 1)).alias("slice")).agg(*level_counts(levels.level_rank(F.col(level), mapping)), (F.count_if(match) if match is not None else F.lit(0)).alias("matches"), bits.alias("anchor_bits"))
+    bits = F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_slot"))), F.lit(0))
+    return placed.groupBy(F.floor(F.col("position") * slices / max(m, 1)).alias("slice")).agg(*level_counts(F.col("_rank")), (F.count_if("_match") if match is not None else F.lit(0)).alias("matches"), bits.alias("anchor_bits"))
 
 
 def dominant_level(rail_df: DataFrame) -> DataFrame:

@@ -55,14 +55,15 @@ def last_lines(df: DataFrame, n: int, by: str | None = None, row_id: str = "row_
     return df.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= n).drop("_k")
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Adds each row's place (from 0) in a total order, without a window over all rows.
+def positions(df: DataFrame, order: list[Column], name: str = "position", keep: list[str] | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in a total order, without a window over all rows. keep: the only columns that go along.
 
     Rows are range-partitioned and sorted; places inside a partition are shifted by the counts of the partitions before. The
     order's first key decides the ranges, so give an order that ends in the row's id. The sorted rows are written to the
     shared folder with their partition and place, so that both passes see the same.
     """
-    sorted_ = written(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "positions")
+    rows = df.orderBy(*order)
+    sorted_ = written((rows if keep is None else rows.select(*keep)).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "positions")
     counts = sorted_.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -221,7 +221,7 @@ def f_custom(spark, d):
 
 
 def _places(df, columns, **by):
-    return sorting.positions(df, sorting.order_by(df, **by)).select("position", *columns)
+    return sorting.positions(df, sorting.order_by(df, **by), keep=list(columns)).select("position", *columns)
 
 
 @query(f"SELECT row_number() OVER (ORDER BY lvl DESC NULLS FIRST, event_id) - 1 AS position, event_id FROM {_EV}")

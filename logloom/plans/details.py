@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text, times
 from logloom.functions.scratch import scratch
-from logloom.operators import annotate, export, filters, navigate, patterns, schema
+from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema
 from logloom.plans.catalogue import SLOT, anchored, events, load, query
 from logloom.sources import detect, folding, formats, lines, templates
 from logloom.streaming import stream
@@ -275,6 +275,20 @@ def stream_profile_parts(spark, d):
     return schema.promote(sink.table()).select("key", "rows", "type")
 
 
+@query(f"""WITH kept AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000)
+SELECT date_trunc('day', ts) AS bucket_start, count(*) AS total, count(*) FILTER ({SLOT} IS NOT NULL) AS anchors FROM kept GROUP BY 1""")
+def stream_evicted(spark, d):
+    """Retained rows only: their histogram, and the anchors that are left."""
+    sink = stream.Merged(spark, scratch(spark, "merged"), stream.retain_last(1000, "event_id"))
+    rows = _in_parts(spark, d).select("event_id", "ts", "event_type", F.lit("e").alias("source"), F.col("event_id").alias("line_id"))
+    stream.drain(rows, sink)
+    kept = sink.table()
+    marked = anchored(events(spark, d)).where("slot IS NOT NULL").select(F.lit("e").alias("source"), F.col("event_id").alias("line_id"), F.col("slot").alias("colour"), F.lit(None).cast("string").alias("note"))
+    left = annotate.with_anchors(kept, stream.drop_evicted(marked, kept))
+    counts = histogram.histogram(kept, "ts", "event_type", 86_400).select("bucket_start", "total")
+    return counts.join(left.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket_start")).agg(F.count("colour").alias("anchors")), "bucket_start")
+
+
 @query("SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1000")
 def stream_retention_parts(spark, d):
     sink = stream.Merged(spark, scratch(spark, "merged"), stream.retain_last(1000, "event_id"))
