@@ -8,10 +8,12 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as a character class body that Java, DuckDB and Python read alike.
 BLANKS = r"\x20\x09-\x0D"
@@ -32,20 +34,38 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark is local (tests)."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = os.environ.get("LOGLOOM_SHARED") or tempfile.mkdtemp(prefix="logloom-", dir="/tmp")
         os.environ["LOGLOOM_SHARED"] = set_to
     return set_to
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+_made: list[list[DataFrame]] = []
+
+
+def materialise(df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _made and not lasting:
+        _made[-1].append(table)
+    return table
+
+
+@contextlib.contextmanager
+def temporaries() -> Iterator[None]:
+    """Tables materialised inside, but for lasting ones, are deleted at the end: nothing that is used later may read them."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        release(*_made.pop())
 
 
 def release(*frames: DataFrame) -> None:
@@ -58,6 +78,20 @@ def release(*frames: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numeric(docs: DataFrame, column: str) -> None:
+    """ValueError unless the column's type is a whole number."""
+    if not isinstance(docs.schema[column].dataType, T.IntegralType):
+        raise ValueError(f"{column} must be a whole number, not {docs.schema[column].dataType.simpleString()}")
+
+
+def kept(names: tuple[str, ...], own: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """Columns that go through an operator under names that nothing inside has, and what they come out as. ValueError where one
+    is named as a column of the result."""
+    if clash := set(names) & set(own):
+        raise ValueError(f"columns of the result can't be kept as well: {sorted(clash)}")
+    return [F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(names)], [F.col(f"_kept_{i}").alias(c) for i, c in enumerate(names)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,15 +26,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, id_c
     shard), grown_shard (null under this law), and the columns in `keep`.
 
     Null texts count as empty ones. Rows that are equal in id and text get slots in arbitrary order among
-    themselves. An empty table gives an empty one.
+    themselves. An empty table gives an empty one. Columns in `keep` may have any name but those of the result's other
+    columns, else ValueError. A part of many rows is numbered in bins by the id's hash, each after the bins before it.
     """
     spark = docs.sparkSession
+    into, back = common.kept(keep, ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     ranges = ranges or max(shards * RANGES, 16 * common.partitions(spark))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), *keep)
+    base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), *into)
     thin = base.select("doc_id", "size", "text_crc32")
     base_salt = F.xxhash64("doc_id", F.lit(17))
-    total = thin.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
+    whole = thin.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    total, crowd = whole["bytes"] or 0, max(1, 2 * whole["rows"] // ranges)
     # 1. size-weighted sample of keys: a record is drawn with chance size / step, at most 1; heavier ones weigh the more
     step = max(1.0, total / (ranges * SAMPLES))
     draw = F.pmod(base_salt, F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -44,12 +47,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, id_c
     ranged = thin.withColumn("range", common.range_bin(F.col("text_crc32"), splitters))
     # 2. exact bytes, and overfull ranges subdivided: by key where that helps, else by a hash of the id
     limit = max(1.0, 2.0 * total / ranges)
-    counted = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("text_crc32").alias("low"), F.max("text_crc32").alias("high")).collect()}
+    counted = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("text_crc32").alias("low"), F.max("text_crc32").alias("high")).collect()}
     overfull = {k: r for k, r in counted.items() if r["bytes"] > limit}
     parts = {k: int(r["bytes"] / (limit / 2)) + 1 for k, r in overfull.items()}
     by_range = {k: parts.get(k, 1) for k in counted}
     lookup = F.expr("array(" + ",".join(str(by_range.get(k, 1)) for k in range(max(counted, default=0) + 1)) + ")")
     n_parts = F.element_at(lookup, F.col("range") + 1)
+    n_bins = F.element_at(F.expr("array(" + ",".join(str(-(-counted[k]["rows"] // crowd) if k in counted else 1) for k in range(max(counted, default=0) + 1)) + ")"), F.col("range") + 1)
     group_limit = max(limit, total / (32 * shards))
     # a range of several texts is subdivided by text first, and the part of a text that alone overfills it by id
     texts = {k: r["high"] > r["low"] for k, r in overfull.items()}
@@ -61,25 +65,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, id_c
     by_id = F.col("text_crc32").isin(heavy) if heavy else F.lit(False)
     part = F.pmod(F.when(by_id, base_salt).otherwise(F.xxhash64("text_crc32")), n_parts).cast("int")
     part = part + F.when(by_id, n_parts).otherwise(0)
-    placed = lambda df: df.withColumn("range", common.range_bin(F.col("text_crc32"), splitters)).withColumn("part", part)
+    placed = lambda df: df.withColumn("range", common.range_bin(F.col("text_crc32"), splitters)).withColumn("part", part).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(23)), n_bins).cast("int"))
     # 3. whole parts to shards, largest first
-    sizes = placed(thin).groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    bins = placed(thin).groupBy("range", "part", "bin").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    sizes: dict[tuple[int, int], list] = {}
+    for r in bins:
+        sizes.setdefault((r["range"], r["part"]), []).append(r)
     load = [(0, s) for s in range(shards)]
     filled = [0] * shards
-    deal: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in sorted(sizes, key=lambda r: (-r["bytes"], r["range"], r["part"])):
+    rows = []
+    for size, key in sorted((-sum(r["bytes"] for r in own), key) for key, own in sizes.items()):
         held, s = heapq.heappop(load)
-        deal.setdefault(r["range"], {})[r["part"]] = (s, filled[s])
-        filled[s] += r["rows"]
-        heapq.heappush(load, (held + r["bytes"], s))
-    rows = [(k, p, *v) for k, x in deal.items() for p, v in x.items()]
-    table = spark.createDataFrame(rows, "range int, part int, shard int, first_slot bigint")  # at most about 3 * ranges rows
-    inside = Window.partitionBy("range", "part").orderBy("text_crc32", "doc_id", "size")
+        for r in sorted(sizes[key], key=lambda r: r["bin"]):
+            rows.append((*key, r["bin"], s, filled[s]))
+            filled[s] += r["rows"]
+        heapq.heappush(load, (held - size, s))
+    table = spark.createDataFrame(rows, "range int, part int, bin int, shard int, first_slot bigint")  # at most about 4 * ranges rows
+    inside = Window.partitionBy("range", "part", "bin").orderBy("text_crc32", "doc_id", "size")
     return (
         placed(base)
         .withColumn("inner", F.row_number().over(inside) - 1)
-        .join(F.broadcast(table), ["range", "part"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + F.col("inner")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *keep)
+        .join(F.broadcast(table), ["range", "part", "bin"])
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + F.col("inner")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *back)
     )
 
 
