@@ -52,9 +52,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     keeps documents whole and takes the one at the cut if that comes nearer. Empty and null texts have size 0 and
     are taken 0 words. Rows of equal id are ordered by size; which of two fully equal rows is cut makes no
     difference to the rows returned. The key is md5(seed, id), so reruns agree. An empty table gives an empty one.
+    Columns in `keep` may have any name but those of the result's other columns, else ValueError. Without such columns the
+    texts are read once and only ids, sources and sizes are written and read again.
     """
     source = F.col(source_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), common.words_count(F.col(text_col)).alias("size"), *keep)
+    into, back = common.kept(keep, ("doc_id", "source", "size", "source_size", "target", "taken"))
+    base = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), common.words_count(F.col(text_col)).alias("size"), *into)
+    if not keep:
+        base = common.materialise(base, "mix-sizes")
     base = base.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goal = targets(per.select("source", "source_size"), weights, share, epochs)
@@ -79,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     budget = F.round(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("source_size")
-    return out.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + _last(rest, before, F.col("size"), cut)).cast("long").alias("taken"), *keep)
+    return out.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + _last(rest, before, F.col("size"), cut)).cast("long").alias("taken"), *back)
 
 
 def _last(rest: Column, before: Column, size: Column, cut: str) -> Column:

@@ -41,6 +41,39 @@ def test_shards_split_a_hot_text(spark):
     assert len(load) == 8 and max(load.values()) < 1.05 * min(load.values())
 
 
+def test_shards_number_crowded_parts_in_bins(spark):
+    """Null and empty texts are few bytes and many rows."""
+    rows = [(i, None if i % 3 else "") for i in range(6000)] + [(6000 + i, "text " * i) for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), ranges=64)
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_kept_columns_with_names_used_inside(docs):
+    names = ("key", "start", "n", "rep", "root", "copy")
+    wanted = {r["doc_id"]: tuple(r[c] for c in names) for r in docs.collect()}
+    model = None
+    for got in (mixing.mix(docs, keep=names), sharding.shard(docs, keep=names), language_id.identify(docs, model, keep=names)):
+        assert {r["doc_id"]: tuple(r[c] for c in names) for r in got.collect()} == wanted
+    for bad in (lambda: mixing.mix(docs, keep=("size",)), lambda: sharding.shard(docs, keep=("shard",)), lambda: language_id.identify(docs, model, keep=("score",))):
+        with pytest.raises(ValueError, match="kept"):
+            bad()
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Rows come out as often as they went in; which of equal rows gets what makes no difference."""
+    rows = [(1, "one two three", "a")] * 4 + [(None, "four five", "a")] * 3 + [(None, None, None)] * 2 + [(2, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix(df).collect()
+    assert Counter(r["doc_id"] for r in mixed) == Counter(r[0] for r in rows)
+    assert sum(r["taken"] for r in mixed) == round(mixed[0]["target"] if mixed[0]["source"] == "a" else next(r["target"] for r in mixed if r["source"] == "a"))
+    sharded = sharding.shard(df).collect()
+    assert Counter(r["doc_id"] for r in sharded) == Counter(r[0] for r in rows)
+    assert Counter(r["doc_id"] for r in language_id.identify(df, None).collect()) == Counter(r[0] for r in rows)
+
+
 def test_mix(spark, docs, empty, texts):
     rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
     size = {i * 3: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
