@@ -203,8 +203,8 @@ def held_out(doc_id) -> object:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, hidden: int = HIDDEN, steps: int = STEPS) -> ByteGru | None:
     """A network for the labels of the documents that are not held out; None if there are none.
 
-    Learns from a hash sample of about per_language documents a language (`sample` in all at most), PIECES pieces of
-    PIECE_CHARS characters each, from places all over the text."""
+    Learns from a hash sample of about per_language documents a language (never more than 2 * sample rows, whatever ids
+    repeat), PIECES pieces of PIECE_CHARS characters each, from places all over the text."""
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = {r["l"]: r["n"] for r in known.groupBy(F.col(label_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         rate = F.when(F.col(label_col).isin([k for k in languages if share[k] == value]), value).otherwise(rate)
     n = F.length(text_col)
     spots = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(100 + i)), F.greatest(n - PIECE_CHARS, F.lit(1))) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
-    rows = known.where(draw < rate).select(F.col(id_col).cast("string").alias("i"), F.col(label_col).alias("l"), *(s.alias(f"p{k}") for k, s in enumerate(spots))).collect()
+    rows = known.where(draw < rate).select(F.col(id_col).cast("string").alias("i"), F.col(label_col).alias("l"), *(s.alias(f"p{k}") for k, s in enumerate(spots)), F.xxhash64(text_col).alias("h"))
+    rows = rows.orderBy("h", "i").limit(2 * sample).drop("h").collect()
     index = {k: i for i, k in enumerate(languages)}
     found = sorted((p, r["l"], r["i"] or "") for r in rows for p in list(r)[2:] if p and _letter(p))
     if not found:
@@ -232,8 +233,10 @@ def identify(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", tex
     """id_col, lang_pred, score (0 to 1: mean probability of lang_pred over all positions), and the columns in `keep`.
 
     A null text, one without letters, and every text if there is no model, get lang_pred 'und' and score 0. Rows come
-    out as they went in; an empty table gives an empty one. Map-only.
+    out as they went in; an empty table gives an empty one. Map-only. Columns in `keep` may have any name but those of the
+    result's other columns, else ValueError.
     """
+    common.kept(keep, (id_col, "lang_pred", "score"))
     common.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     extra = [docs.schema[k] for k in keep]
