@@ -294,3 +294,14 @@ def stream_retention_parts(spark, d):
     sink = stream.Merged(spark, scratch(spark, "merged"), stream.retain_last(1000, "event_id"))
     stream.drain(_in_parts(spark, d).select("event_id"), sink)
     return sink.table()
+
+
+# merging
+
+
+@query("SELECT 'f' AS source, event_id AS line_id, CASE WHEN event_id % 3 < 2 THEN 0 ELSE 1 END AS source_rank, event_type FROM events UNION ALL SELECT 'g', event_id, 1, event_type FROM events WHERE event_id % 5 = 0")
+def merge_repeated(spark, d):
+    """A file that two loads hold in part: its lines come once, from the first load that has them."""
+    ev = events(spark, d).select(F.lit("f").alias("source"), F.col("event_id").alias("line_id"), "event_type")
+    other = ev.where("line_id % 5 = 0").withColumn("source", F.lit("g"))
+    return lines.merge_sources(ev.where("line_id % 3 < 2"), ev.where("line_id % 3 > 0").unionByName(other)).select("source", "line_id", "source_rank", "event_type")
