@@ -232,7 +232,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def summary(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             n, h1, h2 = [], [], []
-            for h in shingles.distinct(shingles.encoded(batch.column(1)), words):
+            for h in shingles.column_sets(batch.column(1), words):
                 a, b = class_keys(h)
                 n.append(len(h))
                 h1.append(a)
@@ -262,7 +262,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
             for batch in rows:
                 keys, own, kinds, size = [], [], [], 0
-                for row, h in zip(batch.column(0).to_pylist(), shingles.distinct(shingles.encoded(batch.column(1)), words), strict=True):
+                for row, h in zip(batch.column(0).to_pylist(), shingles.column_sets(batch.column(1), words), strict=True):
                     if not len(h):
                         continue
                     least = -(-percent * len(h) // 100)
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # pairs that differ in too many bits differ in too many shingles
     def with_bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [(len(h), bitmap(h)) for h in shingles.distinct(shingles.encoded(batch.column(1)), words)]
+            found = [(len(h), bitmap(h)) for h in shingles.column_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["row", "n", "bits"])
 
     def alike(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,9 +376,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     def with_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [h.astype("<u8").tobytes() for h in shingles.distinct(shingles.encoded(batch.column(1)), words)]
-            for i in range(0, len(found), 512):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(found[i : i + 512], pa.binary())], ["row", "tokens"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [h.astype("<u8").tobytes() for h in shingles.column_sets(part.column(1), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["row", "tokens"])
 
     own_class = F.when(F.col("split"), F.col("size_class")).otherwise(0)
     own_blocks = F.filter("plan", lambda p: p["size_class"] == own_class)[0]["blocks"]
