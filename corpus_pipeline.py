@@ -20,10 +20,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of texts with word 5-gram Jaccard similarity of 0.8 or more (linked directly or through others) one row stays: the
     one with the least id (null is above all), of these the one with the least hash. Repeated and null ids follow the same rule: of repeated
     rows one stays, and an id that comes with several texts keeps those that are not copies. Documents without words stay."""
-    found = ngram_join.jaccard_components(docs, words=5, percent=80, with_rows=True).where("group IS NOT NULL")
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = found.join(best.select(F.col("group").alias("g"), "best"), F.col("group") == F.col("g")).groupBy("row", "best").agg(F.count(F.lit(1)).alias("n"))
-    gone = common.materialise(rows.where("row <> best OR n > 1").select(F.col("row").alias("node"), (F.col("row") == F.col("best")).alias("repeated")), "duplicates")
+    with common.temporaries():
+        found = ngram_join.jaccard_components(docs, words=5, percent=80, with_rows=True).where("group IS NOT NULL")
+        best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = found.join(best.select(F.col("group").alias("g"), "best"), F.col("group") == F.col("g")).groupBy("row", "best").agg(F.count(F.lit(1)).alias("n"))
+        gone = common.materialise(rows.where("row <> best OR n > 1").select(F.col("row").alias("node"), (F.col("row") == F.col("best")).alias("repeated")), "duplicates", lasting=True)
     docs = docs.select(*COLUMNS).withColumn("row", ngram_join.row_hash(F.col("doc_id"), F.col("text")))
     repeated = gone.where("repeated").select("node")
     n_gone, n_repeated = gone.count(), repeated.count()
@@ -42,7 +43,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document, as digests."""
+    """Ids and decoded text of every document, as digests. A null or empty text is encoded as an empty one; rows come out as they went in."""
     import public_tokenizers
 
     return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -56,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        done = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
+        if i:  # the stage before is read no more
+            common.release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
