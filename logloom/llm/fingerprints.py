@@ -99,9 +99,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     row of each shard comes a second time (extra) at the end of the shard before it, and the very first at the end of
     the last shard: so each row's successor stands after it. One shuffle of the texts.
 
-    Null ids come first; equal ids stand in the order of their texts.
+    Null ids come first; equal ids stand in the order of their texts. Ids must be numbers: a column of another type raises ValueError.
     """
     spark = docs.sparkSession
+    common.numeric(docs, id_col)
     n = common.partitions(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n) if n > 1 else F.array()).first()[0] or []
@@ -125,7 +126,8 @@ def edited_likeness(docs: DataFrame, fraction: float = FRACTION, least: int = LE
     next document, ascending id), with near_edited and near_next: likeness to the edited and to the next document's.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are
-    empty. A single document is its own next one. Null ids come first; equal ids stand in the order of their texts.
+    empty. A single document is its own next one. Null ids come first; equal ids stand in the order of their texts. Ids must be
+    numbers: a column of another type raises ValueError.
     """
     common.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -26,9 +26,9 @@ BLOCK, SEGMENT = 256, 1 << 16
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], np.int64)
 ESCAPE, ZEROS = 0, 15
-#: Words that a worker keeps with their ids, about 170 bytes each; when full, the cache starts again.
-CACHED = 1_500_000
-_encoders: dict[str, tuple[Encoder, dict[bytes, bytes]]] = {}
+#: Bytes of words and their ids that a worker keeps (each with OVERHEAD for the objects); when full, the cache starts again.
+CACHED, OVERHEAD = 256 << 20, 140
+_encoders: dict[str, list] = {}
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
@@ -135,16 +135,19 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
         e = Encoder(path)
         if "Lowercase" not in str(e.library.normalizer) or "Removed" not in str(e.library.pre_tokenizer):
             raise ValueError("this tokenizer keeps case or white space: its texts can't be cut into words")
-        _encoders[path] = e, {}
-    encoder, cache = _encoders[path]
+        _encoders[path] = [e, {}, 0]
+    held = _encoders[path]
+    encoder, cache, size = held
     words = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-    if len(cache) > CACHED:
+    if size > CACHED:
         cache.clear()
+        held[2] = 0
     fresh = sorted(set().union(*words).difference(cache))
     for i in range(0, len(fresh), 16_384):
         some = fresh[i : i + 16_384]
         ids, counts = encoder.ids([w.decode() for w in some])
         packed, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+        held[2] += len(packed) + sum(map(len, some)) + OVERHEAD * len(some)
         cache.update(zip(some, (packed[a:b] for a, b in zip([0, *ends], ends)), strict=True))
     return [b"".join(map(cache.__getitem__, own)) for own in words]
 
@@ -156,9 +159,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     """Encode each whole text, append end_id (None: nothing) and write the ids to files at path.
 
     Documents are range-partitioned by id (one shuffle of the texts) and sorted; null ids come first, repeated ids in
-    the order of their texts, a null text is empty. Other columns are left out. An empty table writes no segment.
+    the order of their texts, a null text is empty. Other columns are left out. An empty table writes no segment. Ids must be
+    numbers: a column of another type raises ValueError.
     """
     spark = docs.sparkSession
+    common.numeric(docs, id_col)
     common.ready(spark)
     n = common.partitions(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -96,6 +96,15 @@ def test_pre_tokens_are_cut_at_white_space(texts):
         assert found == [regex.findall(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+", t) for t in texts]
 
 
+def test_text_ids_are_refused(spark, tmp_path):
+    from logloom.llm import fingerprints
+
+    df = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    for bad in (lambda: token_files.write_files(df, str(tmp_path / "f"), public_tokenizers.path("word_bpe_49k.json"), 2), lambda: fingerprints.edited_likeness(df)):
+        with pytest.raises(ValueError, match="whole number"):
+            bad()
+
+
 def test_table_of_pre_tokens():
     pieces = [f" w{i}".encode() for i in range(2000)] + ["\u2003é".encode(), b"\n\n"]
     table = token_counts.Table(pieces, np.arange(len(pieces)) % 7)
