@@ -142,7 +142,7 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
     if size > CACHED:
         cache.clear()
         held[2] = 0
-    fresh = sorted(set().union(*words).difference(cache))
+    fresh = list(set().union(*words).difference(cache))
     for i in range(0, len(fresh), 16_384):
         some = fresh[i : i + 16_384]
         ids, counts = encoder.ids([w.decode() for w in some])

@@ -21,8 +21,8 @@ class Encoder:
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and the number of ids of each piece."""
         got = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        owners = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        if len(owners) and owners.min() < 0:  # special strings inside a piece have no owner
+        owners = np.array(got.word_ids, np.float64)  # None becomes not a number
+        if np.isnan(owners).any():  # special strings inside a piece have no owner
             lists = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
             return np.array([i for x in lists for i in x], "<u4"), np.array(list(map(len, lists)), np.int64)
-        return np.array(got.ids, "<u4"), np.bincount(owners, minlength=len(pieces))
+        return np.array(got.ids, "<u4"), np.bincount(owners.astype(np.int64), minlength=len(pieces))
