@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. QUERIES and ORACLES list their registered queries."""
 
-from logloom.llm import fingerprints, language_id, licenses, mixing, ngram_join, sentencepiece_codec, sharding, token_counts, token_files, vector_search
+from logloom.llm import centroids, fingerprints, language_id, licenses, main_text, mixing, ngram_join, periodic_runs, sentencepiece_codec, sharding, token_counts, token_files, vector_search
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
@@ -13,7 +13,10 @@ QUERIES = {
     "op8_vector_search": vector_search.op8_vector_search,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_main_text": main_text.op13_main_text,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op6_ngram_join": ngram_join.ORACLE}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op11_centroids": centroids.ORACLE, "op13_main_text": main_text.ORACLE}
