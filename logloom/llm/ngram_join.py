@@ -232,8 +232,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def summary(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             n, h1, h2 = [], [], []
-            for h in shingles.column_sets(batch.column(1), words):
+            for i, h in enumerate(shingles.column_sets(batch.column(1), words)):
                 a, b = class_keys(h)
+                if len(h) == 1:  # a set of one shingle is known by one hash: its words are hashed anew
+                    b = shingles.first_words(batch.column(1)[i].as_py(), words)
                 n.append(len(h))
                 h1.append(a)
                 h2.append(b)
@@ -318,10 +320,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     drawn = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n_classes, 1)) * (1 << 30))
     hot = first_rows.where(drawn).mapInArrow(emit(False), signature).where(~marked).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).collect()
     hot = np.sort(np.array([r["key"] for r in hot], np.int64).view(np.uint64))
-    by_key = Window.partitionBy("key")
-    told = first_rows.mapInArrow(emit(False, hot), signature)
-    shared = told.withColumn("sets", F.count(F.lit(1)).over(by_key)).withColumn("whole", F.max(~deletion).over(by_key)).where((F.col("sets") > 1) & F.col("whole") | marked).drop("whole")
+    told = common.materialise(first_rows.mapInArrow(emit(False, hot), signature), "signatures")
+    # summed before the shuffle: no key's rows meet in one task but in the join, which splits
+    often = told.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max(~deletion).alias("whole")).where("sets > 1 AND whole").select(F.col("key").alias("k"), "sets")
+    shared = told.join(often, F.col("key") == F.col("k"), "left").where(F.col("sets").isNotNull() | marked).drop("k")
     shared = common.materialise(shared, "meetings")
+    common.release(told)
     light, dense = met(shared)
     light = common.materialise(light.distinct(), "pairs")
 

@@ -1,13 +1,15 @@
 """Word and shingle hashes of many texts at once, in numpy.
 
-Words are the runs between ASCII white space; A-Z count as a-z. A word's hash is a polynomial over random byte
-values modulo 2**64, a shingle's hash a mix of its words' hashes in order. Work goes in slices of about SLICE
-bytes, cut between documents, or between words inside a longer document, so memory does not follow text length
-but for 8 bytes a word.
+Words are the runs between ASCII white space; A-Z count as a-z. A word's hash is the sum, modulo 2**64, of a random value of
+each byte times a random odd number of its place in the word (multilinear hashing: no structure in the words makes two of
+them meet, unlike with a polynomial); a shingle's hash is the like sum of its words' hashes. Work goes in slices of about
+SLICE bytes, cut between documents, or between words inside a longer document (a word that is longer than a slice is held
+whole), so memory does not follow text length but for 8 bytes a word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +20,9 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
-_BASE = int(_rng.integers(2**40, 2**62)) | 5
-_INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = [int(x) | 1 for x in _rng.integers(2**40, 2**62, 64)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_BASE, 2 * SLICE), _powers(_INVERSE, 2 * SLICE)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -39,10 +30,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbers_of(places: np.ndarray) -> np.ndarray:
+    return mix(places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1B873593CC9E2D51)) | np.uint64(1)
+
+
+_NUMBERS = _numbers_of(np.arange(4096))
+
+
+def byte_numbers(places: np.ndarray) -> np.ndarray:
+    """The random odd number of each byte's place in its word."""
+    return _NUMBERS[places] if not len(places) or places.max() < len(_NUMBERS) else _numbers_of(places)
+
+
 def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of buf; no word reaches over a cut."""
     n = len(buf)
-    up, down = (_UP, _DOWN) if n < len(_UP) else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
     solid = ~_BLANK[buf]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -50,10 +52,12 @@ def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = cuts[cuts < n]
         begins[cuts] = solid[cuts]
     starts = np.flatnonzero(begins)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.where(solid, _VALUE[buf] * up[:n], np.uint64(0)), out=sums[1:])
-    upto = np.append(starts[1:], n)  # blanks add nothing, so a word's sum may run to the next word
-    return mix((sums[upto] - sums[starts]) * down[starts]), starts
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    places = np.arange(n - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, n)))
+    # blanks add nothing, so a word's sum may run to the next word
+    values = np.where(solid[starts[0] :], _VALUE[buf[starts[0] :]], np.uint64(0)) * byte_numbers(places)
+    return mix(np.add.reduceat(values, starts - starts[0])), starts
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
@@ -125,3 +129,9 @@ def encoded(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def first_words(text: str, k: int) -> int:
+    """64 signed bits of the first k words in lower case, by a cryptographic hash: of a text with one shingle, they are all there is to know."""
+    words = text.encode().lower().split(None, k)[:k]  # of bytes: ASCII letters and white space only
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)

@@ -88,7 +88,8 @@ def test_pre_tokens_are_cut_at_white_space(texts):
         try:
             found = [[] for _ in texts]
             for buf, ends, owners in token_counts.slices(raw):
-                starts, first, second = token_counts.cut(buf, ends)
+                starts, places = token_counts.cut(buf, ends)
+                assert (places == np.arange(len(buf)) - starts[np.searchsorted(starts, np.arange(len(buf)), "right") - 1]).all()
                 for a, b, o in zip(starts.tolist(), [*starts[1:].tolist(), len(buf)], owners[np.searchsorted(ends, starts, "right")].tolist(), strict=True):
                     found[o].append(buf[a:b].tobytes().decode())
         finally:
@@ -108,10 +109,27 @@ def test_text_ids_are_refused(spark, tmp_path):
 def test_table_of_pre_tokens():
     pieces = [f" w{i}".encode() for i in range(2000)] + ["\u2003é".encode(), b"\n\n"]
     table = token_counts.Table(pieces, np.arange(len(pieces)) % 7)
+    find = lambda p: table.find(np.frombuffer(p, np.uint8), *token_counts.cut(np.frombuffer(p, np.uint8), np.empty(0, np.int64))).tolist()
     for i, p in enumerate(pieces):
-        _, first, second = token_counts.cut(np.frombuffer(p, np.uint8), np.empty(0, np.int64))
-        assert table.find(first, second).tolist() == [i % 7] and table.find(first, second + np.uint64(1)).tolist() == [-1]
-    assert table.find(*token_counts.cut(np.frombuffer(b" other", np.uint8), np.empty(0, np.int64))[1:]).tolist() == [-1]
+        assert find(p) == [i % 7]
+    assert find(b" other") == [-1] and find(b"".join(pieces)) == [i % 7 for i in range(len(pieces))]
+    table.bytes = table.bytes.copy()
+    table.bytes[:] = 1  # as if other bytes had all these hashes
+    assert find(b"".join(pieces)) == [-1] * len(pieces)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"x {w} y z" for n in (1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for table in (0, 100):
+        got = by_id(token_counts.count_tokens(df, path, table=table))
+        assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_repeated_rows_and_null_ids(spark):

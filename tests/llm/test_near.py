@@ -207,3 +207,20 @@ def test_sketches_of_unequal_documents():
     a, b = fingerprints.Sketch.of(small), fingerprints.Sketch.of(large)
     assert a.containment(b) == pytest.approx(0.8, abs=0.12)
     assert fingerprints.Sketch.of(np.union1d(small, large)).text() == a.merged(b).text()
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    word = lambda n, a, b: "".join(b if i.bit_count() % 2 else a for i in range(n))
+    texts = [f"x {word(n, *ab)} y z" for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert result(ngram_join.jaccard_components(df)) == {i: (1, i, 0) for i in range(len(texts))}
+    hashes = [int(h[0]) for h in shingles.distinct([t.encode() for t in texts], 4)]
+    assert len(set(hashes)) == len(texts)
+    near = [r["near_next"] for r in fingerprints.edited_likeness(df).collect()]
+    assert near == [0.0] * len(texts)
+
+
+def test_sets_of_one_shingle(spark):
+    texts = ["a b", "A  b", "a b c", "a a a a", "a a a a a a", "a a a", "b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert result(ngram_join.jaccard_components(df)) == brute(list(range(len(texts))), texts)
