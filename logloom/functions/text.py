@@ -9,6 +9,11 @@ INTEGER = r"^-?\d{1,20}$"
 FLOAT = r"^-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def blank(raw: Column) -> Column:
+    """Whether a line holds nothing but blanks, tabs and line ends."""
+    return F.length(F.trim(raw, F.lit(" \t\r\n"))) == 0
+
+
 def scalar_kind(text: Column) -> Column:
     """Kind of a bare scalar: null, bool, int, float or string. Integers reach from -2^63 to 2^64 - 1; floats are finite."""
     whole = text.try_cast("decimal(38,0)")

@@ -1,14 +1,17 @@
 """Typed columns from parsed fields: profile, inference, promotion, health, retyping.
 
-One aggregate over (key, kind) pairs profiles all keys at once; inference works on that small profile (one row a key).
+One pass over (key, kind, value) rows profiles all keys at once; inference works on that small profile (one row a key).
 """
 
 from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,16 +77,55 @@ def discover(parsed: DataFrame) -> DataFrame:
     return parsed.where("fields IS NOT NULL").select("source", "line_id", F.explode("fields").alias("key", "value")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("source", "line_id")).alias("first"))
 
 
+_COUNTS = ("rows", "null", "bool", "int", "float", "string", "json", "long")
+_PROFILE = "key string, " + ", ".join(f"`{c}` bigint" for c in _COUNTS) + ", values array<string>, overflow boolean"
+
+
 def profile(parsed: DataFrame, values: int = ENUM_VALUES) -> DataFrame:
-    """One row a key: rows, counts by kind, long strings, distinct strings (capped estimate first, then exact for the few
-    that may be enumerations) and, for those, the values."""
-    pairs = parsed.where("fields IS NOT NULL").select(F.explode(F.map_keys("fields")).alias("key"), "fields", "kinds").select("key", F.element_at("fields", F.col("key")).alias("value"), F.element_at("kinds", F.col("key")).alias("kind"))
-    is_ = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    short = (F.col("kind") == "string") & (F.octet_length("value") <= ENUM_BYTES)
-    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *(is_(k) for k in ("null", "bool", "int", "float", "string", "json")), F.count_if((F.col("kind") == "string") & (F.octet_length("value") > ENUM_BYTES)).alias("long"), F.approx_count_distinct(F.when(short, F.col("value")), 0.05).alias("about"))
-    few = counts.where(F.col("about") <= 2 * values).select(F.col("key").alias("k"))
-    sets = pairs.join(F.broadcast(few), F.col("key") == F.col("k"), "left_semi").where(short).groupBy("key").agg(F.collect_set("value").alias("values"))
-    return counts.join(sets, "key", "left").drop("about")
+    """One row a key: rows, counts by kind, long strings, the distinct short strings if there are at most `values` (else null), and
+    overflow, whether there are more.
+
+    One pass: each task keeps, of each key, its counts and at most values + 1 strings; what the tasks found is merged, in two
+    steps, by merged_profiles()."""
+    short = F.when((F.col("kind") == "string") & (F.octet_length("value") <= ENUM_BYTES), F.col("value"))
+    entries = F.explode(F.map_entries("fields")).alias("e")
+    pairs = parsed.where("fields IS NOT NULL").select(entries, "kinds").select(F.col("e.key").alias("key"), F.element_at("kinds", F.col("e.key")).alias("kind"), F.col("e.value").alias("value"))
+    names = _COUNTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, dict[str, int]] = {}
+        found: dict[str, set | None] = {}  # None: more than `values`
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for key, kind, long, n in zip(*(c.to_pylist() for c in table.group_by(["key", "kind", "long"]).aggregate([([], "count_all")]).columns), strict=True):
+                own = counts.setdefault(key, dict.fromkeys(names, 0))
+                own["rows"] += n
+                own[kind] += n
+                own["long"] += n if long else 0
+            full = [k for k, v in found.items() if v is None]
+            some = table.filter(pc.and_(pc.is_valid(table["short"]), pc.invert(pc.is_in(table["key"], pa.array(full, pa.string())))))
+            for key, value in zip(*(c.to_pylist() for c in some.select(["key", "short"]).group_by(["key", "short"]).aggregate([]).columns), strict=True):
+                own_set = found.setdefault(key, set())
+                if own_set is not None:
+                    own_set.add(value)
+                    if len(own_set) > values:
+                        found[key] = None
+        lists = [sorted(v) if (v := found.get(k, set())) is not None else None for k in counts]
+        arrays = [pa.array(list(counts), pa.string()), *(pa.array([c[x] for c in counts.values()], pa.int64()) for x in names), pa.array(lists, pa.list_(pa.string())), pa.array([x is None for x in lists], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", *names, "values", "overflow"])
+
+    told = pairs.select("key", F.coalesce("kind", F.lit("null")).alias("kind"), short.alias("short"), ((F.col("kind") == "string") & (F.octet_length("value") > ENUM_BYTES)).alias("long"))
+    parts = told.mapInArrow(run, _PROFILE)
+    # at most 64 of the tasks' rows a key meet in the last step
+    return merged_profiles(merged_profiles(parts.withColumn("part", F.spark_partition_id() % 64), values, "part").drop("part"), values)
+
+
+def merged_profiles(profiles: DataFrame, values: int = ENUM_VALUES, *by: str) -> DataFrame:
+    """Profiles of parts of the rows, merged into one row a key. Associative: however rows are parted, the result is that of all of them."""
+    united = F.array_distinct(F.flatten(F.collect_list("values")))
+    out = profiles.groupBy("key", *by).agg(*(F.sum(c).alias(c) for c in _COUNTS), united.alias("values"), F.max("overflow").alias("overflow"))
+    out = out.withColumn("overflow", F.col("overflow") | (F.size("values") > values))
+    return out.withColumn("values", F.when(~F.col("overflow"), F.array_sort("values")))
 
 
 def infer_type(p: Column | None = None) -> Column:

@@ -12,7 +12,7 @@ from logloom.functions import text, times
 from logloom.functions.scratch import scratch
 from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema
 from logloom.plans.catalogue import SLOT, anchored, events, load, query
-from logloom.sources import detect, folding, formats, lines, templates
+from logloom.sources import detect, folding, formats, growing, lines, templates
 from logloom.streaming import stream
 
 _BAD = """CASE WHEN event_id % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 8) THEN 'Error on line ' || (event_id + 1) || ': not a JSON object' END"""
@@ -31,21 +31,24 @@ def json_strict(spark, d):
     return out.select(F.col("line_id").alias("event_id"), "error", F.col("fields")["a"].alias("a"), F.col("kinds")["a"].alias("kind"), F.when(F.col("fields").isNotNull(), F.size("fields")).alias("fields"))
 
 
-_TYPES = {
-    "flag": ("event_id % 2 = 0", "CASE WHEN count(*) > 0 THEN 'boolean' END"),
-    "n": ("user_id", "CASE WHEN count(user_id) > 0 THEN 'integer' ELSE 'any' END"),
-    "ratio": ("value", "CASE WHEN count(value) > 0 THEN 'floating' ELSE 'any' END"),
-    "number": ("CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0.5 END", "CASE WHEN count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0 THEN 'number' END"),
-    "both": ("", "CASE WHEN count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0 THEN 'any' END"),
-    "nothing": ("", "CASE WHEN count(*) > 0 THEN 'any' END"),
-    "object": ("", "CASE WHEN count(*) > 0 THEN 'string' END"),
-    "severity": ("", "CASE WHEN count(DISTINCT event_type) BETWEEN 1 AND 64 THEN 'level' END"),
-    "kind": ("", "CASE WHEN count(DISTINCT event_type) <= 64 THEN 'enum' ELSE 'string' END"),
-    "text": ("", "CASE WHEN count(DISTINCT event_id) <= 64 THEN 'enum' ELSE 'string' END"),
-    "long": ("", "CASE WHEN count(*) FILTER (event_id % 50 = 0) > 0.01 * count(*) THEN 'string' ELSE 'enum' END"),
-    "mixed": ("", "CASE WHEN count(*) FILTER (event_id % 50 = 0) > 0.01 * count(*) THEN 'string' ELSE 'enum' END"),
-    "@timestamp": ("", "CASE WHEN count(*) > 0 THEN 'time' END"),
-}
+#: Kind and short text of each key's value, as SQL over a row of events. Rows differ by group (event_id % 6): the type is that of the group's rows.
+_KINDS = {
+    "flag": ("'bool'", "NULL"), "n": ("CASE WHEN user_id IS NULL THEN 'null' ELSE 'int' END", "NULL"), "ratio": ("CASE WHEN value IS NULL THEN 'null' ELSE 'float' END", "NULL"),
+    "number": ("CASE WHEN event_id % 4 = 0 THEN 'int' ELSE 'float' END", "NULL"), "both": ("CASE WHEN event_id % 2 = 0 THEN 'bool' ELSE 'int' END", "NULL"),
+    "some": ("CASE WHEN event_id % 4 = 0 THEN 'bool' WHEN event_id % 3 = 0 THEN 'int' ELSE 'null' END", "NULL"),
+    "nothing": ("'null'", "NULL"), "object": ("CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'int' END", "NULL"),
+    "kind": ("'string'", "event_type"), "text": ("'string'", "CASE WHEN event_id % 3 = 0 THEN 'event ' || event_id ELSE 'event ' || event_id % 64 END"),
+    "long": ("'string'", "CASE WHEN event_id % 50 <> 0 THEN 'short' END"), "mixed": ("CASE WHEN event_id % 50 = 0 THEN 'int' ELSE 'string' END", "CASE WHEN event_id % 50 <> 0 THEN 'a' END"),
+}
+_SQL_ROWS = " UNION ALL ".join(f"SELECT '{k}' || event_id % 6 AS key, {kind} AS kind, {text} AS short FROM events" for k, (kind, text) in _KINDS.items())
+_SQL_TYPES = f"""SELECT key, rows, CASE
+ WHEN strings >= 2 AND texts BETWEEN 1 AND 64 AND misfits <= 0.01 * present THEN 'enum' WHEN strings + jsons > 0 THEN 'string' WHEN bools > 0 AND ints + floats > 0 THEN 'any' WHEN bools > 0 THEN 'boolean'
+ WHEN ints > 0 AND floats > 0 THEN 'number' WHEN ints > 0 THEN 'integer' WHEN floats > 0 THEN 'floating' ELSE 'any' END AS type
+FROM (SELECT key, count(*) AS rows, count(*) FILTER (kind = 'string') AS strings, count(*) FILTER (kind = 'json') AS jsons, count(*) FILTER (kind = 'bool') AS bools, count(*) FILTER (kind = 'int') AS ints,
+ count(*) FILTER (kind = 'float') AS floats, count(DISTINCT short) AS texts, count(*) FILTER (kind <> 'null') AS present, count(*) FILTER (kind NOT IN ('null', 'string') OR kind = 'string' AND short IS NULL) AS misfits
+ FROM ({_SQL_ROWS}) GROUP BY key)
+UNION ALL SELECT 'severity', count(*), CASE WHEN 4 * count(DISTINCT event_type) FILTER (event_type NOT IN ('view', 'click', 'error', 'debug', 'info')) <= 4 * count(DISTINCT event_type) THEN 'level' ELSE 'enum' END FROM events
+UNION ALL SELECT '@timestamp', count(*), 'time' FROM events"""
 
 
 def _many_kinds(df: DataFrame) -> DataFrame:
@@ -55,21 +58,21 @@ def _many_kinds(df: DataFrame) -> DataFrame:
     whole = F.col("event_id").cast("string")
     level = F.replace(F.replace(F.col("event_type"), F.lit("view"), F.lit("debug")), F.lit("click"), F.lit("info"))
     level = F.when(level.isin("debug", "info", "error"), level).otherwise("warning")
+    every = lambda n: F.col("event_id") % n == 0
     values = {
         "flag": even.cast("string"), "n": F.col("user_id").cast("string"), "ratio": F.col("value").cast("string"),
-        "number": F.when(even, whole).otherwise("0.5"), "both": F.when(even, "true").otherwise("7"), "nothing": F.lit("null"), "object": F.lit('{"x": [1]}'),
-        "severity": quoted(level), "kind": quoted(F.col("event_type")), "text": quoted(F.concat(F.lit("event "), whole)),
+        "number": F.when(every(4), whole).otherwise("0.5"), "both": F.when(even, "true").otherwise("7"), "some": F.when(every(4), "true").when(every(3), "8").otherwise("null"),
+        "nothing": F.lit("null"), "object": F.when(every(3), F.lit('{"x": [1]}')).otherwise("3"),
+        "kind": quoted(F.col("event_type")), "text": quoted(F.concat(F.lit("event "), F.when(every(3), whole).otherwise((F.col("event_id") % 64).cast("string")))),
         "long": quoted(F.when(rare, F.lit("x" * 65)).otherwise("short")), "mixed": F.when(rare, F.lit("1")).otherwise('"a"'),
-        "@timestamp": quoted(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
     }
-    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in values.items()]
+    group = (F.col("event_id") % 6).cast("string")
+    parts = [F.concat(F.lit(f'"{k}'), group, F.lit('":'), F.coalesce(v, F.lit("null"))) for k, v in values.items()]
+    parts += [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in (("severity", quoted(level)), ("@timestamp", quoted(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))))]
     return df.select(F.lit("e").alias("source"), F.col("event_id").alias("line_id"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("raw"))
 
 
-_SQL_TYPES = " UNION ALL ".join(f"SELECT '{k}' AS key, {sql} AS type FROM events" for k, (_, sql) in _TYPES.items())
-
-
-@query(_SQL_TYPES)
+@query(f"SELECT key, type FROM ({_SQL_TYPES})")
 def inferred_kinds(spark, d):
     return schema.promote(schema.profile(formats.parse_jsonl(_many_kinds(events(spark, d))))).select("key", "type")
 
@@ -81,7 +84,7 @@ def ordered_schema(spark, d):
     return spark.createDataFrame([(f.name, i, f.type) for i, f in enumerate(found.fields)], "key string, place int, type string")
 
 
-@query(f"""SELECT (SELECT type FROM ({_SQL_TYPES}) WHERE key = 'kind') AS kind, (SELECT type FROM ({_SQL_TYPES}) WHERE key = 'text') AS text, count(*) AS rows FROM events""")
+@query("""SELECT CASE WHEN count(DISTINCT event_type) <= 64 THEN 'enum' ELSE 'string' END AS kind, CASE WHEN count(DISTINCT event_id) <= 64 THEN 'enum' ELSE 'string' END AS text, count(*) AS rows FROM events""")
 def redetected(spark, d):
     ev = events(spark, d).withColumn("text", F.concat(F.lit("event "), F.col("event_id").cast("string")))
     return ev.agg(F.lit(schema.redetect(ev, "event_type")).alias("kind"), F.lit(schema.redetect(ev, "text")).alias("text"), F.count(F.lit(1)).alias("rows"))
@@ -267,7 +270,7 @@ def stream_monotonic_parts(spark, d):
     return sink.table()
 
 
-@query(f"WITH t AS ({_SQL_TYPES}) SELECT key, (SELECT count(*) FROM events) AS rows, type FROM t")
+@query(f"WITH t AS ({_SQL_TYPES}) SELECT key, rows, type FROM t")
 def stream_profile_parts(spark, d):
     """Keys of every kind, profiled batch by batch."""
     sink = stream.Merged(spark, scratch(spark, "merged"), stream.merge_profile)
@@ -296,6 +299,50 @@ def stream_retention_parts(spark, d):
     return sink.table()
 
 
+@query("SELECT event_id FROM events")
+def stream_rotated(spark, d):
+    """Log files that are renamed between batches while others take their names: each line once."""
+    import os
+
+    folder = scratch(spark, "growing").removeprefix("file:").replace("///", "/")
+    out, checkpoint = scratch(spark, "followed"), scratch(spark, "stream")
+    os.makedirs(f"{folder}/logs")
+    events(spark, d).select((F.col("event_id") % 3).alias("part"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("value")).write.partitionBy("part").text(f"{folder}/written")
+    for part in range(3):
+        for age in range(part, 0, -1):
+            for name in sorted(os.listdir(f"{folder}/logs")):
+                stem, _, number = name.partition(".log")
+                if number == (f".{age - 1}" if age > 1 else ""):
+                    os.rename(f"{folder}/logs/{name}", f"{folder}/logs/{stem}.log.{age}")
+        written = f"{folder}/written/part={part}"
+        for k, name in enumerate(sorted(n for n in os.listdir(written) if n.endswith(".txt"))):
+            os.rename(f"{written}/{name}", f"{folder}/logs/app{k}.log")
+        sink = growing.Numbered(f"{folder}/counts", stream.appending(out), 1 << 20)
+        stream.start(growing.follow(spark, f"{folder}/logs/*.log*", split=1 << 20), sink, checkpoint, availableNow=True).awaitTermination()
+    got = stream.appended(spark, out)
+    return got.select(F.regexp_extract("raw", r"^event (\d+)$", 1).cast("long").alias("event_id")).join(got.groupBy("file").agg(F.countDistinct("line_id").alias("n"), F.max("line_id").alias("last")).where("n <> last + 1").limit(1).select(F.lit(1).alias("wrong")), F.lit(True), "left").where("wrong IS NULL").select("event_id")
+
+
+@query("""SELECT parser, event_id, length(repeat(event_type || ' "', CASE WHEN event_id % 1000 = 0 THEN 10000 ELSE 1 END)) AS n FROM events, (VALUES ('json'), ('logfmt'), ('csv')) p(parser)""")
+def long_values(spark, d):
+    """Quoted values of up to some 70 000 characters, full of escapes, in each parser."""
+    ev = events(spark, d).withColumn("t", F.repeat(F.concat("event_type", F.lit(' "')), F.when(F.col("event_id") % 1000 == 0, 10_000).otherwise(1)))
+    escaped, doubled = F.replace("t", F.lit('"'), F.lit('\\"')), F.replace("t", F.lit('"'), F.lit('""'))
+    made = {
+        "json": (formats.parse_jsonl, F.concat(F.lit('\t{"k": "'), escaped, F.lit('"}'))),
+        "logfmt": (formats.parse_logfmt, F.concat(F.lit('k="'), escaped, F.lit('"'))),
+        "csv": (formats.parse_csv, F.concat(F.lit('"'), doubled, F.lit('"'))),
+    }
+    out = None
+    for name, (parse, raw) in made.items():
+        rows = ev.select(F.lit("e").alias("source"), F.col("event_id").alias("line_id"), raw.alias("raw"))
+        if name == "csv":
+            rows = rows.unionByName(ev.agg((F.min("event_id") - 1).alias("line_id")).select(F.lit("e").alias("source"), "line_id", F.lit("k").alias("raw")))
+        own = parse(rows).where("error IS NULL").select(F.lit(name).alias("parser"), F.col("line_id").alias("event_id"), F.length(F.col("fields")["k"]).cast("long").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # merging
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.text import blank
 from logloom.sources.formats import csv_cells
 from logloom.sources.templates import Template, catalogue
 
@@ -14,7 +15,7 @@ PROBED, NEEDED = 8, 2
 def detect_formats(lines: DataFrame, extra: tuple[Template, ...] = ()) -> DataFrame:
     """source, format (json, logfmt, regex, csv), template (name, for regex): JSON, then logfmt, then templates by priority,
     then CSV; JSON where nothing fits. Looks at each file's first PROBED lines that are not blank."""
-    full = lines.where(F.length(F.trim("raw")) > 0).select("source", "line_id", "raw")
+    full = lines.where(~blank(F.col("raw"))).select("source", "line_id", "raw")
     near = F.col("line_id") < 4 * PROBED
     # files with too few of them near their start are looked through
     sparse = full.groupBy("source").agg(F.count_if(near).alias("n"), F.max("line_id").alias("last")).where((F.col("n") < PROBED) & (F.col("last") >= 4 * PROBED)).select("source")
@@ -22,8 +23,8 @@ def detect_formats(lines: DataFrame, extra: tuple[Template, ...] = ()) -> DataFr
     head = full.where(near).unionByName(full.where(~near).join(sparse, "source", "left_semi").withColumn("_k", place).where(F.col("_k") <= PROBED).drop("_k"))
     probes = head.groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct("line_id", "raw"))), 1, PROBED).alias("p")).withColumn("raws", F.transform("p", lambda p: p["raw"]))
     first, second = F.get("raws", F.lit(0)), F.get("raws", F.lit(1))
-    json = F.trim(first).startswith("{") & F.try_parse_json(first).isNotNull()
-    logfmt = ~F.trim(first).rlike(r"^[{\[]") & first.rlike(r'^\s*[^\s="]+=')
+    json = first.rlike(r"^\s*+\{") & F.try_parse_json(first).isNotNull()
+    logfmt = first.rlike(r'^\s*+(?![{\[])[^\s="]++=')
     template = F.lit(None).cast("string")
     for t in reversed([t for t in catalogue(extra) if t.auto_detect]):
         full = "^(?:" + t.java.removeprefix("^").removesuffix("$") + ")$"

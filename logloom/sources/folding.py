@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.text import blank
 from logloom.sources.lines import number_within
 from logloom.sources.templates import Template
 
@@ -33,8 +34,8 @@ def number_records(lines: DataFrame, is_header: Column, by: str = "source", orde
 def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataFrame:
     """One row a record: source, line_id (of its header), raw (its lines). Blank lines belong to a record only if another
     of its lines follows. Lines before the first header are left to orphans()."""
-    rows = number_records(lines, is_header & (F.length(F.trim("raw")) > 0), block=block).where("record_id > 0")
-    last = F.max(F.when(F.length(F.trim("raw")) > 0, F.col("line_id")))
+    rows = number_records(lines, is_header & (~blank(F.col("raw"))), block=block).where("record_id > 0")
+    last = F.max(F.when(~blank(F.col("raw")), F.col("line_id")))
     parts = F.array_sort(F.collect_list(F.struct("line_id", "raw")))
     out = rows.groupBy("source", "record_id").agg(F.min("line_id").alias("line_id"), last.alias("_last"), parts.alias("_parts"))
     kept = F.filter("_parts", lambda p: p["line_id"] <= F.col("_last"))
@@ -43,7 +44,7 @@ def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataF
 
 def orphans(lines: DataFrame, is_header: Column) -> DataFrame:
     """One error for each run of continuation lines before the first header: source, first, last, error."""
-    rows = number_records(lines, is_header).where((F.col("record_id") == 0) & (F.length(F.trim("raw")) > 0))
+    rows = number_records(lines, is_header).where((F.col("record_id") == 0) & (~blank(F.col("raw"))))
     rows = number_within(rows.withColumn("_part", F.floor(F.col("line_id") / BLOCK)), ["source"], ["_part"], ["line_id"], "_place")
     runs = rows.withColumn("_run", F.col("line_id") - F.col("_place")).groupBy("source", "_run").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"))
     count = F.col("last") - F.col("first") + 1

@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.text import once, scalar_kind
+from logloom.functions.text import blank, once, scalar_kind
 from logloom.sources.lines import read_lines
 from logloom.sources.templates import Template
 
 #: Files whose CSV headers are broadcast at most; beyond, the join shuffles.
 BROADCAST_FILES = 10_000
 #: A logfmt pair: key, "=" part, quoted body, bare value. Fixed value.
-LOGFMT = r'([^\s="]+)(=(?:"((?:[^"\\]|\\.)*)"|([^\s"]*)))?'
+LOGFMT = r'([^\s="]++)(=(?:"([^"\\]*+(?:\\.[^"\\]*+)*+)"|([^\s"]*+)))?'
 #: A JSON string with its quotes. Fixed value.
 JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: A CSV cell with the comma before it: quoted body, bare text.
-CSV_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"[^,]*|([^,]*))'
+#: A CSV cell with the comma before it: quoted body (a doubled quote only where another one closes), bare text.
+CSV_CELL = r'(?:^|,)(?:"([^"]*+(?:""(?=[^"]*+")[^"]*+)*+)"[^,]*+|([^,]*+))'
 
 
 def last_wins(keys: Column, values: Column) -> Column:
@@ -54,12 +54,12 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
     """One object per line, strictly JSON and nothing after it; nested values stay the text they are; of a key that comes
     twice the last value counts. Numbers that neither a 64-bit integer nor a double holds are null. Blank lines are dropped; a
     line that is no object is an error."""
-    rows = lines.where(F.length(F.trim("raw")) > 0)
+    rows = lines.where(~blank(F.col("raw")))
     # as the only element of an array, so that text after the object is an error
     parsed = F.from_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
     member = JSON_STRING + r"\s*+:\s*+(" + JSON_STRING + r"|[^\s{\[\",}]++|" + _nested() + ")"
     rows = once(rows, _o=parsed, _t=F.regexp_extract_all("raw", F.lit(member), F.lit(1)))
-    good = F.trim("raw").startswith("{") & (F.size("_o") == 1)
+    good = F.col("raw").rlike(r"^\s*+\{") & (F.size("_o") == 1)
     rows = once(rows, _good=F.coalesce(good, F.lit(False)), _k=F.map_keys(F.col("_o")[0]), _s=F.map_values(F.col("_o")[0]))
     pairs = F.arrays_zip(F.col("_s").alias("s"), F.col("_t").alias("t"))
     kinds = F.transform("_t", _json_kind)
@@ -114,10 +114,11 @@ def _unescape(text: Column) -> Column:
 def parse_logfmt(lines: DataFrame) -> DataFrame:
     """key=value pairs; a bare key or key= is null; quoted values stay strings; of a key that comes twice the last counts. A
     quote that never closes is an error; the fields before it are kept."""
-    rows = lines.where(F.length(F.trim("raw")) > 0)
-    closed = r'^(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$'
+    rows = lines.where(~blank(F.col("raw")))
+    inside = r'[^"\\]*+(?:\\.[^"\\]*+)*+'  # possessive throughout: no line is too long for the stack
+    closed = rf'^{inside}(?:"{inside}"{inside})*+$'
     bad = ~F.col("raw").rlike(closed)
-    usable = F.when(bad, F.regexp_replace("raw", r'[^\s="]+="(?:[^"\\]|\\.)*$', "")).otherwise(F.col("raw"))
+    usable = F.when(bad, F.regexp_replace("raw", rf'(?<![^\s="])[^\s="]++="{inside}$', "")).otherwise(F.col("raw"))
     group = lambda i: F.regexp_extract_all("_usable", F.lit(LOGFMT), F.lit(i))
     rows = once(rows, _usable=usable)
     cells = F.arrays_zip(group(2).alias("eq"), group(3).alias("quoted"), group(4).alias("bare"))
@@ -153,7 +154,7 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     """The first line of each source that is not blank is the header; commas only, no cell over several lines. Empty bare
     cells are null, quoted ones strings; a header that comes twice gets _2, _3. More cells than headers, or a quote that
     never closes, are errors; the cells that fit are kept."""
-    rows = lines.where(F.length(F.trim("raw")) > 0)
+    rows = lines.where(~blank(F.col("raw")))
     # headers: one row a file
     headers = rows.groupBy("source").agg(F.min(F.struct("line_id", "raw")).alias("h")).select(F.col("source").alias("_s"), F.col("h.line_id").alias("_h"), _unique_names(F.transform(csv_cells(F.col("h.raw")), lambda c: F.trim(c["text"]))).alias("_names"))
     few = not rows.isStreaming and headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
@@ -176,7 +177,7 @@ def parse_csv(lines: DataFrame) -> DataFrame:
 def parse_regex(lines: DataFrame, template: Template) -> DataFrame:
     """Named groups become fields; a group that is empty or took no part is null. The match starts at the line's start and
     need not reach its end. Blank lines are dropped."""
-    rows = lines.where(F.length(F.trim("raw")) > 0)
+    rows = lines.where(~blank(F.col("raw")))
     first = F.substring_index("raw", "\n", 1)
     pattern = template.java.removeprefix("^")
     anchored = f"^(?:{pattern})" if "|" in pattern else "^" + pattern

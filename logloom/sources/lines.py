@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.text import blank
+
 LINE_SCHEMA = "source string, line_id bigint, raw string"
 
 
@@ -38,7 +40,7 @@ def read_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = Tr
 def clean(lines: DataFrame, keep_blank: bool = True) -> DataFrame:
     raw = F.regexp_replace("raw", "\r\\z", "")
     out = lines.withColumn("raw", F.when(F.col("line_id") == 0, F.regexp_replace(raw, "^\\uFEFF", "")).otherwise(raw))
-    return out if keep_blank else out.where(F.length(F.trim("raw")) > 0)
+    return out if keep_blank else out.where(~blank(F.col("raw")))
 
 
 def codec_of(content: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions import levels
 from logloom.functions.scratch import exists, folders, remove, scratch
+from logloom.functions.text import blank
 from logloom.operators import histogram, schema
 from logloom.sources.detect import PROBED
 
@@ -134,20 +135,11 @@ def recent_errors(n: int = ERRORS_SHOWN) -> Callable[[DataFrame | None, DataFram
     return merge
 
 
-_COUNTS = ("rows", "null", "bool", "int", "float", "string", "json", "long")
-
-
 def merge_profile(now: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Profile of parsed rows, merged: counts add up; a key's distinct strings are united, and given up (null) beyond the cap,
-    so it can no longer be an enumeration. schema.promote() types the table, and new keys appear as they come."""
+    """Profile of parsed rows, merged: the same as of all rows at once, whatever the batches. schema.promote() types the table, and
+    new keys appear as they come."""
     new = schema.profile(batch)
-    if now is None:
-        return new
-    both = now.unionByName(new)
-    many = F.array_distinct(F.flatten(F.collect_list("values")))
-    given_up = F.max(F.col("values").isNull() & (F.col("string") > 0))
-    out = both.groupBy("key").agg(*(F.sum(c).alias(c) for c in _COUNTS), many.alias("values"), given_up.alias("_up"))
-    return out.withColumn("values", F.when(~F.col("_up") & (F.size("values") <= schema.ENUM_VALUES), F.col("values"))).drop("_up")
+    return new if now is None else schema.merged_profiles(now.unionByName(new))
 
 
 def merge_order(ts: str, row_id: str, by: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
@@ -177,7 +169,7 @@ def detect_then_parse(parse: dict[str, Callable[[DataFrame], DataFrame]], detect
             known.update({r["source"]: (r["format"], r["line_id"], r["header"]) for r in spark.read.schema(columns).parquet(path).collect()})  # one row a source
         new = batch.where(~F.col("source").isin(list(known))) if known else batch
         place = F.row_number().over(Window.partitionBy("source").orderBy("line_id"))
-        first = new.where(F.length(F.trim("raw")) > 0).select("source", "raw", F.col("line_id").alias("_id"), place.cast("long").alias("line_id")).where(F.col("line_id") <= PROBED).withColumn("line_id", F.col("line_id") - 1)
+        first = new.where(~blank(F.col("raw"))).select("source", "raw", F.col("line_id").alias("_id"), place.cast("long").alias("line_id")).where(F.col("line_id") <= PROBED).withColumn("line_id", F.col("line_id") - 1)
         told = {r["source"]: r["format"] for r in detect(first.drop("_id")).collect()}  # one row a source
         rows = []
         for r in first.where("line_id = 0").collect():  # one row a source
@@ -208,16 +200,22 @@ def fold_stream(lines: DataFrame, header_pattern: str, pending_ms: int = PENDING
     an error: its row has no raw but an error. The lines of one source and batch are folded in one task."""
     import re
 
-    head, blank_end = re.compile(header_pattern), re.compile(r"(?:\n\s*)+\Z")
+    head = re.compile(header_pattern)
+
+    def without_blank_end(text: str) -> str:
+        first, *rest = text.split("\n")
+        while rest and not rest[-1].strip():
+            rest.pop()
+        return "\n".join((first, *rest))
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = list(state.get) if state.exists else [None, ""]
+        pending = [state.get[0], [state.get[1]]] if state.exists else [None, []]
         out: list[tuple] = []
         lost: list[int] = []
 
         def close() -> None:
             if pending[0] is not None:
-                out.append((key[0], pending[0], blank_end.sub("", pending[1]), None))
+                out.append((key[0], pending[0], without_blank_end("\n".join(pending[1])), None))
 
         def report() -> None:
             if lost:
@@ -234,16 +232,16 @@ def fold_stream(lines: DataFrame, header_pattern: str, pending_ms: int = PENDING
                 if head.match(raw):
                     report()
                     close()
-                    pending = [line_id, raw]
+                    pending = [line_id, [raw]]
                 elif pending[0] is not None:
-                    pending[1] += "\n" + raw
+                    pending[1].append(raw)
                 elif raw.strip():
                     if lost and line_id != lost[-1] + 1:
                         report()
                     lost.append(line_id)
             report()
             if pending[0] is not None:
-                state.update((int(pending[0]), pending[1]))
+                state.update((int(pending[0]), "\n".join(pending[1])))
                 state.setTimeoutDuration(pending_ms)
         yield pd.DataFrame(out, columns=["source", "line_id", "raw", "error"])
 

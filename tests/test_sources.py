@@ -201,3 +201,27 @@ def test_merge(spark):
     b = spark.createDataFrame([("s", 1, 2), ("t", 0, 3)], "source string, line_id bigint, b int")
     got = lines.merge_sources(a, b).orderBy("source", "line_id").collect()
     assert [(r["source"], r["line_id"], r["a"], r["b"]) for r in got] == [("s", 0, "x", None), ("s", 1, "y", None), ("t", 0, None, 3)]
+
+
+def test_values_of_a_megabyte(spark):
+    """No line is too long for a parser, a detector or a built-in template."""
+    big = "x" * 1_000_000
+    lines_ = lambda *raws: spark.createDataFrame([("f", i, r) for i, r in enumerate(raws)], "source string, line_id long, raw string")
+    quoted = '\\"' * 300_000
+    got = formats.parse_logfmt(lines_(f'a="{big}" b={big}', f'a="{quoted}" b=1', f'a=1 b="{big}', f"{big}=1 c")).orderBy("line_id").collect()
+    assert [(len(r["fields"]["a"] or "") if "a" in r["fields"] else None, r["error"] is None) for r in got] == [(1_000_000, True), (300_000, True), (1, False), (None, True)]
+    doubled = '""' * 300_000
+    got = formats.parse_csv(lines_("a,b", f'"{big}",1', f'"{doubled}",2', f"{big},3", f'"{big},4')).orderBy("line_id").collect()
+    assert [(len(r["fields"]["a"]), r["error"] is None) for r in got] == [(1_000_000, True), (300_000, True), (1_000_000, True), (0, False)]
+    got = formats.parse_jsonl(lines_(f'{{"a": "{big}"}}', f'\t{{"a": "{quoted}"}}', "\t", " \t ")).orderBy("line_id").collect()
+    assert [(len(r["fields"]["a"]), r["error"]) for r in got] == [(1_000_000, None), (300_000, None)]
+    heads = [f'"{big}",{big}', f'a="{big}"', big, f'{{"a": "{big}"}}', "[" + big, "<" + big]
+    df = spark.createDataFrame([(f"f{k}", i, h) for k, h in enumerate(heads) for i in range(2)], "source string, line_id long, raw string")
+    assert {r["source"]: r["format"] for r in detect.detect_formats(df).collect()} == {"f0": "csv", "f1": "logfmt", "f2": "json", "f3": "json", "f4": "json", "f5": "json"}
+    for t in templates.catalogue(()):
+        assert formats.parse_regex(lines_(big, "[" + "a " * 500_000, f'1.2.3.4 - - [{big}] "GET / HTTP/1.1" 200 1'), t).count() == 3
+
+
+def test_cells_whose_quotes_do_not_close(spark):
+    df = spark.createDataFrame([("f", i, r) for i, r in enumerate(["a,b", '"x"",1', '"x""y""z,1', '"p""q",1'])], "source string, line_id long, raw string")
+    assert [r["fields"]["a"] for r in formats.parse_csv(df).orderBy("line_id").collect()] == ["x", 'x"y', 'p"q']

@@ -108,7 +108,7 @@ def test_growing_files(spark, tmp_path):
 
     def go():
         lines_ = growing.follow(spark, str(tmp_path / "*.log"), split=5)
-        stream.start(lines_, lambda df, n: got.append(sorted(tuple(r)[1:] for r in df.collect())), str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+        stream.start(lines_, lambda df, n: got.append(sorted((r["line_id"], r["raw"]) for r in df.collect())), str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
 
     path.write_text("\ufeffone\ntwo and more\nthr")
     go()
@@ -154,3 +154,123 @@ def test_pending_record(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert got == ["h1\n c1", "h2\n c2"]
+
+
+class Tail:
+    """A followed folder: go() runs a batch (in a stream of its own each time: a restart), got are its rows."""
+
+    def __init__(self, spark, folder, pattern, **options):
+        self.spark, self.folder, self.pattern, self.options = spark, folder, pattern, options
+        self.got = []
+
+    def go(self):
+        before = len(self.got)
+        sink = growing.Numbered(str(self.folder / "counts"), lambda df, n: self.got.extend((r["raw"], r["line_id"]) for r in df.orderBy("file", "line_id").collect()), block=6)
+        lines_ = growing.follow(self.spark, f"{self.folder}/in/{self.pattern}", split=7, **self.options)
+        stream.start(lines_, sink, str(self.folder / "checkpoint"), availableNow=True).awaitTermination()
+        return sorted(self.got[before:])
+
+
+@pytest.mark.parametrize("pattern", ["app.log", "app.log*"])
+@pytest.mark.parametrize("how", ["rename", "copy", "cut"])
+def test_rotation(spark, tmp_path, pattern, how):
+    """Each line once, with its number in its file, over rotations and restarts."""
+    (tmp_path / "in").mkdir()
+    log, old, tail_ = tmp_path / "in" / "app.log", tmp_path / "in" / "app.log.1", Tail(spark, tmp_path, pattern)
+    log.write_text("a1 first\na2\n")
+    assert tail_.go() == [("a1 first", 0), ("a2", 1)]
+    if how == "cut":  # in place, after all was read; grown beyond the old offset
+        log.write_text("b1 and more of it\nb2\n")
+        assert tail_.go() == [("b1 and more of it", 0), ("b2", 1)]
+    else:
+        with log.open("a") as f:
+            f.write("a3 late\n")  # just before it goes
+        if how == "rename":
+            log.rename(old)
+        else:
+            old.write_bytes(log.read_bytes())
+            log.write_text("")
+        with log.open("a") as f:
+            f.write("b1 and more of it, beyond the old one\nb2\n")
+        assert tail_.go() == [("a3 late", 2), ("b1 and more of it, beyond the old one", 0), ("b2", 1)]
+    if how == "rename":
+        with old.open("a") as f:
+            f.write("a4 later still\n")
+        assert tail_.go() == [("a4 later still", 3)]
+    with log.open("a") as f:
+        f.write("b3\nopen")
+    assert tail_.go() == [("b3", 2)]
+    log.unlink()
+    log.write_text("c1\n")
+    assert tail_.go() == [("c1", 0)] and tail_.go() == []
+
+
+def test_history_up_to_an_offset(spark, tmp_path):
+    """A file in both halves comes once; a limit makes several batches."""
+    (tmp_path / "in").mkdir()
+    log = tmp_path / "in" / "app.log"
+    log.write_text("".join(f"line {i}\n" for i in range(10)) + "un")
+    until = growing.offsets(f"{tmp_path}/in/*.log")
+    with log.open("a") as f:
+        f.write("finished\n" + "".join(f"line {i}\n" for i in range(10, 40)))
+    assert sorted(r["raw"] for r in growing.history(spark, until, 16).collect()) == sorted(f"line {i}" for i in range(10))
+    sizes, rows = [], []
+
+    def sink(df, n):
+        found = [r["raw"] for r in df.collect()]
+        sizes.append(len(found))
+        rows.extend(found)
+
+    query = stream.start(growing.follow(spark, f"{tmp_path}/in/*.log", limit=64, start=until), sink, str(tmp_path / "checkpoint"))
+    end = time.time() + 60
+    while len(rows) < 31 and time.time() < end:
+        time.sleep(0.1)
+    with log.open("a") as f:
+        f.write("".join(f"line {i}\n" for i in range(40, 70)))
+    while len(rows) < 61 and time.time() < end:
+        time.sleep(0.1)
+    query.stop()
+    assert sorted(rows) == sorted(["unfinished", *(f"line {i}" for i in range(10, 70))]) and len(sizes) > 3 and max(sizes[1:]) < 10
+
+
+def test_long_lines_and_files_that_go(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    log = tmp_path / "in" / "app.log"
+    log.write_text("x" * 5_000_000 + "\n" + "y\n" * 5)
+    got = growing.history(spark, growing.offsets(str(log)), 1 << 20).select(F.length("raw").alias("n")).collect()
+    assert sorted(r["n"] for r in got) == [1] * 5 + [5_000_000]
+    until = growing.offsets(str(log))
+    log.unlink()
+    assert growing.history(spark, until).count() == 0
+
+
+def test_profile_whatever_the_batches(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [{"few": f"v{i % 3}", "many": f"v{i}", "edge": f"e{i % 65}", "fit": f"e{i % 64}", "level": rng.choice(["info", "warn"]), "n": i} for i in range(400)]
+    for r in rows[::60]:
+        r["few"] = "long" * 20
+    rows += [{"lone": "long" * 20}, {"lone": "s"}, {"lone": "s"}, {"none": None}]
+    import json
+
+    lines_ = [("f", i, json.dumps(r)) for i, r in enumerate(rows)]
+    frame = lambda some: formats.parse_jsonl(spark.createDataFrame(some, "source string, line_id long, raw string"))
+    plain = lambda p: {r["key"]: (tuple(r[c] for c in ("rows", "null", "string", "int", "long")), r["values"], r["overflow"], r["type"]) for r in schema.promote(p).collect()}
+    whole = plain(schema.profile(frame(lines_)))
+    assert whole["edge"][1:3] == (None, True) and len(whole["fit"][1]) == 64 and whole["lone"][0] == (3, 0, 3, 0, 1) and whole["lone"][1] == ["s"]
+    for cuts in ([200], [1, 2, 399, 401], [100, 150, 400]):
+        now = None
+        for a, b in zip([0, *cuts], [*cuts, len(lines_)]):
+            now = stream.merge_profile(now, frame(lines_[a:b]))
+        assert plain(now) == whole
+
+
+def test_blank_lines_of_a_folded_stream_take_no_time(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    texts = ["h1", *[""] * 400, " c1", *[" "] * 400, "h2"]
+    (tmp_path / "in" / "a.log").write_text("".join(f"{i}:{t}\n" for i, t in enumerate(texts)))
+    split = stream.tail_files(spark, str(tmp_path / "in")).select("source", F.split("raw", ":")[0].cast("long").alias("line_id"), F.split("raw", ":")[1].alias("raw"))
+    path = str(tmp_path / "out")
+    stream.drain(stream.fold_stream(split, r"\S", 3_600_000), stream.appending(path), timers=True)
+    assert [r["raw"] for r in stream.appended(spark, path).collect()] == ["h1" + "\n" * 401 + " c1"]
