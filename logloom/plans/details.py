@@ -13,7 +13,7 @@ from logloom.functions.scratch import scratch
 from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema
 from logloom.plans.catalogue import SLOT, anchored, events, load, query
 from logloom.sources import detect, folding, formats, growing, lines, templates
-from logloom.streaming import stream
+from logloom.streaming import folded, runs, stream
 
 _BAD = """CASE WHEN event_id % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 8) THEN 'Error on line ' || (event_id + 1) || ': not a JSON object' END"""
 
@@ -323,6 +323,48 @@ def stream_rotated(spark, d):
     return got.select(F.regexp_extract("raw", r"^event (\d+)$", 1).cast("long").alias("event_id")).join(got.groupBy("file").agg(F.countDistinct("line_id").alias("n"), F.max("line_id").alias("last")).where("n <> last + 1").limit(1).select(F.lit(1).alias("wrong")), F.lit(True), "left").where("wrong IS NULL").select("event_id")
 
 
+@query("""WITH l AS (SELECT event_id % 10 = 0 AS few, CASE WHEN event_id % 10 = 0 THEN event_id // 10 ELSE event_id - event_id // 10 - 1 END AS line_id, event_type = 'view' AS more,
+CASE WHEN event_type = 'view' THEN '  at ' || props ELSE event_type || ' ' || props END AS raw FROM events),
+r AS (SELECT *, CASE WHEN few THEN 'b' ELSE 'a' END AS source, sum((NOT more)::INT) OVER (PARTITION BY few ORDER BY line_id) AS rid FROM l)
+SELECT source, min(line_id)::BIGINT AS line_id, string_agg(raw, chr(10) ORDER BY line_id) AS raw, NULL::VARCHAR AS error FROM r WHERE rid > 0 GROUP BY source, rid
+UNION ALL SELECT source, min(line_id)::BIGINT, NULL, 'Error on ' || CASE WHEN count(*) = 1 THEN 'line ' || (min(line_id) + 1) ELSE 'lines ' || (min(line_id) + 1) || '-' || (max(line_id) + 1) END || ': ' || count(*) || ' orphaned continuation line(s)'
+FROM r WHERE rid = 0 GROUP BY source""")
+def stream_fold_hot(spark, d):
+    """Nine of ten lines are of one source: records over three batches, folded by blocks, and what is open at the end."""
+    few, out = F.col("event_id") % 10 == 0, scratch(spark, "records")
+    tenth = F.floor(F.col("event_id") / 10)
+    raw = F.when(F.col("event_type") == "view", F.concat(F.lit("  at "), F.col("props"))).otherwise(F.concat_ws(" ", "event_type", "props"))
+    rows = _in_parts(spark, d).select(F.when(few, "b").otherwise("a").alias("source"), F.when(few, tenth).otherwise(F.col("event_id") - tenth - 1).alias("line_id"), raw.alias("raw"))
+    sink = folded.Folded(spark, scratch(spark, "open"), folding.indented_header, stream.appending(out), 3_600_000, block=4_096)
+    stream.drain(rows, sink)
+    return stream.appended(spark, out).unionByName(sink.pending())
+
+
+@query("""SELECT event_id, value, place FROM (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN round(value) END AS value, (row_number() OVER (ORDER BY CASE WHEN event_id % 9 > 0 THEN round(value) END DESC NULLS FIRST, event_id) - 1)::BIGINT AS place, count(*) OVER () AS n FROM events)
+WHERE place < 100 OR place BETWEEN n // 2 AND n // 2 + 299 OR place >= n - 100""")
+def stream_sorted(spark, d):
+    """Three pages of the sorted view of a stream: the first, one in the middle, the last. Values have many ties and a null head."""
+    rows = _in_parts(spark, d).select("event_id", F.when(F.col("event_id") % 9 > 0, F.round("value")).alias("value"))
+    view = runs.SortedRuns(spark, scratch(spark, "view"), "value", True, "event_id", block=1_024)
+    stream.drain(rows, view)
+    n = view.table().agg(F.sum("rows")).first()[0]
+    out = None
+    for a, b in ((0, 100), (n // 2, n // 2 + 300), (n - 100, n)):
+        inside = Window.orderBy(F.col("value").desc_nulls_first(), "event_id")  # the rows of a page
+        page = view.page(a, b).withColumn("place", (F.row_number().over(inside) - 1 + a).cast("long"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+@query(f"""WITH kept AS (SELECT * FROM {catalogue._EV} ORDER BY event_id DESC LIMIT 1000)
+SELECT date_trunc('hour', ts) AS bucket_start, {catalogue._SQL_COUNTS} FROM kept WHERE ts IS NOT NULL GROUP BY 1""")
+def stream_histogram_evicted(spark, d):
+    """The histogram of the newest rows only: rows that are pushed out come as negative counts."""
+    sink = runs.RetainedHistogram(spark, scratch(spark, "kept"), "ts", "event_type", 3600, 1000, "event_id", catalogue.MAPPING, block=512)
+    stream.drain(_in_parts(spark, d, 4).select("event_id", "ts", "event_type"), sink)
+    return sink.histogram()
+
+
 @query("""SELECT parser, event_id, length(repeat(event_type || ' "', CASE WHEN event_id % 1000 = 0 THEN 10000 ELSE 1 END)) AS n FROM events, (VALUES ('json'), ('logfmt'), ('csv')) p(parser)""")
 def long_values(spark, d):
     """Quoted values of up to some 70 000 characters, full of escapes, in each parser."""

@@ -34,7 +34,11 @@ def number_records(lines: DataFrame, is_header: Column, by: str = "source", orde
 def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataFrame:
     """One row a record: source, line_id (of its header), raw (its lines). Blank lines belong to a record only if another
     of its lines follows. Lines before the first header are left to orphans()."""
-    rows = number_records(lines, is_header & (~blank(F.col("raw"))), block=block).where("record_id > 0")
+    return join_records(number_records(lines, is_header & (~blank(F.col("raw"))), block=block).where("record_id > 0"))
+
+
+def join_records(rows: DataFrame) -> DataFrame:
+    """The lines of each record_id of a source as one row, without the blank lines at its end."""
     last = F.max(F.when(~blank(F.col("raw")), F.col("line_id")))
     parts = F.array_sort(F.collect_list(F.struct("line_id", "raw")))
     out = rows.groupBy("source", "record_id").agg(F.min("line_id").alias("line_id"), last.alias("_last"), parts.alias("_parts"))
@@ -44,9 +48,17 @@ def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataF
 
 def orphans(lines: DataFrame, is_header: Column) -> DataFrame:
     """One error for each run of continuation lines before the first header: source, first, last, error."""
-    rows = number_records(lines, is_header).where((F.col("record_id") == 0) & (~blank(F.col("raw"))))
-    rows = number_within(rows.withColumn("_part", F.floor(F.col("line_id") / BLOCK)), ["source"], ["_part"], ["line_id"], "_place")
-    runs = rows.withColumn("_run", F.col("line_id") - F.col("_place")).groupBy("source", "_run").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"))
+    return orphan_errors(orphan_runs(number_records(lines, is_header & ~blank(F.col("raw")))))
+
+
+def orphan_runs(numbered: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, first, last of each run of lines that are not blank and stand before the first header (record_id 0)."""
+    rows = numbered.where((F.col("record_id") == 0) & (~blank(F.col("raw"))))
+    rows = number_within(rows.withColumn("_part", F.floor(F.col("line_id") / block)), ["source"], ["_part"], ["line_id"], "_place")
+    return rows.withColumn("_run", F.col("line_id") - F.col("_place")).groupBy("source", "_run").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).drop("_run")
+
+
+def orphan_errors(runs: DataFrame) -> DataFrame:
     count = F.col("last") - F.col("first") + 1
     where = F.when(count == 1, F.concat(F.lit("line "), (F.col("first") + 1).cast("string"))).otherwise(F.concat(F.lit("lines "), (F.col("first") + 1).cast("string"), F.lit("-"), (F.col("last") + 1).cast("string")))
     return runs.select("source", "first", "last", F.concat(F.lit("Error on "), where, F.lit(": "), count.cast("string"), F.lit(" orphaned continuation line(s)")).alias("error"))

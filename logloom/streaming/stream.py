@@ -54,13 +54,19 @@ class Merged:
         names = [n[1:] for n in folders(self.spark, self.path) if n[1:].isdigit()]
         return sorted(int(n) for n in names if exists(self.spark, f"{self.path}/v{n}/_SUCCESS"))
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
+    def before(self, number: int) -> DataFrame | None:
+        """The table as it was before a batch."""
         earlier = [v for v in self.versions() if v < number]
-        now = self.spark.read.parquet(f"{self.path}/v{earlier[-1]}") if earlier else None
-        self.merge(now, batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        for v in earlier[:-1]:
+        return self.spark.read.parquet(f"{self.path}/v{earlier[-1]}") if earlier else None
+
+    def keep(self, table: DataFrame, number: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        for v in [v for v in self.versions() if v < number][:-1]:
             remove(self.spark, f"{self.path}/v{v}")
 
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.keep(self.merge(self.before(number), batch), number)
+
     def table(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1]}")
 
