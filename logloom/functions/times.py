@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ DEFAULT_FORMATS = ("%FT%T%Ez", "%F %T%Ez", "%FT%T", "%F %T", "%d/%b/%Y:%H:%M:%S
 #: Directives that strftime_pattern() reads. Fixed values of the strftime language.
 _DIRECTIVES = {"Y": "yyyy", "m": "MM", "d": "dd", "e": "d", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "I": "hh", "p": "a", "j": "DDD", "z": "Z", "Z": "zzz", "%": "%"}
 
+#: 400 years, after which the calendar and with it a zone's last rules repeat, and a time from which on only these hold; microseconds.
+CYCLE, CYCLE_START = 146_097 * 86_400 * 1_000_000, 2_208_988_800 * 1_000_000
+
 
 def iso_timestamp(text: Column) -> Column:
     """YYYY-MM-DD, T or blank, HH:MM:SS, up to six decimals after a point or comma, Z or nothing; second 60 is the next minute.
@@ -105,18 +110,34 @@ def format_time(ts: Column, zone: str = "UTC", fmt: str = "yyyy-MM-dd HH:mm:ss.S
     return F.date_format(F.from_utc_timestamp(rounded, zone), fmt)
 
 
+@functools.cache
+def zone_gaps(zone: str) -> tuple[tuple[int, int, int], ...]:
+    """The gaps of a zone up to the end of a whole cycle of its last rules: first local time that there is not, first that there is again,
+    and the instant of the transition, in microseconds. Local times count as if they were UTC."""
+    jvm = SparkContext._active_spark_context._jvm
+    rules = jvm.java.time.ZoneId.of(zone).getRules()
+    out = []
+    step = rules.nextTransition(jvm.java.time.Instant.parse("1800-01-01T00:00:00Z"))
+    while step is not None and step.toEpochSecond() * 1_000_000 < CYCLE_START + CYCLE:
+        at, before, after = step.toEpochSecond(), step.getOffsetBefore().getTotalSeconds(), step.getOffsetAfter().getTotalSeconds()
+        if after > before:
+            out.append(tuple(t * 1_000_000 for t in (at + before, at + after, at)))
+        step = rules.nextTransition(step.getInstant())
+    return tuple(out)
+
+
 def local_to_utc(ts: Column, zone: str) -> Column:
-    """A zone's wall-clock time as an instant: the earlier one if ambiguous, the transition if it falls into a gap."""
+    """A zone's wall-clock time as an instant: the earlier one if ambiguous, the transition if it falls into a gap. Gaps are looked up in the
+    zone's rules, and only for times that don't come back the same; the last rules repeat every 400 years."""
     at = F.to_utc_timestamp(ts, zone)
-    back = F.from_utc_timestamp(at, zone)
-    hour_before = F.to_utc_timestamp(ts - F.expr("INTERVAL 3 HOURS"), zone)
-    offset_before = F.unix_micros(F.from_utc_timestamp(hour_before, zone)) - F.unix_micros(hour_before)
-    offset_after = F.unix_micros(F.from_utc_timestamp(at + F.expr("INTERVAL 3 HOURS"), zone)) - F.unix_micros(at + F.expr("INTERVAL 3 HOURS"))
-    # the transition is the instant at which the clock of the old offset shows the gap's start; gaps start on a full quarter hour
-    length = offset_after - offset_before
-    as_old = F.unix_micros(ts) - offset_before
-    start = (F.floor(as_old / length) * length).cast("long")
-    return F.when(back != ts, F.timestamp_micros(F.when(length > 0, start).otherwise(as_old))).otherwise(at)
+    gaps = zone_gaps(zone)
+    if not gaps:
+        return at
+    micros = F.unix_micros(ts.cast("timestamp"))
+    cycles = F.greatest(F.lit(0), F.floor((micros - CYCLE_START) / CYCLE)).cast("long") * CYCLE
+    table = F.expr("array(" + ", ".join(f"struct({first}L AS first, {again}L AS again, {at_}L AS at)" for first, again, at_ in gaps) + ")")
+    hit = F.filter(table, lambda g: (micros - cycles >= g["first"]) & (micros - cycles < g["again"]))
+    return F.when(F.from_utc_timestamp(at, zone) != ts, F.timestamp_micros(F.try_element_at(hit, F.lit(1))["at"] + cycles)).otherwise(at)
 
 
 def epoch_micros(ts: Column) -> Column:

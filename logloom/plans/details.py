@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text, times
 from logloom.functions.scratch import scratch
 from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema
+from logloom.plans import catalogue
 from logloom.plans.catalogue import SLOT, anchored, events, load, query
 from logloom.sources import detect, folding, formats, growing, lines, templates
 from logloom.streaming import folded, runs, stream
@@ -187,6 +188,25 @@ def times_read(spark, d):
     return ev.select("event_id", ntz(offset).alias("with_offset"), ntz(syslog).alias("syslog"), ntz(own).alias("own"), ntz(times.local_to_utc(F.col("ts").cast("timestamp"), "Europe/Berlin")).alias("berlin"), times.epoch_micros(F.col("ts")).alias("micros"), shown.alias("shown"))
 
 
+_ZONE_CASES = """SELECT event_id, event_id % 4 AS c, CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-03-31 00:00:00' WHEN 1 THEN TIMESTAMP '2024-10-27 00:00:00' WHEN 2 THEN TIMESTAMP '2024-10-06 00:00:00' ELSE TIMESTAMP '2011-12-29 12:00:00' END + to_minutes((event_id // 4 * CASE WHEN event_id % 4 = 3 THEN 11 ELSE 1 END % CASE WHEN event_id % 4 = 3 THEN 2880 ELSE 360 END)::INT) AS w FROM events"""
+
+
+@query(f"""SELECT event_id, CASE c WHEN 0 THEN CASE WHEN w < TIMESTAMP '2024-03-31 02:00:00' THEN w - INTERVAL 1 HOUR WHEN w < TIMESTAMP '2024-03-31 03:00:00' THEN TIMESTAMP '2024-03-31 01:00:00' ELSE w - INTERVAL 2 HOUR END
+WHEN 1 THEN CASE WHEN w < TIMESTAMP '2024-10-27 03:00:00' THEN w - INTERVAL 2 HOUR ELSE w - INTERVAL 1 HOUR END
+WHEN 2 THEN CASE WHEN w < TIMESTAMP '2024-10-06 02:00:00' THEN w - INTERVAL 630 MINUTE WHEN w < TIMESTAMP '2024-10-06 02:30:00' THEN TIMESTAMP '2024-10-05 15:30:00' ELSE w - INTERVAL 11 HOUR END
+ELSE CASE WHEN w < TIMESTAMP '2011-12-30 00:00:00' THEN w + INTERVAL 10 HOUR WHEN w < TIMESTAMP '2011-12-31 00:00:00' THEN TIMESTAMP '2011-12-30 10:00:00' ELSE w - INTERVAL 14 HOUR END END AS at FROM ({_ZONE_CASES})""")
+def zone_gaps(spark, d):
+    """Wall-clock times around the gap and the ambiguous hour of Berlin, the half-hour gap of Lord Howe and the day that Apia left out."""
+    c = F.col("event_id") % 4
+    step = F.floor(F.col("event_id") / 4)
+    minutes = F.when(c == 3, step * 11 % 2880).otherwise(step % 360)
+    starts = F.element_at(F.array(*(F.lit(t).cast("timestamp") for t in ("2024-03-31 00:00:00", "2024-10-27 00:00:00", "2024-10-06 00:00:00", "2011-12-29 12:00:00"))), (c + 1).cast("int"))
+    ev = events(spark, d).select("event_id", c.alias("c"), (starts + F.make_dt_interval(mins=minutes.cast("int"))).alias("w"))
+    zones = ("Europe/Berlin", "Europe/Berlin", "Australia/Lord_Howe", "Pacific/Apia")
+    at = F.coalesce(*(F.when(F.col("c") == i, times.local_to_utc(F.col("w"), z)) for i, z in enumerate(zones)))
+    return ev.select("event_id", at.cast("timestamp_ntz").alias("at"))
+
+
 @query("SELECT event_id FROM events WHERE contains(strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0'), ' 08:3') OR strftime(ts, '%H:%M') = '23:59'")
 def f_shown_time(spark, d):
     """Text rules see a time as it is shown."""
@@ -206,6 +226,35 @@ def own_template(spark, d):
     return detect.detect_formats(raw, (own,)).where("template = 'events'")
 
 
+# templates of similar lines
+
+_LETTERS = "translate(CAST(user_id % 97 AS STRING), '0123456789', 'abcdefghij')"
+_MESSAGE = f"concat(event_type, ' by ', {_LETTERS}, ' of ', CASE WHEN event_id % 500 = 0 THEN translate(CAST(event_id AS STRING), '0123456789', 'klmnopqrst') ELSE concat('team ', CASE WHEN event_id % 2 = 0 THEN 'red' ELSE 'blue' END) END)"
+_SQL_MINED = """WITH m AS (SELECT *, string_split(msg, ' ') AS ws FROM (SELECT event_id, {message} AS msg FROM events)),
+p AS (SELECT event_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM m),
+f AS (SELECT n, i, w FROM p GROUP BY ALL HAVING count(*) >= greatest(2, ceil(0.001 * (SELECT count(*) FROM m)))),
+k AS (SELECT event_id, list(CASE WHEN f.w IS NULL THEN '<*>' ELSE p.w END ORDER BY i) AS t FROM p LEFT JOIN f USING (n, i, w) GROUP BY event_id),
+l AS (SELECT t, count(*) AS c FROM k GROUP BY t),
+g AS (SELECT t, i, t[i] AS w, list_concat(list_concat(t[1:i - 1], ['<*>']), t[i + 1:]) AS r FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM l)),
+v AS (SELECT i, r FROM g WHERE w <> '<*>' GROUP BY i, r HAVING count(*) >= 8),
+x AS (SELECT t, list(i) AS vs FROM g JOIN v USING (i, r) WHERE w <> '<*>' GROUP BY t),
+mined AS (SELECT l.t AS t0, array_to_string([CASE WHEN list_contains(coalesce(vs, []), i) THEN '<*>' ELSE l.t[i] END FOR i IN range(1, len(l.t) + 1)], ' ') AS template, c FROM l LEFT JOIN x USING (t))
+"""
+
+
+@query(_SQL_MINED.replace("{message}", _MESSAGE) + "SELECT template, sum(c)::BIGINT AS rows FROM mined GROUP BY template")
+def mined_templates(spark, d):
+    """Messages with user names, each of them frequent, and rare words: both are told as variable."""
+    return patterns.mine_messages(events(spark, d).withColumn("msg", F.expr(_MESSAGE)), "msg")
+
+
+@query(_SQL_MINED.replace("{message}", _MESSAGE) + """SELECT template, count(*) FILTER (event_id % 3 = 0) AS left_rows, count(*) FILTER (event_id % 3 > 0) AS right_rows FROM k JOIN mined ON k.t = t0 GROUP BY template
+HAVING left_rows <> right_rows""")
+def diff_mined(spark, d):
+    ev = events(spark, d).withColumn("msg", F.expr(_MESSAGE))
+    return patterns.diff_mined(ev.where("event_id % 3 = 0"), ev.where("event_id % 3 > 0"), "msg")
+
+
 # navigation with a crowded hour
 
 

@@ -42,15 +42,15 @@ class SortedRuns(Merged):
         return found.groupBy("file").agg(F.min_by("k", "i").alias("low"), F.max_by("k", "i").alias("high"), F.count(F.lit(1)).alias("rows")).withColumn("run", F.lit(f"run-{name}"))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        self.keep_runs(self.insert(self.before(number), batch, number), number)
+        fences = self.insert(self.before(number), batch, number)
+        self.keep_runs(fences, number)
+        fences.unpersist()
 
     def insert(self, now: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
         rows = batch.withColumn("_key", sorting.sort_key(batch, self.column, self.kind, self.mapping)).withColumn("_row", F.col(self.row_id))
         self.columns = rows.schema
         fences = self._write(rows, str(number))
-        if now is None:
-            return fences
-        both = now.select(*fences.columns).unionByName(fences)
+        both = (fences if now is None else now.select(*fences.columns).unionByName(fences)).persist()
         sizes = sorted((r["n"], r["run"]) for r in both.groupBy("run").agg(F.sum("rows").alias("n")).collect())  # one row a run
         if len(sizes) <= self.runs:
             return both
@@ -61,8 +61,8 @@ class SortedRuns(Merged):
             few.append(run)
             total += n
         small = F.col("run").isin(few)
-        merged = self._write(self._read(both.where(small)), f"{number}-merged")
-        return both.where(~small).unionByName(merged)
+        merged = self._write(self._read(self._files(both.where(small))), f"{number}-merged")
+        return both.where(~small).unionByName(merged).persist()
 
     def keep_runs(self, fences: DataFrame, number: int) -> None:
         self.keep(fences, number)
@@ -71,32 +71,28 @@ class SortedRuns(Merged):
             if name.startswith("run-") and name not in named:
                 remove(self.spark, f"{self.path}/{name}")
 
-    def _read(self, fences: DataFrame) -> DataFrame:
-        files = [r["file"] for r in fences.select("file").collect()]  # one row a file of BLOCK rows
-        if not files:
-            return self.spark.createDataFrame([], self.columns)
-        return self.spark.read.parquet(*files)
+    def _files(self, fences: DataFrame) -> list[str]:
+        return [r["file"] for r in fences.select("file").collect()]  # one row a file of BLOCK rows
 
-    def overlapping(self, fences: DataFrame, first: int, last: int) -> tuple[DataFrame, int]:
-        """The fences of files that can hold a place from first up to last (not included), and how many rows lie in files before them.
+    def _read(self, files: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*files) if files else self.spark.createDataFrame([], self.columns)
+
+    def overlapping(self, fences: DataFrame, first: int, last: int) -> tuple[list[str], int]:
+        """The files that can hold a place from first up to last (not included), and how many rows lie in files before them.
 
         A file's rows stand behind all files that end before it begins, and before none that begins after its end."""
         ends = fences.select(F.col("low.*"), "file", F.lit(0).alias("_end"), F.col("rows").alias("_n")).unionByName(fences.select(F.col("high.*"), "file", F.lit(1).alias("_end"), F.col("rows").alias("_n")))
         upto = Window.orderBy(*self._order(), "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # two rows a file
         sums = ends.withColumn("_ended", F.sum(F.col("_n") * F.col("_end")).over(upto)).withColumn("_begun", F.sum(F.col("_n") * (1 - F.col("_end"))).over(upto))
-        places = sums.groupBy("file").agg(F.min(F.when(F.col("_end") == 0, F.col("_ended"))).alias("_from"), F.max(F.when(F.col("_end") == 1, F.col("_begun"))).alias("_to"))
-        told = fences.join(places, "file")
-        before = told.where(F.col("_to") <= first).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        return told.where((F.col("_to") > first) & (F.col("_from") < last)).drop("_from", "_to"), before
+        places = sums.groupBy("file").agg(F.min(F.when(F.col("_end") == 0, F.col("_ended"))).alias("least"), F.max(F.when(F.col("_end") == 1, F.col("_begun"))).alias("most"), F.min("_n").alias("rows"))
+        told = places.where(F.col("least") < last).collect()  # one row a file
+        return [r["file"] for r in told if r["most"] > first], sum(r["rows"] for r in told if r["most"] <= first)
 
     def page(self, first: int, last: int, fences: DataFrame | None = None) -> DataFrame:
-        """The rows at the places from first up to last (not included) of the sorted view, in order."""
-        if fences is None:
-            fences = self.table()
-        some, before = self.overlapping(fences, first, last)
-        if last <= first or some.isEmpty():
-            return self._read(fences).limit(0).drop("_key", "_row")
-        return self._read(some).orderBy(*self._order()).offset(first - before).limit(last - first).drop("_key", "_row")
+        """The rows at the places from first up to last (not included) of the sorted view, in order. A view without rows has the columns of
+        the last batch."""
+        files, before = self.overlapping(self.table() if fences is None else fences, first, last)
+        return self._read(files).orderBy(*self._order()).offset(first - before if files else 0).limit(max(last - first, 0)).drop("_key", "_row")
 
 
 class RetainedHistogram(SortedRuns):
@@ -117,27 +113,26 @@ class RetainedHistogram(SortedRuns):
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         now = self.before(number)
-        old = now.agg(F.max("floor")).first()[0] if now is not None else None
+        old, dead = now.agg(F.max("floor"), F.coalesce(F.max("dead"), F.lit(0))).first() if now is not None else (None, 0)
         new = batch if old is None else batch.where(F.col(self.row_id) > old)
         fences = self.insert(now, new, number)
         rows = fences.agg(F.sum("rows")).first()[0] or 0
-        dead = 0 if old is None else now.agg(F.max("dead")).first()[0]
         parts = [self._counts(new, 1)]
-        floor, gone = old, max(rows - dead - self.n, 0)
+        floor, gone, left = old, max(rows - dead - self.n, 0), fences
         if gone:
             floor = self.page(dead + gone - 1, dead + gone, fences).first()[self.row_id]  # the last row that goes
-            some, _ = self.overlapping(fences, dead, dead + gone)
-            evicted = self._read(some).where(F.col(self.row_id) <= floor)
+            evicted = self._read(self.overlapping(fences, dead, dead + gone)[0]).where(F.col(self.row_id) <= floor)
             parts.append(self._counts(evicted if old is None else evicted.where(F.col(self.row_id) > old), -1))
             whole = fences.where(F.col("high._row") <= floor).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-            fences, dead = fences.where(F.col("high._row") > floor), dead + gone - whole
+            left, dead = fences.where(F.col("high._row") > floor), dead + gone - whole
         buckets = self.buckets.before(number)
         total = parts[0] if buckets is None else buckets.unionByName(parts[0])
         for p in parts[1:]:
             total = total.unionByName(p)
         merged = total.groupBy("bucket_start").agg(*(F.sum(c).alias(c) for c in (*histogram.SLOTS, "total"))).where("total > 0")
         self.buckets.keep(merged, number)
-        self.keep_runs(fences.withColumn("floor", F.lit(floor).cast("long")).withColumn("dead", F.lit(dead).cast("long")), number)
+        self.keep_runs(left.withColumn("floor", F.lit(floor).cast("long")).withColumn("dead", F.lit(dead).cast("long")), number)
+        fences.unpersist()
 
     def histogram(self) -> DataFrame:
         return self.buckets.table()
@@ -145,5 +140,5 @@ class RetainedHistogram(SortedRuns):
     def kept(self) -> DataFrame:
         fences = self.table()
         floor = fences.agg(F.max("floor")).first()[0]
-        rows = self._read(fences).drop("_key", "_row")
+        rows = self._read(self._files(fences)).drop("_key", "_row")
         return rows if floor is None else rows.where(F.col(self.row_id) > floor)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import levels, text, times
-from logloom.operators import annotate, export, filters, histogram, navigate, schema, sorting
+from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema, sorting
 
 
 def frame(spark, values, kind):
@@ -191,3 +191,38 @@ def test_navigation_is_linear_in_a_crowded_hour(spark):
     times = sorted(at)
     wanted = {k: next((at[t] for t in times[-(-(k * 72_000_000 + 1) // 40_000) :]), None) for k in range(50)}
     assert {r["k"]: r["found_row"] for r in found.collect()} == wanted
+
+
+def test_zone_gaps(spark):
+    """Every quarter of an hour of the days around gaps and ambiguous hours, against zoneinfo; also long before and after all listed rules."""
+    import datetime
+    from zoneinfo import ZoneInfo
+
+    utc = datetime.timezone.utc
+    for zone, days in {"Europe/Berlin": ("2024-03-31", "2024-10-27", "2600-03-30"), "Australia/Lord_Howe": ("2024-10-06", "2024-04-07"), "Pacific/Apia": ("2011-12-29", "2011-12-30", "2011-12-31"), "UTC": ("2024-03-31",), "Asia/Kathmandu": ("1985-12-31", "1986-01-01")}.items():
+        walls = [datetime.datetime.fromisoformat(d) + datetime.timedelta(minutes=15 * i, microseconds=i) for d in days for i in range(96)]
+        df = spark.createDataFrame([(i, str(w)) for i, w in enumerate(walls)], "i long, w string").select("i", F.unix_micros(times.local_to_utc(F.col("w").cast("timestamp"), zone)).alias("at"))
+        got = {r["i"]: r["at"] for r in df.collect()}
+        z = ZoneInfo(zone)
+        for i, w in enumerate(walls):
+            at = w.replace(tzinfo=z, fold=0).astimezone(utc)
+            if at.astimezone(z).replace(tzinfo=None) != w:  # a gap: the instant at which the clock jumps
+                low, high = at - datetime.timedelta(days=2), at + datetime.timedelta(days=2)
+                before = low.astimezone(z).utcoffset()
+                while high - low > datetime.timedelta(microseconds=1):
+                    mid = low + (high - low) / 2
+                    low, high = (mid, high) if mid.astimezone(z).utcoffset() == before else (low, mid)
+                at = high
+            assert got[i] == (at - datetime.datetime(1970, 1, 1, tzinfo=utc)) // datetime.timedelta(microseconds=1), (zone, w)
+
+
+def test_mined_templates(spark):
+    names = [chr(97 + i) * 3 for i in range(20)]
+    rows = [f"2024-05-0{i % 9 + 1} 10:00:0{i % 10} user {n} signed in from {i}" for i, n in enumerate(names * 10)]
+    rows += ["disk full"] * 5 + ["disk ok"] * 5 + ["", "", None, "once upon", "a" * 300_000, " ".join(["w"] * 5_000)]
+    df = spark.createDataFrame([(r,) for r in rows], "m string")
+    got = {r["template"]: r["rows"] for r in patterns.mine_messages(df, "m", 0.001).collect()}
+    assert got == {"<time> user <*> signed in from <n>": 200, "disk full": 5, "disk ok": 5, "": 2, "<*> <*>": 1, "<*>": 1, " ".join(["<*>"] * 5_000): 1}
+    left, right = df.where("m LIKE '%user aaa%' OR m LIKE 'disk%'"), df.where("m LIKE '%user%' AND m NOT LIKE '%aaa%' OR m LIKE 'disk%'")
+    assert [tuple(r) for r in patterns.diff_mined(left, right, "m", variants=8).collect()] == [("<time> user <*> signed in from <n>", 10, 190)]
+    assert patterns.mine_messages(df.where("m = 'no such'"), "m").count() == 0
