@@ -3,8 +3,15 @@ anchors of snapshots, own templates, streams of several batches."""
 
 from __future__ import annotations
 
+import bz2
 import datetime
+import gzip
+import itertools
+import lzma
+import uuid
 
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +20,7 @@ from logloom.functions.scratch import scratch
 from logloom.operators import annotate, export, filters, histogram, navigate, patterns, schema
 from logloom.plans import catalogue
 from logloom.plans.catalogue import SLOT, anchored, events, load, query
-from logloom.sources import detect, folding, formats, growing, lines, templates
+from logloom.sources import blocks, detect, folding, formats, growing, lines, templates
 from logloom.streaming import folded, runs, stream
 
 _BAD = """CASE WHEN event_id % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 8) THEN 'Error on line ' || (event_id + 1) || ': not a JSON object' END"""
@@ -155,6 +162,71 @@ def lines_back(spark, d):
     return by_name.join(by_content.agg(F.count(F.lit(1)).alias("rows")), how="cross").select("line_id", "raw", "rows")
 
 
+_KINDS = ("gzip", "bzip2", "xz", "zstd", "none")
+
+
+_PACK = {"gzip": gzip.compress, "bzip2": bz2.compress, "xz": lambda x: lzma.compress(x, preset=0), "zstd": lambda x: zstandard.ZstdCompressor().compress(x), "none": bytes}
+
+
+def _frames(path: str, frame: int):
+    """Writes rows (name, number, line) of a partition sorted by these to files of frames of `frame` lines each. A file gets its name when
+    it is whole, so a task that is run again leaves it as it is."""
+
+    def run(batches):
+        system, top = blocks.local(path)
+        system.create_dir(top, recursive=True)
+        parts = (part for b in batches for part in b.groupby("name", sort=False))
+        for name, group in itertools.groupby(parts, key=lambda p: p[0]):
+            hidden = f"{top}/.{uuid.uuid4().hex}"
+            pack, n = _PACK[name.rsplit(".", 1)[1]], 0
+            with system.open_output_stream(hidden) as out:
+                for _, part in group:
+                    lines = [x.encode() + b"\n" for x in part["line"]]
+                    n += len(lines)
+                    for at in range(0, len(lines), frame):
+                        out.write(pack(b"".join(lines[at : at + frame])))
+            system.move(hidden, f"{top}/{name}")
+            yield pd.DataFrame({"name": [name], "lines": [n]})
+
+    return run
+
+
+def _written_frames(df: DataFrame, frame: int) -> str:
+    """A new folder of the files that df (name, number, line) states, their codec at the end of the name."""
+    path = scratch(df.sparkSession, "frames")
+    placed = df.select("name", "number", "line").repartition("name").sortWithinPartitions("name", "number")
+    placed.mapInPandas(_frames(path, frame), "name string, lines long").agg(F.sum("lines")).collect()  # one row
+    return path
+
+
+@query(f"""SELECT codec, doc_id % 2 AS line_id_parity, count(*) AS rows, sum(doc_id)::BIGINT AS ids, sum(n)::BIGINT AS numbers, sum(length(text))::BIGINT AS letters
+FROM (SELECT doc_id, k.codec, row_number() OVER (PARTITION BY k.codec, doc_id // 4096 ORDER BY doc_id) - 1 AS n, translate(coalesce(text, ''), chr(10) || chr(13), '  ') AS text FROM documents, (VALUES {", ".join(f"('{k}')" for k in _KINDS)}) k(codec)) GROUP BY ALL""")
+def lines_of_frames(spark, d):
+    """The documents as lines of files of each codec, 4 096 documents a file, written in frames of 50 and read again in pieces of 256 KB:
+    numbers and texts come back whole."""
+    kinds = F.explode(F.array(*map(F.lit, _KINDS))).alias("codec")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  "))
+    made = load(spark, d, "documents").select(kinds, F.col("doc_id").alias("number"), line.alias("line"))
+    path = _written_frames(made.select(F.concat(F.lit("d"), F.floor(F.col("number") / 4096).cast("string"), F.lit("."), "codec").alias("name"), "number", "line"), 50)
+    back = lines.read_compressed(spark, path, piece=1 << 18)
+    doc_id = F.substring_index("raw", " ", 1).cast("long")
+    parts = back.select(F.substring_index("source", ".", -1).alias("codec"), doc_id.alias("doc_id"), "line_id", (F.length("raw") - F.length(F.substring_index("raw", " ", 1)) - 1).alias("letters"))
+    return parts.groupBy("codec", (F.col("doc_id") % 2).alias("line_id_parity")).agg(F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("ids"), F.sum("line_id").alias("numbers"), F.sum("letters").alias("letters"))
+
+
+@query("""SELECT 'p' || (page_id % 20) || '.' || (list_value('gzip', 'bzip2', 'xz', 'zstd', 'none'))[(page_id % 5 + 1)::INT] AS source,
+CASE WHEN count(*) = 1 AND page_id % 4 > 1 THEN 'json' ELSE (list_value('json', 'logfmt', 'csv', 'regex'))[(page_id % 4 + 1)::INT] END AS format FROM pages GROUP BY page_id % 20, page_id % 5, page_id % 4""")
+def detect_files(spark, d):
+    """Twenty files of four formats and five codecs, told by their heads alone; one line is too few for a template or CSV."""
+    p = load(spark, d, "pages").withColumn("k", F.col("page_id") % 4)
+    name = F.concat(F.lit("p"), (F.col("page_id") % 20).cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % 5 + 1).cast("int")))
+    site = F.substring_index("url", "?", 1)
+    line = F.when(F.col("k") == 0, F.to_json(F.struct("page_id", "url"))).when(F.col("k") == 1, F.concat(F.lit("id="), F.col("page_id").cast("string"), F.lit(' url="'), site, F.lit('"')))
+    line = line.when(F.col("k") == 2, F.concat_ws(",", F.col("page_id").cast("string"), site)).otherwise(F.concat(F.lit("2024-04-28T04:02:03.123Z stdout F page "), F.col("page_id").cast("string")))
+    path = _written_frames(p.select(name.alias("name"), F.col("page_id").alias("number"), line.alias("line")), 50)
+    return detect.detect_files(spark, path).select(F.element_at(F.split("source", "/"), -1).alias("source"), "format")
+
+
 @query(f"SELECT event_id AS row_id, colour, 'note ' || event_id AS note, event_type, (SELECT count(*) FROM events) AS rows FROM (SELECT *, {SLOT} AS colour FROM events) WHERE colour IS NOT NULL")
 def snapshot(spark, d):
     """A table and its anchors, written and read again."""

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank
 from logloom.sources.formats import csv_cells
+from logloom.sources.lines import read_heads
 from logloom.sources.templates import Template, catalogue
 
 PROBED, NEEDED = 8, 2
 
 
+def detect_files(spark: SparkSession, path: str | list[str], extra: tuple[Template, ...] = ()) -> DataFrame:
+    """detect_formats of files of any codec, of which only the heads are read."""
+    return detect_formats(read_heads(spark, path, PROBED), extra)
+
+
 def detect_formats(lines: DataFrame, extra: tuple[Template, ...] = ()) -> DataFrame:
     """source, format (json, logfmt, regex, csv), template (name, for regex): JSON, then logfmt, then templates by priority,
     then CSV; JSON where nothing fits. Looks at each file's first PROBED lines that are not blank."""

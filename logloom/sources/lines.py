@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import io
-import lzma
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank
+from logloom.sources import blocks
 
 LINE_SCHEMA = "source string, line_id bigint, raw string"
 
@@ -43,51 +41,49 @@ def clean(lines: DataFrame, keep_blank: bool = True) -> DataFrame:
     return out if keep_blank else out.where(~blank(F.col("raw")))
 
 
-def codec_of(content: Column) -> Column:
-    """Codec by magic bytes: gzip, bzip2, xz, zstd or none."""
-    head = F.hex(F.substring(content, 1, 6))
-    return F.when(head.startswith("1F8B"), "gzip").when(head.startswith("425A68"), "bzip2").when(head == "FD377A585A00", "xz").when(head.startswith("28B52FFD"), "zstd").otherwise("none")
+#: Tasks that read pieces; of more pieces, a task reads several.
+MOST_TASKS = 50_000
 
 
-def read_compressed(spark: SparkSession, path: str | list[str], most_bytes: int = 32 << 30) -> DataFrame:
-    """Lines of files of any codec, told by content, whatever their names. One file is one task; it is decompressed as a
-    stream, and fails beyond most_bytes."""
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def files_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """source and size of the files of a path; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("size"))
+
+
+def read_compressed(spark: SparkSession, path: str | list[str], most_bytes: int = 32 << 30, piece: int = 64 << 20) -> DataFrame:
+    """Lines of files of any codec and length, told by content, whatever their names, in pieces of about `piece` compressed bytes where the
+    codec lets one begin inside a file (see blocks.py). A piece is one task; it is decompressed as a stream, and fails beyond most_bytes.
+
+    A line's number counts from 0 in its file. On a file system that pyarrow does not know, a file is one value and one task instead, of 2 GB compressed at most."""
+    files = files_of(spark, path)
+    # sizes as the listing tells them; one row
+    known = files.agg(F.first("source").alias("one"), F.sum(F.ceil(F.col("size") / piece)).alias("pieces")).first()
+    if known["one"] is None or blocks.reachable(known["one"]):
+        return clean(blocks.read(files.repartition(_tasks(spark), "source"), piece, most_bytes, min(max(known["pieces"] or 1, 1), MOST_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, codec, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = io.BytesIO(content)
-                if codec == "gzip":
-                    stream = gzip.open(raw)
-                elif codec == "bzip2":
-                    stream = bz2.open(raw)
-                elif codec == "xz":
-                    stream = lzma.open(raw)
-                elif codec == "zstd":
-                    stream = pa.CompressedInputStream(raw, "zstd")
-                else:
-                    stream = raw
-                number, seen, held, rest = 0, 0, [], b""
-                while chunk := stream.read(1 << 20):
-                    seen += len(chunk)
+            for source, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file, number, seen = io.BytesIO(content), 0, 0
+                for lines in blocks.numbered(blocks.chunks(file, blocks.codec(content[:10]), len(content), 0, len(content)), lambda: iter(()), True):
+                    seen += sum(map(len, lines))
                     if seen > most_bytes:
                         raise ValueError(f"{source} is larger than {most_bytes} bytes once decompressed")
-                    *lines, rest = (rest + chunk).split(b"\n")
-                    held += lines
-                    if len(held) >= 10_000:
-                        yield _rows(source, number, held)
-                        number, held = number + len(held), []
-                if rest:
-                    held.append(rest)
-                if held:
-                    yield _rows(source, number, held)
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), codec_of(F.col("content")).alias("codec"), "content")
-    return clean(files.mapInArrow(run, LINE_SCHEMA))
-
-
-def _rows(source: str, first: int, lines: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([source] * len(lines)), pa.array(range(first, first + len(lines)), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines])], ["source", "line_id", "raw"])
+                    yield blocks.batch(source, number, lines)
+                    number += len(lines)
+
+    return clean(spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content").mapInArrow(run, LINE_SCHEMA))
+
+
+def read_heads(spark: SparkSession, path: str | list[str], wanted: int = 8) -> DataFrame:
+    """The first lines of files of any codec, until `wanted` of them are not blank; no file is read further, so the work follows the
+    number of files, not their length."""
+    files = files_of(spark, path)
+    return clean(blocks.heads(files.repartition(_tasks(spark), "source"), wanted))
 
 
 #: Names of rotated files. Number, date after the name, date before the extension; a codec may follow.

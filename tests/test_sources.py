@@ -3,6 +3,7 @@
 import bz2
 import datetime
 import gzip
+import io
 import lzma
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import schema
-from logloom.sources import detect, folding, formats, lines, templates
+from logloom.sources import blocks, detect, folding, formats, lines, templates
 
 BUILT_IN = {t.name: t for t in templates.BUILT_IN}
 
@@ -225,3 +226,64 @@ def test_values_of_a_megabyte(spark):
 def test_cells_whose_quotes_do_not_close(spark):
     df = spark.createDataFrame([("f", i, r) for i, r in enumerate(["a,b", '"x"",1', '"x""y""z,1', '"p""q",1'])], "source string, line_id long, raw string")
     assert [r["fields"]["a"] for r in formats.parse_csv(df).orderBy("line_id").collect()] == ["x", 'x"y', 'p"q']
+
+
+def _framed(data, kind, cuts):
+    pack = {"gzip": gzip.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": lambda x: pa.compress(x, "zstd", asbytes=True), "none": bytes}[kind]
+    return b"".join(pack(data[a:b]) for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True))
+
+
+@pytest.mark.parametrize("kind", ["gzip", "bzip2", "xz", "zstd", "none"])
+@pytest.mark.parametrize("data", [b"", b"\n", b"a", b"\n\n", b"one\ntwo\r\n\nthree", b"x" * 3000 + b"\n" + b"y\n" * 500, "".join(f"{i} {i * i}\n" for i in range(900)).encode()])
+def test_pieces_hold_each_line_once(kind, data):
+    wanted = data.split(b"\n")[: -1 if data.endswith(b"\n") or not data else None]
+    for cuts in ([], [len(data) // 2], sorted({len(data) * i // 7 for i in range(1, 7)})):
+        raw = _framed(data, kind, cuts)
+        for piece in (40, 200, 1 << 20):
+            file, got = io.BytesIO(raw), []
+            told = blocks.codec(raw[:10])
+            assert told == kind or not raw
+            for start, stop in blocks.bounds(file, told, len(raw), piece):
+                own, after = blocks.chunks(file, told, len(raw), start, stop), blocks.chunks(file, told, len(raw), stop, len(raw))
+                got += [line for part in blocks.numbered(own, lambda after=after: after, start == 0) for line in part]
+            assert got == wanted
+
+
+def test_files_of_frames_are_several_tasks(spark, tmp_path):
+    data = "".join(f"line {i} {i * 7919 % 1000003}\n" for i in range(20_000)).encode()
+    for kind in ("gzip", "bzip2", "xz", "zstd", "none"):
+        (tmp_path / f"a b.{kind}").write_bytes(_framed(data, kind, [len(data) * i // 9 for i in range(1, 9)]))
+    (tmp_path / "nothing").write_bytes(b"")
+    files = lines.files_of(spark, str(tmp_path))
+    many = {r["codec"]: r["count"] for r in blocks.pieces(files, 10_000).groupBy("codec").count().collect()}
+    assert many["gzip"] == 1 and all(many[k] > 3 for k in ("bzip2", "xz", "zstd", "none"))
+    got = lines.read_compressed(spark, str(tmp_path), piece=10_000)
+    right = F.concat(F.lit("line "), F.col("line_id").cast("string"), F.lit(" "), (F.col("line_id") * 7919 % 1000003).cast("string")) == F.col("raw")
+    assert [tuple(r) for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_if(right).alias("right")).select("rows", "right").collect()] == [(20_000, 20_000)] * 5
+    with pytest.raises(Exception, match="is larger than 1000 bytes"):
+        lines.read_compressed(spark, str(tmp_path), most_bytes=1000).count()
+
+
+def test_heads_read_no_further(spark, tmp_path):
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.seen += len(got)
+            return got
+
+    noise = "".join(f"{i} {i * 2654435761 % 2**32:x}\n" for i in range(200_000)).encode()
+    for kind in ("gzip", "bzip2", "xz", "zstd", "none"):
+        raw = _framed(b"\n \n" + noise, kind, [])
+        assert len(raw) > 800_000
+        file = Counted(raw)
+        assert blocks.head(file, len(raw), 3) == [b"", b" ", b"0 0", *noise.split(b"\n")[1:3]]
+        assert file.seen < (700_000 if kind == "bzip2" else 250_000)  # a bzip2 block is 900 000 bytes before it is packed; gzip and zstd read ahead
+        cut = raw[: len(raw) // 2] if kind != "bzip2" else raw[: len(raw) * 4 // 5]  # still being written
+        assert blocks.head(io.BytesIO(cut), len(cut), 3)[2] == b"0 0"
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"\n\nk=1 l=2\n" + noise))
+    (tmp_path / "b.xz").write_bytes(lzma.compress(b'{"a": 1}'))
+    (tmp_path / "c").write_bytes(b"")
+    assert {(r["source"][-4:], r["format"]) for r in detect.detect_files(spark, str(tmp_path)).collect()} == {("a.gz", "logfmt"), ("b.xz", "json")}
+    assert lines.read_heads(spark, str(tmp_path), 2).count() == 5
