@@ -199,19 +199,19 @@ def _written_frames(df: DataFrame, frame: int) -> str:
     return path
 
 
-@query(f"""SELECT codec, doc_id % 2 AS line_id_parity, count(*) AS rows, sum(doc_id)::BIGINT AS ids, sum(n)::BIGINT AS numbers, sum(length(text))::BIGINT AS letters
-FROM (SELECT doc_id, k.codec, row_number() OVER (PARTITION BY k.codec, doc_id // 4096 ORDER BY doc_id) - 1 AS n, translate(coalesce(text, ''), chr(10) || chr(13), '  ') AS text FROM documents, (VALUES {", ".join(f"('{k}')" for k in _KINDS)}) k(codec)) GROUP BY ALL""")
+@query(f"""SELECT codec, doc_id % 2 AS parity, count(*) AS rows, sum(doc_id)::BIGINT AS ids, sum(n)::BIGINT AS numbers, sum(length(text))::BIGINT AS letters
+FROM (SELECT doc_id, codec, row_number() OVER (PARTITION BY codec, doc_id // 20480 ORDER BY doc_id) - 1 AS n, text
+FROM (SELECT doc_id, (list_value({", ".join(f"'{k}'" for k in _KINDS)}))[(doc_id % 5 + 1)::INT] AS codec, translate(coalesce(text, ''), chr(10) || chr(13), '  ') AS text FROM documents)) GROUP BY ALL""")
 def lines_of_frames(spark, d):
-    """The documents as lines of files of each codec, 4 096 documents a file, written in frames of 50 and read again in pieces of 256 KB:
-    numbers and texts come back whole."""
-    kinds = F.explode(F.array(*map(F.lit, _KINDS))).alias("codec")
+    """The documents as lines of files of five codecs, at most 4 096 lines a file, written in frames of 50 and read again in pieces of
+    256 KB: numbers and texts come back whole."""
+    codec = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20480).cast("string"), F.lit("."), codec)
     line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  "))
-    made = load(spark, d, "documents").select(kinds, F.col("doc_id").alias("number"), line.alias("line"))
-    path = _written_frames(made.select(F.concat(F.lit("d"), F.floor(F.col("number") / 4096).cast("string"), F.lit("."), "codec").alias("name"), "number", "line"), 50)
-    back = lines.read_compressed(spark, path, piece=1 << 18)
-    doc_id = F.substring_index("raw", " ", 1).cast("long")
-    parts = back.select(F.substring_index("source", ".", -1).alias("codec"), doc_id.alias("doc_id"), "line_id", (F.length("raw") - F.length(F.substring_index("raw", " ", 1)) - 1).alias("letters"))
-    return parts.groupBy("codec", (F.col("doc_id") % 2).alias("line_id_parity")).agg(F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("ids"), F.sum("line_id").alias("numbers"), F.sum("letters").alias("letters"))
+    path = _written_frames(load(spark, d, "documents").select(name.alias("name"), F.col("doc_id").alias("number"), line.alias("line")), 50)
+    back = lines.read_compressed(spark, path, piece=1 << 18).withColumn("id", F.substring_index("raw", " ", 1))
+    parts = back.select(F.substring_index("source", ".", -1).alias("codec"), (F.col("id").cast("long") % 2).alias("parity"), F.col("id").cast("long").alias("id"), "line_id", (F.length("raw") - F.length("id") - 1).alias("letters"))
+    return parts.groupBy("codec", "parity").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.sum("line_id").alias("numbers"), F.sum("letters").alias("letters"))
 
 
 @query("""SELECT 'p' || (page_id % 20) || '.' || (list_value('gzip', 'bzip2', 'xz', 'zstd', 'none'))[(page_id % 5 + 1)::INT] AS source,
