@@ -214,12 +214,12 @@ def lines_of_frames(spark, d):
     return parts.groupBy("codec", "parity").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.sum("line_id").alias("numbers"), F.sum("letters").alias("letters"))
 
 
-@query("""SELECT 'p' || (page_id % 20) || '.' || (list_value('gzip', 'bzip2', 'xz', 'zstd', 'none'))[(page_id % 5 + 1)::INT] AS source,
-CASE WHEN count(*) = 1 AND page_id % 4 > 1 THEN 'json' ELSE (list_value('json', 'logfmt', 'csv', 'regex'))[(page_id % 4 + 1)::INT] END AS format FROM pages GROUP BY page_id % 20, page_id % 5, page_id % 4""")
+@query("""SELECT 'p' || (page_id // 200) || '_' || (page_id % 20) || '.' || (list_value('gzip', 'bzip2', 'xz', 'zstd', 'none'))[(page_id % 5 + 1)::INT] AS source,
+CASE WHEN count(*) = 1 AND page_id % 4 > 1 THEN 'json' ELSE (list_value('json', 'logfmt', 'csv', 'regex'))[(page_id % 4 + 1)::INT] END AS format FROM pages GROUP BY page_id // 200, page_id % 20, page_id % 5, page_id % 4""")
 def detect_files(spark, d):
-    """Twenty files of four formats and five codecs, told by their heads alone; one line is too few for a template or CSV."""
+    """Files of four formats and five codecs, ten pages each, told by their heads alone; one line is too few for a template or CSV."""
     p = load(spark, d, "pages").withColumn("k", F.col("page_id") % 4)
-    name = F.concat(F.lit("p"), (F.col("page_id") % 20).cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % 5 + 1).cast("int")))
+    name = F.concat(F.lit("p"), F.floor(F.col("page_id") / 200).cast("string"), F.lit("_"), (F.col("page_id") % 20).cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % 5 + 1).cast("int")))
     site = F.substring_index("url", "?", 1)
     line = F.when(F.col("k") == 0, F.to_json(F.struct("page_id", "url"))).when(F.col("k") == 1, F.concat(F.lit("id="), F.col("page_id").cast("string"), F.lit(' url="'), site, F.lit('"')))
     line = line.when(F.col("k") == 2, F.concat_ws(",", F.col("page_id").cast("string"), site)).otherwise(F.concat(F.lit("2024-04-28T04:02:03.123Z stdout F page "), F.col("page_id").cast("string")))
