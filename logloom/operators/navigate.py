@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 65_536
+#: Parts that the rows of a bucket are dealt into where they meet the bucket's count.
+SALTS = 32
 
 
 def goto_time(df: DataFrame, ts: str, at, row_id: str = "row_id") -> DataFrame:
@@ -16,45 +19,56 @@ def goto_time(df: DataFrame, ts: str, at, row_id: str = "row_id") -> DataFrame:
 
 def time_blocks(rows: DataFrame, ts: str, seconds: int, by: list[str] | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """Adds _b, a number that never falls with the time: buckets of so many seconds, cut into equal parts where one holds more
-    than `block` rows. The counts are one row a bucket, broadcast only if they are few."""
+    than `block` rows. The counts are one row a crowded bucket; where they are too many to be broadcast, a bucket's rows meet its count
+    in SALTS tasks, dealt by what is in them."""
     by = by or []
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     whole = F.floor(at / (seconds * 1_000_000))
     rows = rows.withColumn("_whole", whole)
     counts = rows.groupBy(*by, "_whole").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
     counts = counts.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_whole").alias("_w"), F.least(F.ceil(F.col("_n") / block), F.lit(1 << 20)).alias("_parts"))
-    on = F.col("_whole") == F.col("_w")
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
+    counts = counts.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    on = (F.col("_whole") == F.col("_w")) & (F.col("_salt") == F.col("_s"))
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     parts = F.coalesce("_parts", F.lit(1))
     inside = F.floor((at - F.col("_whole") * (seconds * 1_000_000)) / (seconds * 1_000_000 / parts))
-    return rows.join(counts, on, "left").withColumn("_b", F.col("_whole") * (1 << 20) + F.least(inside, parts - 1)).drop("_whole", "_w", "_parts", "_n", *(f"_{k}" for k in by))
+    return rows.join(counts, on, "left").withColumn("_b", F.col("_whole") * (1 << 20) + F.least(inside, parts - 1)).drop("_whole", "_w", "_parts", "_salt", "_s", *(f"_{k}" for k in by))
 
 
 def asof_rows(df: DataFrame, ts: str, targets: DataFrame, target: str = "target_ts", row_id: str = "row_id", seconds: int = 3600, by: str | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """For each target: target columns, found_ts, found_row: the first row at or after it (null if there is none).
 
-    Times are cut into buckets. Inside a bucket the rows after each target come from one window over the bucket's rows and
-    targets, latest first; where the bucket has none, from the first row of the next bucket that has any. `by` asks within
-    equal keys. Of rows of the same time only the first takes part, so a crowded instant is no crowded bucket.
+    Times are cut into buckets. Inside a bucket the row after each time that is asked for comes from one window over the bucket's
+    times, latest first; where the bucket has none, from the first row of the next bucket that has any. `by` asks within
+    equal keys. Of rows of the same time only the first takes part, and a time is asked for once, so a crowded instant is no
+    crowded bucket; the targets get their answers back by their time.
     """
     key = [by] if by else []
-    ask = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in targets.schema.fields) + ">"
-    rows = df.where(F.col(ts).isNotNull()).groupBy(*key, F.col(ts).alias("_t")).agg(F.min(row_id).alias("_row")).withColumn("_ask", F.lit(None).cast(ask))
-    asks = targets.where(F.col(target).isNotNull()).select(*key, F.col(target).cast(df.schema[ts].dataType).alias("_t"), F.lit(None).cast(df.schema[row_id].dataType).alias("_row"), F.struct(*targets.columns).alias("_ask"))
-    both = time_blocks(rows.unionByName(asks), "_t", seconds, key, block)
+    asked = targets.where(F.col(target).isNotNull()).select(*key, F.col(target).cast(df.schema[ts].dataType).alias("_t"), F.struct(*targets.columns).alias("_ask"))
+    rows = df.where(F.col(ts).isNotNull()).select(*key, F.col(ts).alias("_t"), F.col(row_id).alias("_row"), F.lit(False).alias("_is"))
+    times = asked.select(*key, "_t", F.lit(None).cast(df.schema[row_id].dataType).alias("_row"), F.lit(True).alias("_is"))
+    # a time of rows and one of targets: whether it is asked for, and its first row
+    both = time_blocks(rows.unionByName(times).groupBy(*key, "_t").agg(F.min("_row").alias("_row"), F.max("_is").alias("_is")), "_t", seconds, key, block)
     head = F.struct("_t", "_row")
-    ahead = Window.partitionBy(*key, "_b").orderBy(F.desc("_t"), F.col("_row").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = both.withColumn("_found", F.last(F.when(F.col("_row").isNotNull(), head), ignorenulls=True).over(ahead)).where("_ask IS NOT NULL")
+    ahead = Window.partitionBy(*key, "_b").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_found", F.last(F.when(F.col("_row").isNotNull(), head), ignorenulls=True).over(ahead)).where("_is")
     # first row of every bucket, and of the next one that has rows: one row a bucket
     heads = both.groupBy(*key, "_b").agg(F.min(F.when(F.col("_row").isNotNull(), head)).alias("_head"))
     runs = Window.partitionBy(*(key or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = heads.withColumn("_next", F.last("_head", ignorenulls=True).over(runs)).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_b").alias("_nb"), "_next")
-    on = F.col("_b") == F.col("_nb")
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    found = F.coalesce("_found", "_next")
-    return inside.join(nexts, on, "left").select("_ask.*", found["_t"].alias("found_ts"), found["_row"].alias("found_row"))
+
+    def within(on: Column) -> Column:
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return on
+
+    told = inside.join(nexts, within(F.col("_b") == F.col("_nb")), "left").withColumn("_first", F.coalesce("_found", "_next"))
+    told = told.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_t").alias("_at"), "_first")
+    found = F.col("_first")
+    return asked.join(told, within(F.col("_t") == F.col("_at"))).select("_ask.*", found["_t"].alias("found_ts"), found["_row"].alias("found_row"))
 
 
 def _edges(df: DataFrame, row: str, flag: Column, rows: int) -> tuple[DataFrame, DataFrame]:

@@ -193,6 +193,19 @@ def test_navigation_is_linear_in_a_crowded_hour(spark):
     assert {r["k"]: r["found_row"] for r in found.collect()} == wanted
 
 
+def test_many_targets_of_one_time(spark):
+    """Targets of equal times are looked up once: no window holds the targets themselves."""
+    rows = spark.createDataFrame([("x", 1, 10), ("x", 2, 20), (None, 3, 15)], "k string, row_id bigint, s long").withColumn("t", F.timestamp_seconds("s"))
+    asks = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "x").alias("k"), "id", F.timestamp_seconds(F.lit(12)).alias("target_ts")).repartition(4)
+    found = navigate.asof_rows(rows, "t", asks, by="k", block=2)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("Window"))
+    below = [line for line in lines[at : next((i for i in range(at + 1, len(lines)) if depth(lines[i]) <= depth(lines[at])), len(lines))]]
+    assert not any("_ask" in line for line in below)
+    assert [tuple(r) for r in found.groupBy("k", "found_row").count().orderBy("k").collect()] == [(None, 3, 1500), ("x", 2, 1500)]
+
+
 def test_zone_gaps(spark):
     """Every quarter of an hour of the days around gaps and ambiguous hours, against zoneinfo; also long before and after all listed rules."""
     import datetime
