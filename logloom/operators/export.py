@@ -78,8 +78,9 @@ def raw_lines(df: DataFrame) -> DataFrame:
     return df.select(F.col("raw").alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
-    lines.select("value").write.option("compression", compression or "none").text(path)
+def write_lines(lines: DataFrame, path: str, compression: str | None = None, most: int = 0) -> None:
+    """most: lines of a file at most; 0 is no limit."""
+    lines.select("value").write.option("compression", compression or "none").option("maxRecordsPerFile", most).text(path)
 
 
 def write_snapshot(df: DataFrame, path: str, anchors: DataFrame | None = None) -> None:

@@ -154,11 +154,13 @@ def orphans(spark, d):
 
 @query("SELECT line_id, raw, rows FROM (SELECT event_id AS line_id, props || CASE WHEN event_id % 3 = 0 THEN chr(13) ELSE '' END AS raw FROM events), (SELECT count(*) AS rows FROM events)")
 def lines_back(spark, d):
-    """Lines with one or two carriage returns in a gzip file, read again by name and by content: one return is no part of a line."""
+    """Lines with one or two carriage returns in gzip files, read again by name and by content: one return is no part of a line. A task
+    writes a range of the lines, in files that follow each other by the numbers in their names."""
     path = scratch(spark, "lines")
     ends = F.when(F.col("event_id") % 3 == 0, "\r\r").otherwise("\r")
-    export.write_lines(export.raw_lines(events(spark, d).orderBy("event_id").coalesce(1).select(F.concat("props", ends).alias("raw"))), path, "gzip")
-    by_name, by_content = lines.read_lines(spark, path), lines.read_compressed(spark, path)
+    export.write_lines(export.raw_lines(events(spark, d).select("event_id", F.concat("props", ends).alias("raw")).orderBy("event_id")), path, "gzip", 65_536)
+    part, chunk = (F.regexp_extract("source", pattern, 1).cast("int") for pattern in (r"part-(\d+)-[^/]*$", r"-c(\d+)[^/]*$"))
+    by_name, by_content = lines.numbered_on(lines.read_lines(spark, path), part, chunk), lines.read_compressed(spark, path)
     return by_name.join(by_content.agg(F.count(F.lit(1)).alias("rows")), how="cross").select("line_id", "raw", "rows")
 
 

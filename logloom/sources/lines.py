@@ -6,7 +6,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank
@@ -28,11 +28,32 @@ def number_within(df: DataFrame, by: list[str], block: list[str], order: list[st
     return df.withColumn("_inner", F.row_number().over(inside) - 1).join(starts, [*by, *block]).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_before", "_inner")
 
 
+#: Rows of counts, one a block or file, that are broadcast at most; beyond, the join shuffles.
+BROADCAST_COUNTS = 100_000
+
+
 def read_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = True) -> DataFrame:
-    """Lines of plain, gzip or bzip2 files; a byte order mark and the carriage return of a line end are stripped."""
+    """Lines of plain, gzip or bzip2 files; a byte order mark and the carriage return of a line end are stripped.
+
+    One task reads a block of a file from its first line to its last, so a line's place in it is the distance of their places in the
+    task: no window or sort holds the lines of a file that cannot be split."""
     text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
-    lines = number_within(text, ["source"], ["_block"], ["_at"], "line_id")
-    return clean(lines.select("source", "line_id", "raw"), keep_blank)
+    # one row a block
+    counts = text.groupBy("source", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    few = files_of(spark, path).count() + text.rdd.getNumPartitions() <= BROADCAST_COUNTS  # a task reads one block, or several small files
+    lines = text.join(F.broadcast(starts) if few else starts, ["source", "_block"])
+    return clean(lines.select("source", (F.col("_at") + F.col("_shift")).cast("long").alias("line_id"), "raw"), keep_blank)
+
+
+def numbered_on(lines: DataFrame, *order: Column) -> DataFrame:
+    """line_id counts on over files, which follow each other by `order`, expressions of source; as far as rotated or cut files are one log."""
+    counts = lines.groupBy("source").agg((F.max("line_id") + 1).alias("_n"))
+    before = Window.orderBy(*order, "source").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = counts.select("source", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).persist()
+    few = starts.count() <= BROADCAST_COUNTS
+    return lines.join(F.broadcast(starts) if few else starts, "source").withColumn("line_id", F.col("line_id") + F.col("_before")).drop("_before")
 
 
 def clean(lines: DataFrame, keep_blank: bool = True) -> DataFrame:

@@ -55,6 +55,16 @@ def test_json_is_parsed_once(spark):
     assert plan.count("from_json") <= 3  # for the counts, for the few keys that may be enumerations (the same counts, reused), and for the values of these
 
 
+def test_lines_of_a_file_that_cannot_be_split(spark, tmp_path):
+    """Lines get their numbers without a window over the lines of a file, and count on over files that follow each other."""
+    for name, ids in (("b.10.gz", range(1200, 2000)), ("a.9.gz", range(1200))):
+        (tmp_path / name).write_bytes(gzip.compress("".join(f"line {i}\n" for i in ids).encode()))
+    read = lines.read_lines(spark, str(tmp_path))
+    assert "row_number" not in read._jdf.queryExecution().optimizedPlan().toString()
+    got = lines.numbered_on(read, F.regexp_extract("source", r"\.(\d+)\.gz$", 1).cast("int"))
+    assert got.where(F.concat(F.lit("line "), F.col("line_id").cast("string")) != F.col("raw")).count() == 0 and got.count() == 2000
+
+
 def test_head_of_blank_lines_and_carriage_returns(spark, tmp_path):
     path = write(tmp_path / "late.log", "\n" * 100 + 'a=1 b=2\r\r\na=2 b="\ue000\\\\x"\r\n')
     read = lines.read_lines(spark, path)
