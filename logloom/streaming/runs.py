@@ -15,6 +15,8 @@ from logloom.operators import histogram, sorting
 from logloom.streaming.stream import RETAIN, RETAIN_RANGE, Merged
 
 BLOCK, RUNS = 65_536, 16
+#: Ranges of row ids whose rows are counted at once.
+RANGES = 65_536
 
 
 class SortedRuns(Merged):
@@ -97,7 +99,8 @@ class SortedRuns(Merged):
 
 class RetainedHistogram(SortedRuns):
     """The newest n rows by row_id, and the histogram of just these. A batch adds its counts to the buckets, and the rows that it pushes out
-    come as negative counts; buckets without rows go. Of the kept rows only those are read that go, and the rest of their files.
+    come as negative counts; buckets without rows go. Of the kept rows only those are read that go, and the rest of their files. Rows that
+    n others of their own batch push out are neither written nor counted.
 
     Rows below all that was pushed out before are late: they are pushed out at once. Row ids are whole numbers and differ."""
 
@@ -111,10 +114,32 @@ class RetainedHistogram(SortedRuns):
         out = histogram.histogram(rows, self.ts, self.level, self.seconds, self.levels)
         return out.select("bucket_start", *((F.col(c) * sign).alias(c) for c in (*histogram.SLOTS, "total")))
 
+    def _least(self, rows: DataFrame) -> int | None:
+        """A row id that n rows reach, and few more; None if there are no more than n rows. Rows are counted by ranges of ids, then by
+        ranges of the range that holds the n-th, until few are left in it; only that range reaches the driver."""
+        of = F.col(self.row_id).cast("long")
+        low, high, count = rows.agg(F.min(of), F.max(of), F.count(of)).first()
+        wanted = self.n
+        if count <= wanted:
+            return None
+        while True:
+            width = (high - low) // RANGES + 1
+            counts = rows.where(of.between(low, high)).select(of.alias("_id")).groupBy(F.expr(f"({high} - _id) DIV {width}").alias("_range")).count()
+            upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most RANGES rows
+            at = counts.withColumn("_upto", F.sum("count").over(upto)).where(F.col("_upto") >= wanted).orderBy("_range").first()
+            high -= at["_range"] * width
+            low = max(high - width + 1, low)
+            wanted -= at["_upto"] - at["count"]
+            if width == 1 or at["count"] - wanted <= self.n:
+                return low
+
     def __call__(self, batch: DataFrame, number: int) -> None:
         now = self.before(number)
         old, dead = now.agg(F.max("floor"), F.coalesce(F.max("dead"), F.lit(0))).first() if now is not None else (None, 0)
         new = batch if old is None else batch.where(F.col(self.row_id) > old)
+        least = self._least(new)
+        if least is not None:
+            new = new.where(F.col(self.row_id) >= least)
         fences = self.insert(now, new, number)
         rows = fences.agg(F.sum("rows")).first()[0] or 0
         parts = [self._counts(new, 1)]
@@ -125,6 +150,8 @@ class RetainedHistogram(SortedRuns):
             parts.append(self._counts(evicted if old is None else evicted.where(F.col(self.row_id) > old), -1))
             whole = fences.where(F.col("high._row") <= floor).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             left, dead = fences.where(F.col("high._row") > floor), dead + gone - whole
+        if least is not None:  # what is below was pushed out, too
+            floor = least - 1 if floor is None else max(floor, least - 1)
         buckets = self.buckets.before(number)
         total = parts[0] if buckets is None else buckets.unionByName(parts[0])
         for p in parts[1:]:

@@ -129,3 +129,14 @@ def test_histogram_with_retraction(spark):
         if k in (2, 5):
             sink(frame(rows), k)
         check()
+
+
+def test_rows_that_their_own_batch_pushes_out_are_not_written(spark):
+    sink = runs.RetainedHistogram(spark, scratch(spark, "kept"), "ts", "level", 3600, 1000, block=100)
+    ids = F.when(F.col("id") < 4000, F.col("id")).otherwise(F.col("id") + 10**12)  # dense ranges far apart
+    batch = spark.range(5_500).select(ids.alias("row_id"), F.timestamp_seconds("id").alias("ts"), F.lit("info").alias("level"))
+    sink(batch, 0)
+    assert spark.read.parquet(f"{sink.path}/run-0").count() <= 2000
+    sink(batch.where("row_id < 100").withColumn("row_id", F.col("row_id") + 4000), 1)  # late
+    assert {r["row_id"] for r in sink.kept().collect()} == {10**12 + i for i in range(4500, 5500)}
+    assert sink.histogram().agg(F.sum("total")).first()[0] == 1000
