@@ -350,14 +350,23 @@ def time_gaps_in_parts(spark, d):
 # streams of several batches
 
 
-def _in_parts(spark, d, parts: int = 3) -> DataFrame:
-    """The events as a stream of several files, oldest first."""
+#: Events of a file of a stream.
+_FILE = 65_536
+
+
+def _in_parts(spark, d, parts: int = 3, rows: int = _FILE) -> DataFrame:
+    """The events as a stream of several batches, oldest first. A batch is as many files of about `rows` rows, so its work is many tasks."""
     path = scratch(spark, "parts")
     ev = events(spark, d)
-    last = ev.agg(F.max("event_id")).first()[0] or 0
-    for i in range(parts):  # one file after the other: a stream takes the older first
-        ev.where(F.floor(F.col("event_id") * parts / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    last, n = ev.agg(F.max("event_id"), F.count(F.lit(1))).first()
+    ends = [-(-i * ((last or 0) + 1) // parts) for i in range(parts + 1)]
+    files = max(1, -(-n // (parts * rows)))
+    for i in range(parts):  # one part after the other: a stream takes the older first
+        inside = F.col("event_id") < ends[i + 1] if i == 0 else (F.col("event_id") >= ends[i]) & (F.col("event_id") < ends[i + 1])
+        ev.where(inside).repartition(files).write.mode("append").parquet(path)
+        for _ in range(files * (i + 1) - lines.files_of(spark, path).count()):  # a task without rows wrote none
+            spark.createDataFrame([], ev.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'j' ELSE 'c' END AS source, event_id, CASE WHEN event_id % 2 = 0 THEN json_extract(props, '$.k')::BIGINT END AS k, CASE WHEN event_id % 2 = 1 THEN event_type END AS level FROM events""")

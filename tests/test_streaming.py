@@ -274,3 +274,15 @@ def test_blank_lines_of_a_folded_stream_take_no_time(spark, tmp_path):
     path = str(tmp_path / "out")
     stream.drain(stream.fold_stream(split, r"\S", 3_600_000), stream.appending(path), timers=True)
     assert [r["raw"] for r in stream.appended(spark, path).collect()] == ["h1" + "\n" * 401 + " c1"]
+
+
+def test_batches_of_several_files(spark, tmp_path):
+    """The parts of a stream come in order, a batch each, and a batch is several tasks' work even where ids leave gaps."""
+    from logloom.plans import details
+
+    ids = F.when(F.col("id") < 3, F.col("id")).otherwise(F.col("id") + 1000)
+    spark.range(300).select(ids.alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream.drain(details._in_parts(spark, str(tmp_path), 3, 20), lambda b, n: seen.append((len(b.select(F.input_file_name().alias("f")).distinct().collect()), *b.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first())))
+    assert [s[1:] for s in seen] == [(0, 2, 3), (None, None, 0), (1003, 1299, 297)]
+    assert seen[2][0] == 5
