@@ -82,13 +82,13 @@ def _many_kinds(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT key, type FROM ({_SQL_TYPES})")
 def inferred_kinds(spark, d):
-    return schema.promote(schema.profile(formats.parse_jsonl(_many_kinds(events(spark, d))))).select("key", "type")
+    return schema.promote(schema.profile(formats.parse_jsonl(_many_kinds(lines.spread(events(spark, d), "event_id"))))).select("key", "type")
 
 
 @query(f"""WITH t AS ({_SQL_TYPES}) SELECT key, (row_number() OVER (ORDER BY CASE type WHEN 'time' THEN 0 WHEN 'level' THEN 1 ELSE 2 END, key) - 1)::INT AS place, type FROM t""")
 def ordered_schema(spark, d):
     """Time first, level second, the others by name."""
-    found = schema.infer_schema(formats.parse_jsonl(_many_kinds(events(spark, d))))
+    found = schema.infer_schema(formats.parse_jsonl(_many_kinds(lines.spread(events(spark, d), "event_id"))))
     return spark.createDataFrame([(f.name, i, f.type) for i, f in enumerate(found.fields)], "key string, place int, type string")
 
 

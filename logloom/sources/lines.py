@@ -70,6 +70,12 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to tasks by keys that differ, before work that costs more than a shuffle, as parsing does: a table of few files or row
+    groups is few tasks."""
+    return rows.repartition(_tasks(rows.sparkSession), *by)
+
+
 def files_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source and size of the files of a path; their content is not read."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("size"))

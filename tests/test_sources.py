@@ -65,6 +65,13 @@ def test_lines_of_a_file_that_cannot_be_split(spark, tmp_path):
     assert got.where(F.concat(F.lit("line "), F.col("line_id").cast("string")) != F.col("raw")).count() == 0 and got.count() == 2000
 
 
+def test_few_partitions_are_spread(spark):
+    """Rows of one file are many tasks' work before they are parsed."""
+    few = spark.range(10_000).coalesce(1)
+    got = lines.spread(few, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) == 4 and min(r["count"] for r in got) > 2000
+
+
 def test_head_of_blank_lines_and_carriage_returns(spark, tmp_path):
     path = write(tmp_path / "late.log", "\n" * 100 + 'a=1 b=2\r\r\na=2 b="\ue000\\\\x"\r\n')
     read = lines.read_lines(spark, path)
