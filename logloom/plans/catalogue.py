@@ -357,8 +357,8 @@ def record_detail(spark, d):
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    """JSON lines of a table, parsed again."""
-    named = df.select(F.lit("events").alias("source"), F.col("event_id").alias("line_id"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "user_id", F.col("event_type").alias("level"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("raw"))
+    """JSON lines of a table, parsed again, as many tasks: a small file would be one."""
+    named = lines.spread(df, "event_id").select(F.lit("events").alias("source"), F.col("event_id").alias("line_id"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "user_id", F.col("event_type").alias("level"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("raw"))
     return formats.parse_jsonl(named)
 
 
