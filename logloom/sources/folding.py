@@ -31,17 +31,27 @@ def number_records(lines: DataFrame, is_header: Column, by: str = "source", orde
     )
 
 
+def count_in_blocks(lines: DataFrame, is_header: Column, by: str = "source", order: str = "line_id", block: int = BLOCK) -> DataFrame:
+    """Adds _block, _inner (number of the block's headers up to the line) and _all (the block's headers).
+
+    A record with 0 < _inner < _all lies whole in its block: it needs nothing of other blocks, nor another shuffle to be joined."""
+    rows = lines.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_head", F.coalesce(is_header, F.lit(False)).cast("int"))
+    inside = Window.partitionBy(by, "_block").orderBy(order)
+    upto, whole = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+    return rows.withColumn("_inner", F.sum("_head").over(upto)).withColumn("_all", F.sum("_head").over(whole)).drop("_head")
+
+
 def fold_lines(lines: DataFrame, is_header: Column, block: int = BLOCK) -> DataFrame:
     """One row a record: source, line_id (of its header), raw (its lines). Blank lines belong to a record only if another
     of its lines follows. Lines before the first header are left to orphans()."""
     return join_records(number_records(lines, is_header & (~blank(F.col("raw"))), block=block).where("record_id > 0"))
 
 
-def join_records(rows: DataFrame) -> DataFrame:
-    """The lines of each record_id of a source as one row, without the blank lines at its end."""
+def join_records(rows: DataFrame, *record: str) -> DataFrame:
+    """The lines of each record of a source, told by record_id or the columns given, as one row, without the blank lines at its end."""
     last = F.max(F.when(~blank(F.col("raw")), F.col("line_id")))
     parts = F.array_sort(F.collect_list(F.struct("line_id", "raw")))
-    out = rows.groupBy("source", "record_id").agg(F.min("line_id").alias("line_id"), last.alias("_last"), parts.alias("_parts"))
+    out = rows.groupBy("source", *(record or ("record_id",))).agg(F.min("line_id").alias("line_id"), last.alias("_last"), parts.alias("_parts"))
     kept = F.filter("_parts", lambda p: p["line_id"] <= F.col("_last"))
     return out.select("source", "line_id", F.array_join(F.transform(kept, lambda p: p["raw"]), "\n").alias("raw"))
 

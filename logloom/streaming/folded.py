@@ -1,7 +1,8 @@
 """Records of several lines on a stream, folded by the batch's blocks: one hot source is many tasks.
 
 A batch's lines go together with those of the records that were still open. Headers are counted block by block (sources.folding), so
-that neither a source nor a batch is one task; what is kept between batches is only each source's open record, or the bounds of its
+that neither a source nor a batch is one task: records that lie whole in a block are joined where the block is, and only lines at
+the blocks' edges meet those of other blocks. What is kept between batches is only each source's open record, or the bounds of its
 open run of orphaned lines. Records and errors are those of the batch fold, whatever the batches.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank
@@ -46,32 +47,42 @@ class Folded(Merged):
         state = self.before(number)
         if state is None:
             state = self.spark.createDataFrame([], STATE)
-        lines = batch.where("line_id IS NOT NULL AND raw IS NOT NULL").select("source", "line_id", "raw", F.lit(None).cast("long").alias("upto"), F.lit(now).cast("long").alias("seen"))
-        rows = state.where("raw IS NOT NULL").unionByName(lines)
+        lines = batch.where("line_id IS NOT NULL AND raw IS NOT NULL").select("source", "line_id", "raw", F.lit(now).cast("long").alias("seen"))
+        rows = state.where("raw IS NOT NULL").select("source", "line_id", "raw", "seen").unionByName(lines)
         head = self.is_header(F.col("raw")) & ~blank(F.col("raw"))
-        told = folding.number_records(rows, head, block=self.block).persist()
+        told = folding.count_in_blocks(rows, head, block=self.block).persist()
+        # one row a block; the first use of the lines
+        blocks = told.groupBy("source", "_block").agg(F.max("_all").alias("_all"), F.max("line_id").alias("_line"), F.max("seen").alias("_seen")).persist()
         runs = state.where("raw IS NULL")
-        out, kept = self._parted(told, runs, now - self.pending_ms)
+        out, kept = self._parted(told, blocks, runs, now - self.pending_ms)
         self.sink(out, number)
         self.keep(kept, number)
+        blocks.unpersist()
         told.unpersist()
 
-    def _parted(self, told: DataFrame, runs: DataFrame, silent: int) -> tuple[DataFrame, DataFrame]:
+    def _parted(self, told: DataFrame, blocks: DataFrame, runs: DataFrame, silent: int) -> tuple[DataFrame, DataFrame]:
         """Closed records and errors, and what stays open."""
-        ends = told.groupBy("source").agg(F.max("record_id").alias("_record"), F.max("line_id").alias("_line"), F.max("seen").alias("_seen"))
-        begun = told.where("record_id > 0").join(ends, "source")
+        ends = blocks.groupBy("source").agg(F.sum("_all").alias("_record"), F.max("_line").alias("_line"), F.max("_seen").alias("_seen"))
+        of_source = Window.partitionBy("source")
+        before = of_source.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.select(F.col("source").alias("_by"), F.col("_block").alias("_b"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"), F.sum("_all").over(of_source).alias("_record"), F.max("_seen").over(of_source).alias("_seen"))
+        # lines are joined by block, never by source: a hot source would be one task
+        edges = told.where("_inner = 0 OR _inner = _all").join(starts, F.col("source").eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b"))).withColumn("record_id", F.col("_before") + F.col("_inner")).drop("_by", "_b", "_before", "_inner", "_block", "_all")
+        begun = edges.where("record_id > 0")
         opened = (F.col("record_id") == F.col("_record")) & (F.col("_seen") > silent)
-        records = folding.join_records(begun.where(~opened))
-        new = folding.orphan_runs(told, self.block)
-        met = new.join(runs.select("source", F.col("line_id").alias("_first"), F.col("upto").alias("_upto"), F.col("seen").alias("_old")), "source", "left")
-        joins = F.coalesce(F.col("first") == F.col("_upto") + 1, F.lit(False))
-        grown = met.select("source", F.when(joins, F.col("_first")).otherwise(F.col("first")).alias("first"), "last")
+        # a source's last record is at an edge, so those that are not are closed
+        records = folding.join_records(told.where("_inner > 0 AND _inner < _all"), "_block", "_inner").unionByName(folding.join_records(begun.where(~opened)))
+        new = folding.orphan_runs(edges, self.block)
+        # by line as well as by source: there may be many runs of one source
+        grown = new.join(runs.select("source", (F.col("upto") + 1).alias("first"), F.col("line_id").alias("_first")), ["source", "first"], "left").select("source", F.coalesce("_first", "first").alias("first"), "last")
         # a run of the state that no run of the batch continues stays as it is
         alone = runs.join(new.select("source", (F.col("first") - 1).alias("upto")), ["source", "upto"], "left_anti").select("source", F.col("line_id").alias("first"), F.col("upto").alias("last"), "seen")
-        every = grown.join(ends, "source").select("source", "first", "last", "_record", "_line", "_seen").unionByName(
-            alone.join(ends.drop("_seen"), "source", "left").select("source", "first", "last", F.coalesce("_record", F.lit(0)).alias("_record"), F.coalesce("_line", "last").alias("_line"), F.col("seen").alias("_seen"))
+        # _seen where no line of the source follows the run
+        at_end = (F.coalesce("_record", F.lit(0)) == 0) & (F.coalesce("_line", "last") == F.col("last"))
+        every = grown.join(ends.where("_record = 0").select("source", F.col("_line").alias("last"), "_seen"), ["source", "last"], "left").select("source", "first", "last", "_seen").unionByName(
+            alone.join(ends.drop("_seen"), "source", "left").select("source", "first", "last", F.when(at_end, F.col("seen")).alias("_seen"))
         )
-        open_run = (F.col("_record") == 0) & (F.col("_line") == F.col("last")) & (F.col("_seen") > silent)
+        open_run = F.coalesce(F.col("_seen") > silent, F.lit(False))
         errors = folding.orphan_errors(every.where(~open_run)).select("source", F.col("first").alias("line_id"), F.lit(None).cast("string").alias("raw"), "error")
         out = records.withColumn("error", F.lit(None).cast("string")).unionByName(errors)
         kept = begun.where(opened).select("source", "line_id", "raw", F.lit(None).cast("long").alias("upto"), F.col("_seen").alias("seen"))

@@ -61,6 +61,28 @@ def test_fold_silence_and_repeat(spark):
     assert empty.pending().count() == 0 and stream.appended(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["h", " lost"])
+def test_fold_hot_source_is_many_tasks(spark, text):
+    """Records and errors of one source come out of several tasks, none of which has most of them, with no help of broadcasts."""
+    told = {}
+
+    def sink(df, n):
+        told[n] = {r["task"]: r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()}
+
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        fold = folded.Folded(spark, scratch(spark, "open"), folding.indented_header, sink, 3_600_000, 20, Clock())
+        raw = F.when(F.col("id") % 2 == 0, F.lit(text)).otherwise(F.lit(""))
+        fold(spark.range(4_000).select(F.lit("hot").alias("source"), F.col("id").alias("line_id"), raw.alias("raw")), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(told[0].values()) in (1_999, 2_000) and max(told[0].values()) < 1_200
+
+
 def test_fold_heartbeat(spark, tmp_path):
     """With a heartbeat the last record comes without another line."""
     import time
